@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """Let Python workers that see this checkout import the package; elsewhere ship it with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+    return df
+
+
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of about `most` bytes; a row larger than that is alone."""
     start, total = 0, 0
@@ -82,7 +91,7 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, target.field(n).type) for n, x in out.items()], names=list(out))
 
     target = to_arrow_schema(_parse_datatype_string(schema))
-    return df.mapInArrow(run, schema)
+    return importable(df).mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
