@@ -13,11 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: The ASCII white space of the contracts, [\x20\x09-\x0D]; bytes.split() and bytes.strip() use the same set.
 SPACE = b" \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
+_U = np.uint64
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -79,7 +80,7 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, *, column: str = "text", most: int = 4 << 20) -> DataFrame:
+def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str | StructType, *, column: str = "text", most: int = 4 << 20) -> DataFrame:
     """mapInArrow over row slices whose `column` (string or binary) holds about `most` bytes; work gives the columns of
     `schema` by name, as Arrow arrays, numpy arrays or lists. Columns that it passes through keep their exact values."""
 
@@ -90,7 +91,7 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
                 out = work(batch.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, target.field(n).type) for n, x in out.items()], names=list(out))
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    target = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
     return importable(df).mapInArrow(run, schema)
 
 
@@ -103,6 +104,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def window_codes(raw: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit code of each n-byte window, composed from windows of powers of two; equal windows, equal codes."""
+    step = _U(0x9E3779B97F4A7C15)
+    part, size, out, have = mix64(raw.astype(_U) + _U(1)), 1, None, 0
+    while True:
+        if n & size:
+            if out is None:
+                out = part
+            else:
+                m = len(raw) - have - size + 1
+                out = out[:m] * _U(pow(int(step), size, 1 << 64)) + part[have : have + m] if m > 0 else np.zeros(0, _U)
+            have += size
+        if have == n:
+            return out[: max(0, len(raw) - n + 1)]
+        m = len(raw) - 2 * size + 1
+        if m <= 0:
+            return np.zeros(0, _U)
+        part = part[:m] * _U(pow(int(step), size, 1 << 64)) + part[size : size + m]
+        size *= 2
+
+
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open intervals as maximal runs; touching intervals merge."""
     if not len(starts):
