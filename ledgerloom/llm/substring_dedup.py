@@ -244,6 +244,7 @@ def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 256, block_byte
     """(id, t, a, b): runs of windows a .. b of document (id, t) that occur elsewhere; docs has (id, t, text)."""
     found = stored(anchor_rows(docs, length), "sub-anchors")
     twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k"), (F.min("dg") != F.max("dg")).alias("mixed")).where("k > 1").select("ah", "mixed")
+    twice = stored(twice, "sub-twice")  # a join right after an aggregate isn't split where it is skewed
     again = stored(found.join(twice.hint("merge"), "ah"), "sub-again")
     classes = again.groupBy("ah", "dg", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "t", "a", "b")).alias("rep"))
     classes = stored(classes.where("mixed or n > 1"), "sub-classes")
@@ -260,7 +261,7 @@ def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 256, block_byte
     found_in_blocks = _block_repeats(contexts.where(F.col("k") <= bucket).drop("k"), length, block_bytes)
 
     hot = stored(_hot_windows(contexts.where(F.col("k") > bucket), length), "sub-hot")
-    more = hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
+    more = stored(hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2"), "sub-more")
     hot_found = hot.where("n = 1").join(more.hint("merge"), ["w1", "w2"]).select("id", "t", F.col("p").alias("a"), F.col("p").alias("b"))
     return copies.unionAll(found_in_blocks).unionAll(hot_found)
 
