@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by a `length`-byte string that starts twice or more in the corpus.
 
-The corpus is never sorted as a whole. Every window of `length` bytes has one anchor, the least-hashed `GRAM`-byte
+The corpus is never sorted as a whole. Every window of `length` bytes has one anchor, the least-hashed `gram`-byte
 string in it (the first of equals), which depends on the window's bytes only: equal windows have equal anchors. The
 windows of one anchor occurrence are consecutive, an extent. Extents are first counted by (anchor, digest of the
 extent), which settles copies; anchors that occur once can't repeat. What is left are anchors with different extents:
@@ -13,7 +13,8 @@ the cover gives for both positions of a pair (a three-way quicksort of all ties
 `length` bytes agree are repeats. Memory depends on the block, not on the corpus or on the length of ties.
 
 A bucket of more than `bucket` different extents isn't held in one block: its windows are counted by 128-bit
-fingerprints instead, with partial sums, so that no task holds an unbounded group. Both give the same windows.
+fingerprints instead, first `CELL` at a time, with partial sums, so that no task holds an unbounded group. Both give
+the same windows.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; repeated rows are repeats of one another;
 null ids are told apart by the text's hash; an empty table gives none; other columns are ignored. Ids are integers.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import importable, map_chunks, mix64, ragged_arange, runs, stored, window_codes
 
-GRAM = 40
+CELL = 16  # windows of a hot extent that are counted together
 _U = np.uint64
 
 
@@ -136,6 +137,11 @@ def repeated(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return hit[at]
 
 
+def gram(length: int) -> int:
+    """Bytes of an anchor: long, so that common lines and phrases alone don't make hot anchors."""
+    return length * 2 // 5
+
+
 def extents(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text number, first window, last window, anchor's code) of each anchor occurrence, in order."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -143,8 +149,8 @@ def extents(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none, none, none, none
-    code = mix64(window_codes(raw, GRAM))
-    span, n = length - GRAM + 1, len(raw) - length + 1
+    code = mix64(window_codes(raw, gram(length)))
+    span, n = length - gram(length) + 1, len(raw) - length + 1
     bits = _U(int(len(raw)).bit_length())
     v = (code >> bits << bits) | np.arange(len(code), dtype=_U)  # leftmost among equals, by position
     whole = -(-len(v) // span) * span
@@ -221,26 +227,48 @@ def _block_repeats(contexts: DataFrame, length: int, block_bytes: int) -> DataFr
     return importable(ready).mapInArrow(work, "id long, t long, a int, b int")
 
 
-def _hot_windows(picked: DataFrame, length: int) -> DataFrame:
-    """(w1, w2, id, t, p, n): a row for each window of hot extents."""
+def _hot_cells(contexts: DataFrame, length: int) -> DataFrame:
+    """(core, sub, id, t, p, n, w1, w2): a row for each cell of a hot extent. A cell's windows are those whose distance
+    to the anchor, divided by CELL, is the same; core is the digest of the bytes that all windows of such a cell hold,
+    sub of all bytes of those that are there; w1 and w2 are the windows' fingerprints, p the first window's place."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        ctx = batch["ctx"].to_pylist()
-        digests, owner, place = [], [], []
-        for i, (c, a) in enumerate(zip(ctx, batch["a"].to_pylist(), strict=True)):
+        names = ("core", "sub", "row", "p", "w1", "w2")
+        out: dict[str, list] = {k: [] for k in names}
+        for i, (c, ah, a) in enumerate(zip(*(batch[k].to_pylist() for k in ("ctx", "ah", "a")), strict=True)):
+            last = len(c) - length  # of the windows
+            code = mix64(window_codes(np.frombuffer(c, np.uint8), gram(length))).view(np.int64)
+            anchor = last + int(np.argmax(code[last:] == ah))
             v = memoryview(c)
-            k = len(c) - length + 1
-            digests += [xxhash.xxh3_128_digest(v[j : j + length]) for j in range(k)]
-            owner.append(np.full(k, i))
-            place.append(np.arange(a, a + k))
-        w = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        at = pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))
-        return {"w1": w[:, 0], "w2": w[:, 1], "id": batch["id"].take(at), "t": batch["t"].take(at), "p": np.concatenate([np.zeros(0, np.int64), *place]), "n": batch["n"].take(at)}
-
-    return map_chunks(picked, work, "w1 long, w2 long, id long, t long, p int, n long", column="ctx", most=1 << 18)
-
-
-def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+            cell = (anchor - np.arange(last + 1)) // CELL
+            for x in np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist():
+                y = int(np.searchsorted(-cell, -cell[x], "right"))  # cells fall from left to right
+                core = anchor - CELL * int(cell[x])
+                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v[j : j + length]) for j in range(x, y)), "<i8").reshape(-1, 2)
+                for k, value in zip(names, (_long(xxhash.xxh3_64_intdigest(v[core : core + length - CELL + 1])), _long(xxhash.xxh3_64_intdigest(v[x : y - 1 + length])), i, a + x, w[:, 0], w[:, 1]), strict=True):
+                    out[k].append(value)
+        at = pa.array(out.pop("row"), pa.int64())
+        return {"core": out["core"], "sub": out["sub"], "id": batch["id"].take(at), "t": batch["t"].take(at), "p": out["p"], "n": batch["n"].take(at), "w1": out["w1"], "w2": out["w2"]}
+
+    return map_chunks(contexts, work, "core long, sub long, id long, t long, p int, n long, w1 array<long>, w2 array<long>", column="ctx", most=1 << 18)
+
+
+def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
+    """(id, t, a, b) of repeated windows in hot extents. Cells that are equal as a whole are settled by their count;
+    only cells that share a core but differ are taken apart into windows, one of each kind."""
+    cells = stored(_hot_cells(contexts, length), "sub-cells")
+    kinds = cells.groupBy("core", "sub").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "id", "t", "p")).alias("one"), F.first("w1").alias("w1"), F.first("w2").alias("w2"))
+    kinds = stored(kinds, "sub-kinds")
+    whole = cells.where("n = 1").join(kinds.where("c > 1").select("core", "sub").hint("merge"), ["core", "sub"])
+    differ = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "sub-cores")
+    windows = kinds.join(differ.hint("merge"), "core").select("c", "one", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
+    windows = stored(windows.select("c", "one", "at", "w.w1", "w.w2"), "sub-windows")
+    twice = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2"), "sub-more")
+    single = windows.where("c = 1 and one.n = 1").join(twice.hint("merge"), ["w1", "w2"]).withColumn("a", F.col("one.p") + F.col("at"))
+    return whole.select("id", "t", F.col("p").alias("a"), (F.col("p") + F.size("w1") - 1).alias("b")).unionAll(single.select("one.id", "one.t", "a", F.col("a").alias("b")))
+
+
+def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
     """(id, t, a, b): runs of windows a .. b of document (id, t) that occur elsewhere; docs has (id, t, text)."""
     found = stored(anchor_rows(docs, length), "sub-anchors")
     twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k"), (F.min("dg") != F.max("dg")).alias("mixed")).where("k > 1").select("ah", "mixed")
@@ -252,7 +280,7 @@ def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 256, block_byte
 
     # different extents of one anchor: fetch the bytes of one of each
     mixed = classes.where("mixed")
-    width = mixed.groupBy("ah").agg(F.count(F.lit(1)).alias("k"))
+    width = stored(mixed.groupBy("ah").agg(F.count(F.lit(1)).alias("k")), "sub-width")
     asked = mixed.join(width.hint("merge"), "ah").groupBy(F.col("rep.id").alias("_i"), F.col("rep.t").alias("_t")).agg(F.collect_list(F.struct("ah", "n", "rep.a", "rep.b", "k")).alias("want"))
     texts = docs.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("t") == F.col("_t"))).select("id", "t", "text", "want")
     cut = F.explode(F.transform("want", lambda w: F.struct(w["ah"].alias("ah"), w["n"].alias("n"), w["k"].alias("k"), w["a"].alias("a"), F.substring(F.col("text"), w["a"] + 1, w["b"] - w["a"] + length).alias("ctx"))))
@@ -260,13 +288,11 @@ def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 256, block_byte
     contexts = stored(contexts.dropDuplicates(["id", "t", "ah", "a"]), "sub-contexts")
     found_in_blocks = _block_repeats(contexts.where(F.col("k") <= bucket).drop("k"), length, block_bytes)
 
-    hot = stored(_hot_windows(contexts.where(F.col("k") > bucket), length), "sub-hot")
-    more = stored(hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2"), "sub-more")
-    hot_found = hot.where("n = 1").join(more.hint("merge"), ["w1", "w2"]).select("id", "t", F.col("p").alias("a"), F.col("p").alias("b"))
+    hot_found = _hot_repeats(contexts.where(F.col("k") > bucket), length)
     return copies.unionAll(found_in_blocks).unionAll(hot_found)
 
 
-def drop_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for each row; kept is what remains, as bytes."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     spans = repeats(docs, length=length, bucket=bucket, block_bytes=block_bytes)
