@@ -21,68 +21,84 @@ their tokens; an empty table gives none; other columns are ignored. Ids are inte
 from __future__ import annotations
 
 import os
-import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, map_chunks, stored
+from .common import importable, slices, stored
 
-MAGIC, VERSION, LANES, BLOCK, SCALE = b"RANSIDS1", 1, 32, 1 << 15, 20
+MAGIC, VERSION, LANES, BLOCK, SCALE = b"RANSIDS1", 1, 64, 1 << 15, 20
 _U = np.uint64
 _LOW = _U(1 << 31)
+BROADCAST_FILES = 100_000  # their starts are 2 MB
+
+
+class _Whole(Exception):
+    """The text must be encoded as a whole."""
+
+
+class _Pieces(dict):
+    """Ids of pieces by text. A piece that isn't remembered is checked and encoded alone; once full, it keeps what it has
+    until as many pieces again were missed, and then starts anew."""
+
+    def __init__(self, tok, special: list[str], before: str, most: int):
+        self.encode, self.special, self.before, self.most, self.missed = tok.encode_batch_fast, special, before, most, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        if any(x in piece for x in self.special) or (self.before and (not piece or piece[0].isspace())):
+            raise _Whole
+        ids = array("H", self.encode([self.before + piece], add_special_tokens=False)[0].ids).tobytes() if piece else b""
+        self.missed += 1
+        if self.missed > 2 * self.most:
+            self.clear()
+            self.missed = 0
+        if self.missed <= self.most and len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
 
 class TextEncoder:
     """Ids of texts as 2-byte little-endian strings; pieces between single spaces are remembered.
 
     Byte-level pre-tokens never reach over the space before a word, so a text whose spaces are all followed by
-    something else than white space is the sequence of its pieces. Other texts, and texts that may hold a special
-    string, go to the library whole.
+    something else than white space is the sequence of its pieces. Other texts, and texts that hold a special string
+    (none has a space), go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 300_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise ValueError("ids are written in the machine's order, which must be little-endian")
         self.tok = Tokenizer.from_file(path)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must be below 65,536")
-        self.whole = re.compile(r" \s|" + "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()))
-        self.end = np.uint16(end_id).tobytes()
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes] = {}
-        self.remembered = remembered
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        if any(" " in x for x in special):
+            raise ValueError("a special string with a space could span pieces")
+        self.end = array("H", [end_id]).tobytes()
+        self.first, self.later = _Pieces(self.tok, special, "", remembered // 8), _Pieces(self.tok, special, " ", remembered)
+
+    def text(self, t: str) -> bytes:
+        first, *rest = t.split(" ")
+        try:
+            return self.first[first] + b"".join(map(self.later.__getitem__, rest)) + self.end
+        except _Whole:
+            return array("H", self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids).tobytes() + self.end
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd, cut = [], []
-        for i, t in enumerate(texts):
-            if self.whole.search(t):
-                odd.append(i)
-            else:
-                cut.append((i, t.split(" ")))
-        for i, ids in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
-            out[i] = ids + self.end
-        if len(self.later) > self.remembered:
-            self.later, self.first = {}, {"": b""}
-        for known, fresh, before in ((self.first, {p[0] for _, p in cut}, ""), (self.later, set().union(*(p[1:] for _, p in cut)), " ")):
-            fresh = list(fresh.difference(known))
-            known.update(zip(fresh, self.encode([before + x for x in fresh]), strict=True))
-        get = self.later.__getitem__
-        for i, p in cut:
-            out[i] = self.first[p[0]] + b"".join(map(get, p[1:])) + self.end
-        return out
+        return list(map(self.text, texts))
 
 
 @lru_cache(maxsize=2)
@@ -91,25 +107,36 @@ def _encoder(path: str, end_id: int) -> TextEncoder:
 
 
 def token_ids(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): 2-byte ids with the end id."""
+    """(id, ids, counts): 2-byte ids with the end id, counts null; and a row for each task with its counts of all ids
+    (65,536 8-byte numbers), id and ids null."""
 
-    def work(batch: pa.RecordBatch) -> dict:
-        return {"id": batch["id"], "ids": _encoder(path, end_id).texts([t or "" for t in batch["text"].to_pylist()])}
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes, 4 << 20):
+                part = batch.slice(a, b - a)
+                ids = _encoder(path, end_id).texts([t or "" for t in part["text"].to_pylist()])
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["id", "ids", "counts"])
 
-    return map_chunks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work, "id long, ids binary")
+    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return importable(cut).mapInArrow(work, "id long, ids binary, counts binary")
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:
     """Counts of all ids, scaled so that they sum to 2**SCALE and every id that occurs has at least 1."""
 
-    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), "<u2"), minlength=1 << 16)
+            for x in batch["counts"].to_pylist():
+                total += np.frombuffer(x, np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["token", "n"])
 
-    got = importable(tokens.select("ids")).mapInArrow(tally, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most 65,536 rows
+    got = importable(tokens.select("counts").where("counts is not null")).mapInArrow(spread, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most 65,536 rows
     counts = np.zeros(1 << 16, np.int64)
     for r in got:
         counts[r["token"]] = r["n"]
@@ -251,7 +278,7 @@ class TokenFile:
         return np.concatenate([np.zeros(0, np.uint16), *self.blocks(list(range(len(self.marks))))])
 
 
-def write_files(tokens: DataFrame, freq: np.ndarray, *, file_ids: int = 1 << 21, parts: int | None = None) -> DataFrame:
+def write_files(tokens: DataFrame, freq: np.ndarray, *, file_ids: int = 1 << 22, parts: int | None = None) -> DataFrame:
     """(part, seq, n_ids, payload), in ascending order of the documents' ids by part and seq."""
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
@@ -279,7 +306,7 @@ def write_files(tokens: DataFrame, freq: np.ndarray, *, file_ids: int = 1 << 21,
             yield flush()
 
     n = parts or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(n, F.col("id").asc_nulls_first(), "h")
+    ordered = tokens.where("counts is null").select("id", "ids").withColumn("h", F.xxhash64("ids")).repartitionByRange(n, F.col("id").asc_nulls_first(), "h")
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "ids").select("id", "ids")
     return stored(importable(ordered).mapInArrow(work, "part int, seq int, n_ids long, payload binary"), "token-files")
 
@@ -301,10 +328,12 @@ def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.ids, mask=f.nulls), pa.array(begins + first), pa.array(f.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
+    if files.select("part").count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return importable(files.join(starts, ["part", "seq"]).select("first", "payload")).mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    tokens = stored(token_ids(docs, path, end_id=end_id, id_col=id_col, text_col=text_col), "token-ids")
+    tokens = stored(token_ids(docs, path, end_id=end_id, id_col=id_col, text_col=text_col), "token-ids", compression="lz4_raw", **{"parquet.enable.dictionary": "false"})
     freq = frequencies(tokens)
     return read_files(write_files(tokens, freq), freq).withColumnRenamed("id", id_col)
