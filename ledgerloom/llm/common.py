@@ -80,11 +80,28 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+_owner = ""
+_releases: list[Callable[[], None]] = []
+
+
+def hold(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called by a task in its Python worker: what another operator has kept in this worker is released first. `release`
+    drops what the caller is about to keep."""
+    global _owner
+    if owner != _owner:
+        while _releases:
+            _releases.pop()()
+        _owner = owner
+        if release:
+            _releases.append(release)
+
+
 def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str | StructType, *, column: str = "text", most: int = 4 << 20) -> DataFrame:
     """mapInArrow over row slices whose `column` (string or binary) holds about `most` bytes; work gives the columns of
     `schema` by name, as Arrow arrays, numpy arrays or lists. Columns that it passes through keep their exact values."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(work.__module__)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(sizes, most):
@@ -95,6 +112,13 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
     return importable(df).mapInArrow(run, schema)
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    odd = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (murmur3's constants)."""
     x = x ^ (x >> np.uint64(33))

@@ -23,20 +23,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks
+from .common import byte_symbols, map_chunks
 
 _NONE = np.int32(2**31 - 1)
 #: Unicode white space as the vocabulary's patterns use it (without the separators \x1c-\x1f). A fixed value.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level vocabularies use for each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    odd = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(odd)) for b in range(256)]
-
-
 class PairMerger:
     """Counts the symbols of byte-level BPE words, many words at a time."""
 

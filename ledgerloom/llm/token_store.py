@@ -20,7 +20,9 @@ their tokens; an empty table gives none; other columns are ignored. Ids are inte
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import sys
 import zlib
@@ -31,11 +33,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, slices, stored
+from .common import byte_symbols, hold, importable, slices, stored
 
 MAGIC, VERSION, LANES, BLOCK, SCALE = b"RANSIDS1", 1, 64, 1 << 15, 20
 _U = np.uint64
@@ -47,17 +50,55 @@ class _Whole(Exception):
     """The text must be encoded as a whole."""
 
 
+class _Words:
+    """Ids of a piece that follows `before`, by the library's model. Pieces of letters are one pre-token as they are;
+    others of common characters are cut by the byte-level pattern; the rest go through the library's whole chain."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.tokenize, self.chars = self.tok.model.tokenize, dict(enumerate(byte_symbols()))
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.common = re.compile("[\t\n\r!-~À-ÖØ-öø-ɏ]*").fullmatch
+        self.known: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def word(self, pre_token: str) -> list[int]:
+        return [t.id for t in self.tokenize(pre_token.encode().decode("latin-1").translate(self.chars))]
+
+    def __call__(self, before: str, piece: str) -> bytes:
+        if self.plain and piece.isalpha():
+            return array("H", self.word(before + piece)).tobytes()
+        if self.plain and self.common(piece):
+            ids = array("H")
+            for w in self.cut(before + piece):
+                if (own := self.known.get(w)) is None:
+                    own = self.word(w)
+                    if len(self.known) < 100_000 and len(w) <= 64:
+                        self.known[w] = own
+                ids.extend(own)
+            return ids.tobytes()
+        return self.whole(before + piece)
+
+
 class _Pieces(dict):
     """Ids of pieces by text. A piece that isn't remembered is checked and encoded alone; once full, it keeps what it has
     until as many pieces again were missed, and then starts anew."""
 
-    def __init__(self, tok, special: list[str], before: str, most: int):
-        self.encode, self.special, self.before, self.most, self.missed = tok.encode_batch_fast, special, before, most, 0
+    def __init__(self, words: _Words, special: list[str], before: str, most: int):
+        self.words, self.special, self.before, self.most, self.missed = words, special, before, most, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if any(x in piece for x in self.special) or (self.before and (not piece or piece[0].isspace())):
+        if (self.before and (not piece or piece[0].isspace())) or any(x in piece for x in self.special):
             raise _Whole
-        ids = array("H", self.encode([self.before + piece], add_special_tokens=False)[0].ids).tobytes() if piece else b""
+        ids = self.words(self.before, piece) if piece else b""
         self.missed += 1
         if self.missed > 2 * self.most:
             self.clear()
@@ -75,27 +116,25 @@ class TextEncoder:
     (none has a space), go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 1_500_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         if sys.byteorder != "little":
             raise ValueError("ids are written in the machine's order, which must be little-endian")
-        self.tok = Tokenizer.from_file(path)
-        if self.tok.get_vocab_size() > 1 << 16:
+        self.words = _Words(path)
+        if self.words.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids must be below 65,536")
-        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.words.tok.get_added_tokens_decoder().values()]
         if any(" " in x for x in special):
             raise ValueError("a special string with a space could span pieces")
         self.end = array("H", [end_id]).tobytes()
-        self.first, self.later = _Pieces(self.tok, special, "", remembered // 8), _Pieces(self.tok, special, " ", remembered)
+        self.first, self.later = _Pieces(self.words, special, "", remembered // 8), _Pieces(self.words, special, " ", remembered)
 
     def text(self, t: str) -> bytes:
         first, *rest = t.split(" ")
         try:
             return self.first[first] + b"".join(map(self.later.__getitem__, rest)) + self.end
         except _Whole:
-            return array("H", self.tok.encode_batch_fast([t], add_special_tokens=False)[0].ids).tobytes() + self.end
+            return self.words.whole(t) + self.end
 
     def texts(self, texts: list[str]) -> list[bytes]:
         return list(map(self.text, texts))
@@ -111,6 +150,7 @@ def token_ids(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc
     (65,536 8-byte numbers), id and ids null."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token ids", _encoder.cache_clear)
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
@@ -283,6 +323,7 @@ def write_files(tokens: DataFrame, freq: np.ndarray, *, file_ids: int = 1 << 22,
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token files")
         coder, part, seq = Coder(shared.value), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         held: list[bytes] = []
@@ -318,6 +359,7 @@ def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
     starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token files")
         coder = Coder(shared.value)
         for batch in batches:
             for first, payload in zip(batch["first"].to_pylist(), batch["payload"].to_pylist(), strict=True):
@@ -334,6 +376,6 @@ def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    tokens = stored(token_ids(docs, path, end_id=end_id, id_col=id_col, text_col=text_col), "token-ids", compression="lz4_raw", **{"parquet.enable.dictionary": "false"})
+    tokens = stored(token_ids(docs, path, end_id=end_id, id_col=id_col, text_col=text_col), "token-ids", **{"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"})
     freq = frequencies(tokens)
     return read_files(write_files(tokens, freq), freq).withColumnRenamed("id", id_col)
