@@ -36,10 +36,12 @@ def test_count_tables(documents, odd, none):
         assert got == want
 
 
-def test_encoder_equals_library():
-    texts = awkward()
+def test_encoder_equals_library(documents):
+    texts = awkward() + [r.text or "" for r in documents.collect()]
     lib = Tokenizer.from_file(BYTE)
     got = token_store.TextEncoder(BYTE, 0).texts(texts)
+    got2 = token_store.TextEncoder(BYTE, 0, remembered=8).texts(texts)
+    assert got == got2
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids + [0] for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
