@@ -7,6 +7,8 @@ issuance. Days are blocks; regions are sources that each miss some blocks and ho
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def at(secs: Column) -> Column:
 class Projection:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        self.read = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     def orders(self) -> DataFrame:
         w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -121,4 +123,4 @@ class Projection:
 
     def ledger(self) -> Ledger:
         names = ("block", "transaction", "block_transaction", "input", "output", "node", "node_block", "node_transaction")
-        return Ledger(self.spark, {n: getattr(self, n)() for n in names})
+        return Ledger(self.spark, {n: getattr(self, n) for n in names})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +13,10 @@ from ..functions.bytes import from_hex
 
 
 class Ledger:
-    """Tables by name, each with the columns of schema.TABLES; a table that isn't given is empty."""
+    """Tables by name, each with the columns of schema.TABLES: DataFrames, or functions that make them when they are
+    first used. A table that isn't given is empty."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame]):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         unknown = set(tables) - set(schema.TABLES)
         if unknown:
             raise ValueError(f"no such tables: {sorted(unknown)}")
@@ -24,6 +25,8 @@ class Ledger:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self.spark.createDataFrame([], schema.struct(name))
+        if not isinstance(self._tables[name], DataFrame):
+            self._tables[name] = self._tables[name]()
         return self._tables[name]
 
     def with_tables(self, **tables: DataFrame) -> Ledger:
@@ -37,8 +40,8 @@ class Ledger:
         return self[name].where(reduce(Column.__and__, [F.col(k) == F.lit(v) for k, v in zip(keys, values, strict=True)])).limit(1)
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
-        for name, df in self._tables.items():
-            df.write.mode(mode).parquet(f"{path}/{name}")
+        for name in self._tables:
+            self[name].write.mode(mode).parquet(f"{path}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, names: tuple[str, ...] = schema.TABLES) -> Ledger:
