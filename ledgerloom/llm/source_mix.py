@@ -8,8 +8,11 @@ the odds of a uniform draw divided by the odds of their inclusion probability (t
 ranks are selected until the words of the sample are as near the remainder as whole documents allow.
 
 The ranks are never sorted as a whole. They are binned (2**16 bins of q / (1 + q)); a histogram by source and bin finds
-the bin where the remainder runs out; all lower bins are selected, and only the rows from that bin on that hold the
-next `tail` documents are ordered, in one small group a source.
+the bin where the remainder runs out; all lower bins are selected, and only the rows of the bins that hold the next
+`tail` documents are ordered, in one small group a source. What doesn't fit there is skipped. While words are missing,
+the same is repeated over the ranks behind, with the documents that the room left can hold, until none is left: each
+source is filled as if all its ranks were read in order, however long the document at the cut. At last the shortest
+document that was skipped is added if that comes nearer.
 
 Draws are hashes of seed, id and text: reruns agree, and the plan's partitioning doesn't matter.
 
@@ -20,6 +23,8 @@ are drawn by text; an empty table gives none; other columns don't matter, whatev
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, importable, stored
 
 BINS = 1 << 16
+RANK = [("z", "ascending"), ("h", "ascending"), ("size", "ascending")]
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -44,18 +50,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> Data
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise((F.col("total") - F.col("used")) * F.col("w") / F.col("open")).alias("target"))
 
 
-def _fill(room: int, sizes: np.ndarray) -> np.ndarray:
-    """In rank order, take what fits the room; then one more document if that comes nearer."""
+def _fill(room: int, sizes: np.ndarray) -> tuple[np.ndarray, int]:
+    """In rank order, take what fits the room; and the room left."""
     take = np.zeros(len(sizes), bool)
     for i, size in enumerate(sizes.tolist()):
         if 0 < size <= room:
             take[i], room = True, room - size
-    rest = np.flatnonzero(~take & (sizes > 0))
-    if room > 0 and len(rest):
-        small = rest[np.argmin(sizes[rest])]
-        if sizes[small] < 2 * room:
-            take[small] = True
-    return take
+    return take, room
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight: Column | None = None, seed: int = 17, tail: int = 256, carry: bool = False) -> DataFrame:
@@ -82,39 +83,84 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
         return rows.withColumn("q", q).withColumn("z", at).withColumn("bin", F.when(more, F.least(F.floor(at * BINS), F.lit(BINS - 1)))).drop("_ws")
 
     ranked = with_goal(sized)
-    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"))
-    up = Window.partitionBy("source").orderBy("bin")
-    all_of = Window.partitionBy("source")
-    bins = bins.withColumn("room", F.round(F.col("target") - F.sum("sure").over(all_of)).cast("long")).where(F.col("bin").isNotNull())
-    bins = bins.withColumns({"cum": F.sum("words").over(up), "seen": F.sum("n").over(up)})
-    cut = bins.groupBy("source").agg(F.first("room").alias("room"), F.min(F.when(F.col("cum") > F.col("room"), F.col("bin"))).alias("cut"), F.max("bin").alias("last"))
-    cut = cut.withColumn("cut", F.coalesce("cut", F.col("last") + 1))
-    b = bins.join(cut.select(F.col("source").alias("_k"), "cut"), F.col("source").eqNullSafe(F.col("_k"))).drop("_k")
-    before = b.groupBy("source", "cut").agg(F.max(F.when(F.col("bin") < F.col("cut"), F.col("cum"))).alias("got"), F.max(F.when(F.col("bin") < F.col("cut"), F.col("seen"))).alias("had"), F.first("room").alias("room"))
-    b = b.drop("room", "cut").join(before.withColumnRenamed("source", "_k"), F.col("source").eqNullSafe(F.col("_k")))
-    zone = b.groupBy("source").agg(F.first("cut").alias("cut"), (F.first("room") - F.coalesce(F.first("got"), F.lit(0))).alias("room"), F.min(F.when((F.col("bin") >= F.col("cut")) & (F.col("seen") >= F.coalesce("had", F.lit(0)) + tail), F.col("bin"))).alias("end"))
-    zone = stored(zone.withColumn("end", F.coalesce("end", F.lit(BINS))), "mix-cuts")
+
+    def beside(rows: DataFrame, t: DataFrame) -> DataFrame:
+        """rows with the columns of t, which has one row a source."""
+        t = t.withColumnRenamed("source", "_k")
+        t = F.broadcast(t) if t.count() <= 10_000 else t
+        return rows.join(t, F.col("source").eqNullSafe(F.col("_k"))).drop("_k")
+
+    def left_in(t: pa.Table) -> pa.Table:
+        t = t.sort_by(RANK)
+        _, left = _fill(t["start"][0].as_py(), t["size"].to_numpy())
+        return t.select(["source"]).slice(0, 1).append_column("left", pa.array([left], pa.int64()))
+
+    kind = ranked.schema["source"].dataType.simpleString()
+    up, all_of = Window.partitionBy("source").orderBy("bin"), Window.partitionBy("source")
+    state = ranked.groupBy("source").agg(F.round(F.first("target") - F.sum(F.col("size") * F.col("whole"))).cast("long").alias("room"), F.lit(0).cast("long").alias("lo"))
+    state, rounds = stored(state, "mix-rooms"), []
+    while (going := state.where((F.col("room") > 0) & (F.col("lo") < BINS))).limit(1).count():
+        fit = beside(ranked, going).where((F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("bin") >= F.col("lo")))
+        bins = fit.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.first("room").alias("room"), F.first("lo").alias("lo"))
+        bins = bins.withColumns({"cum": F.sum("words").over(up), "seen": F.sum("n").over(up)}).withColumn("low", F.col("cum") <= F.col("room"))
+        bins = bins.withColumn("had", F.coalesce(F.max(F.when(F.col("low"), F.col("seen"))).over(all_of), F.lit(0)))
+        zone = bins.groupBy("source").agg(F.first("room").alias("room"), F.first("lo").alias("lo"), F.min(F.when(~F.col("low"), F.col("bin"))).alias("cut"), (F.first("room") - F.coalesce(F.max(F.when(F.col("low"), F.col("cum"))), F.lit(0))).alias("start"), F.min(F.when(~F.col("low") & (F.col("seen") >= F.col("had") + tail), F.col("bin"))).alias("end"))
+        zone = stored(zone.withColumns({"cut": F.coalesce("cut", F.lit(BINS)), "end": F.coalesce("end", F.lit(BINS))}), "mix-cuts")
+        rounds.append(zone)
+        near = beside(ranked, zone).where((F.col("size") > 0) & (F.col("size") <= F.col("start")) & (F.col("bin") >= F.col("cut")) & (F.col("bin") <= F.col("end")))
+        filled = importable(near.select("source", "start", "size", "z", "h")).groupBy("source").applyInArrow(left_in, f"source {kind}, left long")
+        filled = zone.select(F.col("source").alias("_z"), "start", "end").join(filled.withColumnRenamed("source", "_f"), F.col("_z").eqNullSafe(F.col("_f")), "left")
+        filled = filled.select("_z", F.coalesce("left", "start").alias("left"), (F.col("end") + 1).alias("next"))
+        # a source without a row in zone has nothing left that fits
+        state = stored(state.join(filled, F.col("source").eqNullSafe(F.col("_z")) & (F.col("lo") < BINS), "left").select("source", F.coalesce("left", "room").alias("room"), F.coalesce("next", F.lit(BINS + 1)).cast("long").alias("lo")), "mix-rooms")
+    plan = state.select("source", F.col("room").alias("left"))
+    if rounds:
+        past = reduce(DataFrame.unionByName, rounds).groupBy(F.col("source").alias("_z")).agg(F.collect_list(F.struct("lo", "cut", "end", "room", "start")).alias("rounds"))
+        plan = plan.join(past, F.col("source").eqNullSafe(F.col("_z")), "left").drop("_z")
+    else:
+        plan = plan.withColumn("rounds", F.expr("cast(null as array<struct<lo: long, cut: long, end: long, room: long, start: long>>)"))
+    plan = stored(plan, "mix-plan")
+
+    def planned(rows: DataFrame) -> DataFrame:
+        """rows with `picked` (1 if selected by bin), `start` (the room at the cut, if they are near it) and `left`."""
+        at = F.filter("rounds", lambda r: (F.col("bin") >= r["lo"]) & (F.col("bin") <= r["end"]))
+        rows = beside(rows, plan).withColumn("at", F.try_element_at(at, F.lit(1))).drop("rounds")
+        below = (F.col("bin") < F.col("at.cut")) & (F.col("size") <= F.col("at.room"))
+        near = (F.col("bin") >= F.col("at.cut")) & (F.col("size") <= F.col("at.start"))
+        some = F.col("size") > 0
+        return rows.withColumn("picked", F.coalesce(some & below, F.lit(False)).cast("long")).withColumn("start", F.when(some & near, F.col("at.start"))).drop("at")
+
+    # the shortest document that was skipped, if it comes nearer
+    skipped = planned(ranked).where(F.col("bin").isNotNull() & (F.col("picked") == 0) & F.col("start").isNull() & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left")))
+    spare = skipped.groupBy("source").agg(F.min(F.struct("size", "z", "h")).alias("spare"))
+    plan = stored(plan.join(spare.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
 
     if carry:
         rows = with_goal(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in small.items()]))
         keep, fields = ["row"], f"row {rows.schema['row'].dataType.simpleString()}"
     else:
         rows, keep, fields = ranked, [], ""
-    z = zone.withColumnRenamed("source", "_k")
-    z = F.broadcast(z) if zone.count() <= 10_000 else z
-    rows = rows.join(z, F.col("source").eqNullSafe(F.col("_k")), "left").drop("_k")
-    inside = F.coalesce((F.col("bin") >= F.col("cut")) & (F.col("bin") <= F.col("end")), F.lit(False))
-    picked = F.coalesce((F.col("bin") < F.col("cut")).cast("long"), F.lit(0))
+    rows = planned(rows)
+    last = F.col("bin").isNotNull() & (F.col("picked") == 0) & (F.struct("size", "z", "h") == F.col("spare"))
+    inside = F.col("start").isNotNull() | F.coalesce(last, F.lit(False))
     out = [*keep, "id", "source", "size", "source_size", "target"]
-    sure = rows.where(~inside).select(*out, (F.col("whole") + F.when(F.col("size") > 0, picked).otherwise(0)).alias("copies"))
+    sure = rows.where(~inside).select(*out, (F.col("whole") + F.col("picked")).alias("copies"))
 
     def choose(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("z", "ascending"), ("h", "ascending"), ("size", "ascending")])
-        take = _fill(t["room"][0].as_py(), t["size"].to_numpy())
+        t = t.sort_by(RANK)
+        sizes, start, left = t["size"].to_numpy(), t["start"].fill_null(0).to_numpy(), t["left"][0].as_py()
+        take = np.zeros(len(sizes), bool)
+        for room in np.unique(start).tolist():  # each cut has its own room; one that took nothing may share it with the next
+            at = np.flatnonzero(start == room)
+            take[at], _ = _fill(room, sizes[at])
+        rest = np.flatnonzero(~take)
+        if left > 0 and len(rest):
+            small = rest[np.argmin(sizes[rest])]
+            take[small] = sizes[small] < 2 * left
         return t.select(out).append_column("copies", pa.array(t["whole"].to_numpy() + take, pa.int64()))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*([fields] if fields else []), *(f"{c} {kinds[c]}" for c in out if c != "row"), "copies long"])
-    near = importable(rows.where(inside).select(*out, "z", "h", "room", "whole")).groupBy("source").applyInArrow(choose, schema)
+    near = importable(rows.where(inside).select(*out, "z", "h", "start", "left", "whole")).groupBy("source").applyInArrow(choose, schema)
     both = sure.unionByName(near).withColumn("taken", F.col("copies") * F.col("size"))
     return both if carry else both.withColumnsRenamed({"id": id_col, "source": source_col})

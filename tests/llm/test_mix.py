@@ -62,3 +62,15 @@ def test_weighted_rows_are_likelier(spark):
     heavy = sum(r.copies for r in low if r.doc_id % 4 < 2)
     light = sum(r.copies for r in low if r.doc_id % 4 >= 2)
     assert 2.3 < heavy / light < 3.8 and abs(sum(r.taken for r in low) - 8000) <= 20
+
+
+@pytest.mark.parametrize("tail", [256, 3])
+def test_a_very_long_document_at_the_cut_leaves_no_gap(spark, tail):
+    rows = [(i, "w " * (8 + i % 5), "a") for i in range(3000)] + [(3000, "w " * 30000, "a")]
+    rows += [(4000 + i, "w " * 100, "b") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    for seed in range(6 if tail > 3 else 2):
+        got = [r for r in source_mix.mix(df, weights=(3.0, 7.0), seed=seed, tail=tail).collect() if r.source == "a"]
+        assert len(got) == 3001 and all(r.copies in (0, 1) for r in got)
+        short = min(r["size"] for r in got if not r.copies)
+        assert abs(sum(r.taken for r in got) - got[0].target) <= short / 2 + 1, seed
