@@ -1,12 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams (one to `LONGEST` bytes of lower-cased text) of labelled rows; the log-probability
-matrix (buckets x languages, float32) has a fixed size for `max_langs` languages and is broadcast. Scoring hashes a
-batch of texts at once and sums matrix rows text by text.
+matrix (buckets x languages, float32, 128 KB a language) is broadcast. Scoring hashes a batch of texts at once and sums
+matrix rows text by text, `BLOCK` languages at a time.
 
 The fit uses a bounded sample: about `sample` rows of each language, chosen by a hash of text and id, all rows where a language
-has fewer; each counts with its whole text. At most `max_langs` languages, those with the most rows,
-are learned. Predictions read whole texts of all rows.
+has fewer; each counts with its whole text. Every language that a row names is learned. Predictions read whole texts of
+all rows.
 
 Defined cases: null text or a text without a letter gives `und` and score 0; an empty or unlabelled training table
 gives `und` and 0 for all rows; ties go to the language that sorts first; rows with null language are not learned
@@ -24,9 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, map_chunks, slices
+from .common import importable, map_chunks, slices, stored
 
 BUCKETS, LONGEST, PIECE = 1 << 15, 4, 1 << 20
+BLOCK = 64  # languages that are counted, collected or scored at once
 _LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint32(0x9E3779B1)
 
@@ -57,37 +58,47 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.cumsum(lengths) - lengths
 
 
-def fit(docs: DataFrame, train: Column, *, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, sample: int = 4000, max_langs: int = 64, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, train: Column, *, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, sample: int = 4000, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
     """(languages, matrix). Reads language counts, then a sample of the rows where `train` holds."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
     draw = F.pmod(F.xxhash64(F.col(text_col) if key is None else key), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r["lang"], min(1.0, sample / r["count"])).otherwise(share)
-    chosen = rows.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, share double")
+    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), draw.alias("draw"))
+    chosen = drawn.join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("share")).select("lang", "text")
+
+    def counted(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             names, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
             for lang in set(names):
+                if lang not in total and len(total) == BLOCK:
+                    yield from counted(total)
+                    total = {}
                 own = [t for t, n in zip(texts, names, strict=True) if n == lang]
                 for a, b in slices(np.fromiter(map(len, own), np.int64, len(own)), PIECE):
                     raw, _ = _joined([t.lower() for t in own[a:b]])
                     total[lang] = total.get(lang, 0) + sum(np.bincount(g, minlength=BUCKETS) for g in gram_buckets(raw))
-        for lang, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
+        yield from counted(total)
 
     summed = importable(chosen).mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()  # at most max_langs x BUCKETS rows
-    counts = np.zeros((BUCKETS, len(langs)))
-    counts[got["bucket"].to_numpy(), [langs.index(x) for x in got["lang"]]] = got["n"]
-    return langs, np.log((counts + alpha) / (counts.sum(0) + alpha * BUCKETS)).astype(np.float32)
+    summed = summed if len(langs) <= BLOCK else stored(summed, "language-grams")
+    matrix = np.empty((BUCKETS, len(langs)), np.float32, order="F")
+    for a in range(0, len(langs), BLOCK):
+        some = langs[a : a + BLOCK]
+        got = (summed if len(langs) <= BLOCK else summed.where(F.col("lang").isin(some))).toPandas()  # at most BLOCK x BUCKETS rows
+        counts = np.zeros((BUCKETS, len(some)))
+        counts[got["bucket"].to_numpy(), got["lang"].map({x: i for i, x in enumerate(some)}).to_numpy(np.int64)] = got["n"]
+        matrix[:, a : a + BLOCK] = np.log((counts + alpha) / (counts.sum(0) + alpha * BUCKETS))
+    return langs, matrix
 
 
 def score(texts: list[bytes], matrix: np.ndarray) -> np.ndarray:
@@ -119,11 +130,16 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, *, id_col: st
         at = np.flatnonzero(fine)
         if len(at):
             chosen = [texts[i].encode() for i in at]
-            ll = score(chosen, matrix)
-            best = ll.argmax(1)
-            n = np.minimum([len(t) for t in chosen], 40)[:, None]
+            n = np.minimum([len(t) for t in chosen], 40)
+            best, top, odds = np.zeros(len(at), np.int64), np.full(len(at), -np.inf), np.zeros(len(at))
+            for a in range(0, len(langs), BLOCK):
+                ll = score(chosen, matrix[:, a : a + BLOCK])
+                high = np.maximum(top, ll.max(1))
+                best = np.where(high > top, a + ll.argmax(1), best)
+                odds = odds * np.exp((top - high) * n) + np.exp((ll - high[:, None]) * n[:, None]).sum(1)
+                top = high
             names[at] = np.array(langs, object)[best]
-            value[at] = 1 / np.exp((ll - ll.max(1, keepdims=True)) * n).sum(1)
+            value[at] = 1 / odds
         return out | {"lang_pred": names, "score": value}
 
     kept = list(dict.fromkeys([id_col, *keep]))

@@ -39,3 +39,19 @@ def test_long_text_equals_pieces():
     raw = np.frombuffer(b" " + text + b" " * L.LONGEST, np.uint8)
     want = sum(matrix[g[: len(text) + 1]].astype(float).sum(0) for g in L.gram_buckets(raw)) / (len(text) + 1) / (L.LONGEST - 1)
     assert np.allclose(whole[0], want)
+
+
+def test_rare_languages_are_learned(spark):
+    import numpy as np
+
+    name = lambda k: f"l{k:03d}"
+    text = lambda k: " ".join(chr(0x4E00 + 40 * k + j) * 3 for j in range(8))
+    rows = [(k * 10 + i, text(k), name(k)) for k in range(150) for i in range(1 + (k % 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    langs, matrix = L.fit(docs, F.lit(True))
+    assert langs == [name(k) for k in range(150)] and matrix.shape == (L.BUCKETS, 150)
+    got = L.predict(docs, langs, matrix, keep=["lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == r.lang for r in got)
+    ll = L.score([text(7).encode()], matrix)[0]
+    want = 1 / np.exp((ll - ll.max()) * 40).sum()
+    assert all(np.isclose(r.score, want) for r in got if r.lang == name(7))
