@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,7 +12,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -70,14 +72,13 @@ def importable(df: DataFrame) -> DataFrame:
 
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of about `most` bytes; a row larger than that is alone."""
-    start, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and total + size > most:
-            yield start, i
-            start, total = i, 0
-        total += int(size)
-    if start < len(sizes):
-        yield start, len(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
 
 
 _owner = ""
@@ -92,8 +93,23 @@ def hold(owner: str, release: Callable[[], None] | None = None) -> None:
         while _releases:
             _releases.pop()()
         _owner = owner
-        if release:
-            _releases.append(release)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if release and release not in _releases:
+        _releases.append(release)
+
+
+def named(name: str) -> Column:
+    """A column by its exact name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str | StructType, *, column: str = "text", most: int = 4 << 20) -> DataFrame:

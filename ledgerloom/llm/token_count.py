@@ -14,6 +14,7 @@ and repeated or null ids are counted row by row; columns beside id and text are
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -23,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, map_chunks
+from .common import byte_symbols, hold, map_chunks
 
 _NONE = np.int32(2**31 - 1)
 #: Unicode white space as the vocabulary's patterns use it (without the separators \x1c-\x1f). A fixed value.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LATE = re.compile("[\u0378-\U0010ffff]").search  # the first code point that is unassigned, and all beyond
 
 
 class PairMerger:
@@ -104,21 +106,28 @@ class PairMerger:
 class WordCounter(PairMerger):
     """Token counts of whole texts for a lower-casing word vocabulary."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 400_000):
+        from tokenizers import Tokenizer
+
         super().__init__(path)
         self.find = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+").findall
         self.cut = regex.compile("|".join(map(regex.escape, self.special))).split if self.special else None
+        self.library = Tokenizer.from_file(path)
         self.known: dict[str, int] = {}
         self.remembered = remembered
 
-    @staticmethod
-    def normal(text: str) -> str:
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def normal(self, text: str) -> str:
+        """As the library normalises. Python's tables do the same for all characters that they know; a text with another
+        one goes to the library, whose tables may be newer."""
+        if text.isascii():
+            return text.lower()
+        if _LATE(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self.library.normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and how many special strings stood between them."""
-        if self.cut and "<|" in text:
+        if self.cut and any(x in text for x in self.special):
             parts = self.cut(text)
             return [w for p in parts for w in self.find(self.normal(p))], len(parts) - 1
         return self.find(self.normal(text)), 0
@@ -148,6 +157,7 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, id_col: str =
     """(id, n_bytes, n_tokens, over_limit) for each row; one narrow pass, nothing is shuffled or broadcast."""
 
     def count(batch: pa.RecordBatch) -> dict:
+        hold(__name__, _counter.cache_clear)
         texts = [t or "" for t in batch["text"].to_pylist()]
         n = _counter(path).texts(texts)
         return {"id": batch["id"], "n_bytes": [len(t) if t.isascii() else len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit}

@@ -116,7 +116,7 @@ class TextEncoder:
     (none has a space), go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if sys.byteorder != "little":
             raise ValueError("ids are written in the machine's order, which must be little-endian")
