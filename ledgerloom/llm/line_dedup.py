@@ -3,11 +3,14 @@
 A line's key is hashed to 128 bits. Documents give their distinct keys' hashes; a partial aggregation counts the
 documents of each and finds the largest id. The distinct hashes that reach `min_docs` are split into shards by hash. A
 shard is a minimal perfect hash (three-way hypergraph peeling, vectorised by rounds) that indexes three compact
-arrays: fingerprints, counts and the id that keeps the line. Documents then probe the arrays, whole batches at a time.
+arrays: fingerprints, counts and the id that keeps the line. All lookups probe these arrays.
 
-The shards are broadcast only if their summed bytes are at most `broadcast_bytes`. Beyond that the index isn't held in
-one place: documents' hashes are matched with the counted hashes by a join on the hash (its hot keys are split by
-adaptive execution), and each document gets its own short list of hashes to drop. Both ways give the same rows.
+While all shards together have at most `broadcast_bytes` (27 bytes a key), they are broadcast, and each batch of
+documents probes them where it is read. A larger index isn't held in one place: the hashes of the documents are
+dealt to the shards, a task reads one shard at a time and probes it with a stream of hashes, and each document gets its
+short list of hashes to drop. Hashes in more than one of `HOT` document lines (at most `HOT` of them, whatever the
+input) have a small index of their own that is broadcast and probed first, so that no shard gets a hot key. Both
+ways probe the same kind of arrays and give the same rows.
 
 Defined cases: null or empty texts are one empty line; lines whose keys are shorter than `min_chars` code points always
 stay; rows count as documents even if their ids repeat, and all rows of the keeping id keep; null ids count, and keep
@@ -17,7 +20,7 @@ gives none; other columns are ignored. Ids are integers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, importable, map_chunks, mix64, stored
+from .common import SPACE, hold, importable, map_chunks, mix64, stored
 
 _U = np.uint64
 _NULL = -(1 << 63)  # stands for a null id in the arrays
+HOT = 1 << 16
+KEY_BYTES = 27  # 1.26 bytes of slots and 20 of arrays a key, and some
 
 
 def line_key(line: bytes) -> bytes:
@@ -153,56 +158,120 @@ def _finish(texts: list[bytes | None], dropped: Callable, min_chars: int) -> dic
     return {"n_lines": list(map(len, lines)), "n_dropped": [len(gone.get(i, ())) for i in range(len(lines))], "kept": kept}
 
 
-def dedup_lines(docs: DataFrame, *, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20, shard_keys: int = 200_000) -> DataFrame:
-    """(id, n_lines, n_dropped, kept): kept is the remaining text as bytes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
-    found = line_hashes(rows, min_chars)
-    counts = stored(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs), "line-counts")
-    keys = counts.count()
-    if keys * 27 <= broadcast_bytes:  # 1.26 bytes of slots and 20 of arrays a key
-        shards = max(1, -(-keys // shard_keys))
-        # unsigned remainder of h1, as the probe takes it
-        shard = F.pmod(F.pmod(F.shiftrightunsigned("h1", 1), F.lit(shards)) * 2 + F.col("h1").bitwiseAND(1), F.lit(shards))
-
-        def build(t: pa.Table) -> pa.Table:
-            h = np.stack([t[c].to_numpy().view(_U) for c in ("h1", "h2")], 1)
-            keep = t["keep"].fill_null(_NULL).to_numpy() if t["keep"].null_count else t["keep"].to_numpy()
-            return pa.table({"shard": [t["shard"][0].as_py()], "payload": pa.array([LineIndex.build(h, t["n"].to_numpy(), keep)], pa.binary())}, schema=pa.schema([("shard", pa.int64()), ("payload", pa.binary())]))
-
-        built = importable(counts.withColumn("shard", shard)).groupBy("shard").applyInArrow(build, "shard long, payload binary")
-        got = {r["shard"]: r["payload"] for r in built.collect()}  # at most broadcast_bytes
+def _build(counts: DataFrame, shards: int) -> DataFrame:
+    """(shard, payload) from (h1, h2, n, keep); a shard without keys has no row."""
+    # unsigned remainder of h1, as the probe takes it
+    shard = F.pmod(F.pmod(F.shiftrightunsigned("h1", 1), F.lit(shards)) * 2 + F.col("h1").bitwiseAND(1), F.lit(shards))
+
+    def build(t: pa.Table) -> pa.Table:
+        h = np.stack([t[c].to_numpy().view(_U) for c in ("h1", "h2")], 1)
+        keep = t["keep"].fill_null(_NULL).to_numpy() if t["keep"].null_count else t["keep"].to_numpy()
+        return pa.table({"shard": [t["shard"][0].as_py()], "payload": pa.array([LineIndex.build(h, t["n"].to_numpy(), keep)], pa.binary())}, schema=pa.schema([("shard", pa.int64()), ("payload", pa.binary())]))
+
+    return importable(counts.withColumn("shard", shard)).groupBy("shard").applyInArrow(build, "shard long, payload binary")
+
+
+class _Held:
+    """Shards that are broadcast, opened once in each worker."""
+
+    def __init__(self, counts: DataFrame, shards: int):
+        got = {r["shard"]: r["payload"] for r in _build(counts, shards).collect()}  # of a bounded number of keys
         empty = LineIndex.build(np.zeros((0, 2), _U), np.zeros(0), np.zeros(0))
-        index = docs.sparkSession.sparkContext.broadcast([got.get(i, empty) for i in range(shards)])
-        cache: dict[str, LineIndex] = {}
+        self.shared = counts.sparkSession.sparkContext.broadcast([got.get(i, empty) for i in range(shards)])
+        self.index: LineIndex | None = None
+
+    def losing(self, h: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which hashes (of documents with these ids) are indexed and kept by another document."""
+        if self.index is None:
+            self.index = LineIndex(self.shared.value)
+        n, keep = self.index.probe(h)
+        return (n >= min_docs) & (keep != ids)
 
-        def work(batch: pa.RecordBatch) -> dict:
-            if "it" not in cache:
-                cache["it"] = LineIndex(index.value)
-            ids = batch["id"].fill_null(_NULL).to_numpy(zero_copy_only=False)
 
-            def dropped(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-                n, keep = cache["it"].probe(h)
-                return (n >= min_docs) & (keep != ids[doc])
+def _in_place(rows: DataFrame, index: _Held, min_docs: int, min_chars: int) -> DataFrame:
+    """Each batch of documents probes the broadcast shards."""
 
-            return {"id": batch["id"]} | _finish(batch["text"].to_pylist(), dropped, min_chars)
+    def work(batch: pa.RecordBatch) -> dict:
+        ids = batch["id"].fill_null(_NULL).to_numpy(zero_copy_only=False)
+        return {"id": batch["id"]} | _finish(batch["text"].to_pylist(), lambda h, doc: index.losing(h, ids[doc], min_docs), min_chars)
 
-        return map_chunks(rows, work, "id long, n_lines long, n_dropped long, kept binary").withColumnRenamed("id", id_col)
+    return map_chunks(rows, work, "id long, n_lines long, n_dropped long, kept binary")
 
-    lose = found.join(counts.hint("merge"), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep")))
+
+def _routed(rows: DataFrame, found: DataFrame, counts: DataFrame, keys: int, min_docs: int, min_chars: int, shard_keys: int) -> DataFrame:
+    """Hashes of documents are dealt to the shards and probe them there."""
+    lines = found.count()
+    often = F.col("n") > lines // HOT
+    hot, shards = _Held(counts.where(often), 1), max(1, -(-keys // shard_keys))
+    payloads = _build(counts.where(~often), shards)
+
+    def cool(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes that the hot index settles are answered at once (shard null); the others are given their shard."""
+        hold(__name__)
+        for batch in batches:
+            h = np.stack([batch[c].to_numpy().view(_U) for c in ("h1", "h2")], 1)
+            ids = batch["id"].fill_null(_NULL).to_numpy(zero_copy_only=False)
+            lose, known = hot.losing(h, ids, min_docs), hot.index.probe(h)[0] > 0
+            shard = pa.array((h[:, 0] % _U(shards)).astype(np.int64), mask=known)
+            yield pa.RecordBatch.from_arrays([*batch.columns, shard], names=[*batch.schema.names, "shard"]).filter(pa.array(lose | ~known))
+
+    def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(__name__)
+        index, at = None, -1
+        for batch in batches:
+            number = batch["shard"].to_numpy()
+            for a, b in _same(number):
+                part = batch.slice(a, b - a)
+                if number[a] != at:
+                    index, at = None, int(number[a])
+                if part["payload"][0].is_valid:  # it comes before its shard's hashes
+                    index = LineIndex([part["payload"][0].as_py()])
+                    part = part.slice(1)
+                if index is None or not part.num_rows:  # a shard without keys
+                    continue
+                h = np.stack([part[c].to_numpy().view(_U) for c in ("h1", "h2")], 1)
+                n, keep = index.probe(h)
+                lose = (n >= min_docs) & (keep != part["id"].fill_null(_NULL).to_numpy(zero_copy_only=False))
+                yield part.select(["h1", "h2", "id", "t"]).filter(pa.array(lose))
+
+    asked = stored(importable(found).mapInArrow(cool, "h1 long, h2 long, id long, t long, shard long"), "line-asked")
+    none, zero = F.lit(None), F.lit(0).cast("long")
+    both = asked.where("shard is not null").select("shard", "h1", "h2", "id", "t", none.cast("binary").alias("payload"))
+    both = both.unionAll(payloads.select("shard", zero.alias("h1"), zero.alias("h2"), none.cast("long").alias("id"), zero.alias("t"), "payload"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "shard").sortWithinPartitions("shard", F.col("payload").isNull())
+    lose = importable(dealt).mapInArrow(probe, "h1 long, h2 long, id long, t long").unionAll(asked.where("shard is null").drop("shard"))
     lose = lose.groupBy("id", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("lose")).withColumnsRenamed({"id": "_i", "t": "_t"})
-    rows = rows.join(lose, F.col("id").eqNullSafe(F.col("_i")) & (F.col("t") == F.col("_t")), "left").select("id", "text", "lose")
+    wide = rows.join(lose.hint("merge"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("t") == F.col("_t")), "left").select("id", "text", "lose")
 
     def apart(batch: pa.RecordBatch) -> dict:
-        lists = batch["lose"].to_pylist()
+        sets = [{(x["h1"], x["h2"]) for x in own or ()} for own in batch["lose"].to_pylist()]
 
         def dropped(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-            sets = [{(x["h1"], x["h2"]) for x in own or ()} for own in lists]
-            pairs = h.view(np.int64).tolist()
-            return np.array([tuple(p) in sets[d] for p, d in zip(pairs, doc.tolist(), strict=True)], bool)
+            return np.array([tuple(p) in sets[d] for p, d in zip(h.view(np.int64).tolist(), doc.tolist(), strict=True)], bool)
 
         return {"id": batch["id"]} | _finish(batch["text"].to_pylist(), dropped, min_chars)
 
-    return map_chunks(rows, apart, "id long, n_lines long, n_dropped long, kept binary").withColumnRenamed("id", id_col)
+    return map_chunks(wide, apart, "id long, n_lines long, n_dropped long, kept binary")
+
+
+def _same(number: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values."""
+    start = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, np.int64)
+    return list(zip(start.tolist(), [*start[1:].tolist(), len(number)], strict=True)) if len(start) else []
+
+
+def dedup_lines(docs: DataFrame, *, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20, shard_keys: int = 200_000) -> DataFrame:
+    """(id, n_lines, n_dropped, kept): kept is the remaining text as bytes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
+    found = line_hashes(rows, min_chars)
+    counts = stored(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs), "line-counts")
+    keys = counts.count()
+    if keys * KEY_BYTES <= broadcast_bytes:
+        out = _in_place(rows, _Held(counts, max(1, -(-keys // shard_keys))), min_docs, min_chars)
+    else:
+        out = _routed(rows, found, counts, keys, min_docs, min_chars, shard_keys)
+    return out.withColumnRenamed("id", id_col)
 
 
 def digest(kept: DataFrame) -> DataFrame:
