@@ -26,7 +26,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents"))
+    return source_mix.mix(table(spark, sf_dir, "documents"), weight=source_mix.by_length)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
