@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts hashed n-grams (one to `LONGEST` bytes of lower-cased text) of labelled rows; the log-probability
+Training counts hashed n-grams (two to `LONGEST` bytes of lower-cased text) of labelled rows; the log-probability
 matrix (buckets x languages, float32, 128 KB a language) is broadcast. Scoring hashes a batch of texts at once and sums
 matrix rows text by text, `BLOCK` languages at a time.
 
@@ -23,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import importable, map_chunks, slices, stored
+from .common import importable, map_chunks, named, slices, stored, unused
 
 BUCKETS, LONGEST, PIECE = 1 << 15, 4, 1 << 20
 BLOCK = 64  # languages that are counted, collected or scored at once
@@ -124,7 +125,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, *, id_col: st
     def work(batch: pa.RecordBatch) -> dict:
         langs, matrix = shared.value
         out = {c: batch[c] for c in kept}
-        texts = batch["__text"].to_pylist()
+        texts = batch[helper].to_pylist()
         fine = np.array([bool(langs) and has_letter(t) for t in texts], bool)
         names, value = np.array(["und"] * len(texts), object), np.zeros(len(texts))
         at = np.flatnonzero(fine)
@@ -143,9 +144,10 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, *, id_col: st
         return out | {"lang_pred": names, "score": value}
 
     kept = list(dict.fromkeys([id_col, *keep]))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    cut = docs.select(*kept, F.col(text_col).alias("__text"))
-    return map_chunks(cut, work, f"{fields}, lang_pred string, score double", column="__text")
+    helper = unused(kept, "__text")
+    cut = docs.select(*map(named, kept), named(text_col).alias(helper))
+    schema = StructType([*cut.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return map_chunks(cut, work, schema, column=helper)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
