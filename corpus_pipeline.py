@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language_id, near_dedup, source_mix, token_store
-from ledgerloom.llm.common import stored, table
+from ledgerloom.llm.common import named, stored, table, unused
 from ledgerloom.llm.registry import tokenizer
 
 #: A text is rejected if its language can't be told: no letter, or less than this posterior for the best language.
@@ -16,15 +16,16 @@ SURE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is found; `und` and unsure texts go."""
     langs, matrix = language_id.fit(docs, F.lit(True), key=F.col("doc_id"))
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    whole = docs.select("doc_id", "text", F.struct(*map(named, docs.columns)).alias("row"))
     named = language_id.predict(whole, langs, matrix, keep=["row"])
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names each group of near copies stays; repeated rows of one id and text are one document."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    unique = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = unused(docs.columns, "_kept")
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    unique = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     return unique.dropDuplicates(["doc_id", "text"])
 
 
@@ -35,8 +36,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = source_mix.mix(docs, carry=True).where("copies > 0")
-    return mixed.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    mixed = source_mix.mix(docs, weight=source_mix.by_length, carry=True).where("copies > 0")
+    return mixed.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
