@@ -12,9 +12,12 @@ range at a time, windows are sorted by their first V bytes, and long ties are re
 the cover gives for both positions of a pair (a three-way quicksort of all ties at once). Neighbours whose first
 `length` bytes agree are repeats. Memory depends on the block, not on the corpus or on the length of ties.
 
-A bucket of more than `bucket` different extents isn't held in one block: its windows are counted by 128-bit
-fingerprints instead, first `CELL` at a time, with partial sums, so that no task holds an unbounded group. Both give
-the same windows.
+A bucket of more than `bucket` different extents isn't held in one block: it is refined by a deeper prefix. Its windows
+are taken `CELL` neighbours at a time, and these cells are dealt to buckets by the length - CELL + 1 bytes that all of a
+cell's windows hold; equal cells are settled by their count, and the refined buckets are sorted in blocks like the
+others. Where even more than `bucket` different cells agree in that many bytes, the prefix is deepened to the whole
+window: then a bucket holds equal windows only, nothing is left to sort, and its size (a sum with partial sums) tells
+whether they repeat. So no task holds an unbounded group, and each level gives the windows that sorting would.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; repeated rows are repeats of one another;
 null ids are told apart by the text's hash; an empty table gives none; other columns are ignored. Ids are integers.
@@ -142,6 +145,22 @@ def gram(length: int) -> int:
     return length * 2 // 5
 
 
+def leftmost_least(x: np.ndarray, span: int) -> np.ndarray:
+    """For each `span` consecutive values, the place of the least one, the first of equals."""
+    n = len(x) - span + 1
+    grid = np.r_[x, np.full(-len(x) % span, _U(2**64 - 1))].reshape(-1, span)
+    place = np.arange(grid.size).reshape(grid.shape)
+    new = np.ones(grid.shape, bool)
+    left = np.minimum.accumulate(grid, 1)  # from the start of a row
+    new[:, 1:] = grid[:, 1:] < left[:, :-1]
+    left_at = np.maximum.accumulate(np.where(new, place, 0), 1).ravel()
+    right = np.minimum.accumulate(grid[:, ::-1], 1)  # from the end of a row
+    new[:, 1:] = grid[:, -2::-1] <= right[:, :-1]
+    right_at = np.minimum.accumulate(np.where(new, place[:, ::-1], grid.size), 1)[:, ::-1].ravel()
+    a, b = right_at[:n], left_at[span - 1 : span - 1 + n]
+    return np.where(x[a] <= x[b], a, b)
+
+
 def extents(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text number, first window, last window, anchor's code) of each anchor occurrence, in order."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -150,14 +169,7 @@ def extents(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if len(raw) < length:
         return none, none, none, none
     code = mix64(window_codes(raw, gram(length)))
-    span, n = length - gram(length) + 1, len(raw) - length + 1
-    bits = _U(int(len(raw)).bit_length())
-    v = (code >> bits << bits) | np.arange(len(code), dtype=_U)  # leftmost among equals, by position
-    whole = -(-len(v) // span) * span
-    grid = np.r_[v, np.full(whole - len(v), _U(2**64 - 1))].reshape(-1, span)
-    left = np.minimum.accumulate(grid, 1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    anchor = (np.minimum(right[:n], left[span - 1 : span - 1 + n]) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    anchor = leftmost_least(code, length - gram(length) + 1)
     begin = np.cumsum(size) - size
     windows = ragged_arange(begin, np.maximum(size - length + 1, 0))
     text = np.repeat(np.arange(len(texts)), np.maximum(size - length + 1, 0))
@@ -183,7 +195,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         at = pa.array(own)
         return {"ah": code, "dg": digest, "id": batch["id"].take(at), "t": batch["t"].take(at), "a": a, "b": b}
 
-    return map_chunks(docs, work, "ah long, dg long, id long, t long, a int, b int", most=2 << 20)
+    return map_chunks(docs, work, "ah long, dg long, id long, t long, a int, b int", most=1 << 20)
 
 
 def _block_repeats(contexts: DataFrame, length: int, block_bytes: int) -> DataFrame:
@@ -227,13 +239,13 @@ def _block_repeats(contexts: DataFrame, length: int, block_bytes: int) -> DataFr
     return importable(ready).mapInArrow(work, "id long, t long, a int, b int")
 
 
-def _hot_cells(contexts: DataFrame, length: int) -> DataFrame:
-    """(core, sub, id, t, p, n, w1, w2): a row for each cell of a hot extent. A cell's windows are those whose distance
-    to the anchor, divided by CELL, is the same; core is the digest of the bytes that all windows of such a cell hold,
-    sub of all bytes of those that are there; w1 and w2 are the windows' fingerprints, p the first window's place."""
+def _cells(contexts: DataFrame, length: int) -> DataFrame:
+    """(ah, sub, id, t, a, k, n, ctx): a row for each cell of an extent. A cell's windows are those whose distance to the
+    anchor, divided by CELL, is the same; ah is the digest of the bytes that all windows of such a cell hold, sub of all
+    bytes of the k windows that are there, and a the first window's place."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        names = ("core", "sub", "row", "p", "w1", "w2")
+        names = ("ah", "sub", "row", "a", "k", "ctx")
         out: dict[str, list] = {k: [] for k in names}
         for i, (c, ah, a) in enumerate(zip(*(batch[k].to_pylist() for k in ("ctx", "ah", "a")), strict=True)):
             last = len(c) - length  # of the windows
@@ -244,28 +256,46 @@ def _hot_cells(contexts: DataFrame, length: int) -> DataFrame:
             for x in np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]).tolist():
                 y = int(np.searchsorted(-cell, -cell[x], "right"))  # cells fall from left to right
                 core = anchor - CELL * int(cell[x])
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v[j : j + length]) for j in range(x, y)), "<i8").reshape(-1, 2)
-                for k, value in zip(names, (_long(xxhash.xxh3_64_intdigest(v[core : core + length - CELL + 1])), _long(xxhash.xxh3_64_intdigest(v[x : y - 1 + length])), i, a + x, w[:, 0], w[:, 1]), strict=True):
+                own = v[x : y - 1 + length]
+                for k, value in zip(names, (_long(xxhash.xxh3_64_intdigest(v[core : core + length - CELL + 1])), _long(xxhash.xxh3_64_intdigest(own)), i, a + x, y - x, bytes(own)), strict=True):
                     out[k].append(value)
         at = pa.array(out.pop("row"), pa.int64())
-        return {"core": out["core"], "sub": out["sub"], "id": batch["id"].take(at), "t": batch["t"].take(at), "p": out["p"], "n": batch["n"].take(at), "w1": out["w1"], "w2": out["w2"]}
+        return {"ah": out["ah"], "sub": out["sub"], "id": batch["id"].take(at), "t": batch["t"].take(at), "a": out["a"], "k": out["k"], "n": batch["n"].take(at), "ctx": out["ctx"]}
+
+    return map_chunks(contexts, work, "ah long, sub long, id long, t long, a int, k int, n long, ctx binary", column="ctx", most=1 << 18)
 
-    return map_chunks(contexts, work, "core long, sub long, id long, t long, p int, n long, w1 array<long>, w2 array<long>", column="ctx", most=1 << 18)
 
+def _windows(cells: DataFrame, length: int) -> DataFrame:
+    """(w1, w2, id, t, a, n): the fingerprint of each window of a cell."""
 
-def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(id, t, a, b) of repeated windows in hot extents. Cells that are equal as a whole are settled by their count;
-    only cells that share a core but differ are taken apart into windows, one of each kind."""
-    cells = stored(_hot_cells(contexts, length), "sub-cells")
-    kinds = cells.groupBy("core", "sub").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "id", "t", "p")).alias("one"), F.first("w1").alias("w1"), F.first("w2").alias("w2"))
-    kinds = stored(kinds, "sub-kinds")
-    whole = cells.where("n = 1").join(kinds.where("c > 1").select("core", "sub").hint("merge"), ["core", "sub"])
-    differ = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core"), "sub-cores")
-    windows = kinds.join(differ.hint("merge"), "core").select("c", "one", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
-    windows = stored(windows.select("c", "one", "at", "w.w1", "w.w2"), "sub-windows")
+    def work(batch: pa.RecordBatch) -> dict:
+        row, place, prints = [], [], []
+        for i, c in enumerate(batch["ctx"].to_pylist()):
+            v = memoryview(c)
+            count = len(c) - length + 1
+            row += [i] * count
+            place += range(count)
+            prints += [xxhash.xxh3_128_digest(v[j : j + length]) for j in range(count)]
+        w = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
+        at = pa.array(row, pa.int64())
+        return {"w1": w[:, 0], "w2": w[:, 1], "id": batch["id"].take(at), "t": batch["t"].take(at), "a": batch["a"].to_numpy()[row] + np.array(place, np.int32), "n": batch["n"].take(at)}
+
+    return map_chunks(cells, work, "w1 long, w2 long, id long, t long, a int, n long", column="ctx", most=1 << 18)
+
+
+def _refined(contexts: DataFrame, length: int, bucket: int, block_bytes: int) -> DataFrame:
+    """(id, t, a, b) of repeated windows in extents of buckets that are too large for a block."""
+    cells = stored(_cells(contexts, length), "sub-cells")
+    kinds = cells.groupBy("ah", "sub").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "id", "t", "a")).alias("one"), F.first("ctx").alias("ctx"))
+    kinds = stored(kinds.select("ah", "sub", "c", "one.id", "one.t", "one.a", F.greatest("c", "one.n").alias("n"), "ctx"), "sub-kinds")
+    whole = cells.where("n = 1").select("ah", "sub", "id", "t", "a", "k").join(kinds.where("c > 1").select("ah", "sub").hint("merge"), ["ah", "sub"])
+    width = stored(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "sub-widths")
+    differ = stored(kinds.join(width.hint("merge"), "ah").select("width", "ah", "id", "t", "a", "n", "ctx"), "sub-differ")
+    blocks = _block_repeats(differ.where(F.col("width") <= bucket).drop("width"), length, block_bytes)
+    windows = stored(_windows(differ.where(F.col("width") > bucket), length), "sub-windows")
     twice = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2"), "sub-more")
-    single = windows.where("c = 1 and one.n = 1").join(twice.hint("merge"), ["w1", "w2"]).withColumn("a", F.col("one.p") + F.col("at"))
-    return whole.select("id", "t", F.col("p").alias("a"), (F.col("p") + F.size("w1") - 1).alias("b")).unionAll(single.select("one.id", "one.t", "a", F.col("a").alias("b")))
+    equal = windows.where("n = 1").join(twice.hint("merge"), ["w1", "w2"]).select("id", "t", "a", F.col("a").alias("b"))
+    return whole.select("id", "t", "a", (F.col("a") + F.col("k") - 1).alias("b")).unionAll(blocks).unionAll(equal)
 
 
 def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
@@ -288,8 +318,8 @@ def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 512, block_byte
     contexts = stored(contexts.dropDuplicates(["id", "t", "ah", "a"]), "sub-contexts")
     found_in_blocks = _block_repeats(contexts.where(F.col("k") <= bucket).drop("k"), length, block_bytes)
 
-    hot_found = _hot_repeats(contexts.where(F.col("k") > bucket), length)
-    return copies.unionAll(found_in_blocks).unionAll(hot_found)
+    hot = contexts.where(F.col("k") > bucket).drop("k")
+    return copies.unionAll(found_in_blocks).unionAll(_refined(hot, length, bucket, block_bytes))
 
 
 def drop_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", bucket: int = 512, block_bytes: int = 4 << 20) -> DataFrame:

@@ -30,10 +30,18 @@ def check(df, **kw):
 
 
 def test_tables(documents, odd, none):
-    for df in (documents, odd.where("doc_id is null or doc_id not in (11, 12)"), none):
+    for df in (documents, odd, none):
         check(df)
 
 
+def test_anchors_are_the_leftmost_least():
+    rng = np.random.default_rng(3)
+    for n, span in ((50, 1), (50, 7), (64, 8), (300, 41), (41, 41)):
+        x = rng.integers(0, 9, n).astype(np.uint64)
+        want = [i + int(np.argmin(x[i : i + span])) for i in range(n - span + 1)]
+        assert S.leftmost_least(x, span).tolist() == want
+
+
 @pytest.mark.parametrize("bucket", [256, 3])
 def test_planted(spark, bucket):
     rng = random.Random(4)
