@@ -1,12 +1,14 @@
 """Identity chains: from a transaction, follow whichever transaction spends output 0 until one isn't spent.
 
-`chain_ends` needs only ends and lengths: pointer doubling, whose rounds grow with the logarithm of the longest chain.
-`chains` lists the members too: it grows all paths backwards from the heads, one edge a round.
+Both `chain_ends` and `chains`, which lists the members too, use pointer doubling: rounds grow with the logarithm of the
+longest chain. A round joins hops (base, to, what lies between) with one another and with the chains that are known.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import stored
@@ -31,34 +33,63 @@ def _heads(edges: DataFrame, base: DataFrame) -> DataFrame:
     return every.join(edges.select(F.col("parent").alias("tx")), "tx", "left_anti")
 
 
-def chain_ends(ledger: Ledger) -> DataFrame:
-    """(base, head, length): every transaction with an output 0, each unspent end it leads to, and the members between
-    them, both included. Several ends where an output was spent twice."""
-    edges, base = _edges(ledger)
-    done = stored(_heads(edges, base).select(F.col("tx").alias("base"), F.col("tx").alias("head"), F.lit(0).cast("long").alias("steps")))
-    hop = stored(edges.select(F.col("parent").alias("base"), F.col("child").alias("to"), F.lit(1).cast("long").alias("steps")))
+def _doubled(edges: DataFrame, heads: DataFrame, first: Column, head: Column, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """(base, head, way, paths) of all chains; paths: how many chains share the other three. first: the way of one hop;
+    head: that of a head alone; join: of two in a row."""
+    one = F.lit(1).cast("long").alias("paths")
+    done = stored(heads.select(F.col("tx").alias("base"), F.col("tx").alias("head"), head.alias("way"), one))
+    hop = stored(edges.select(F.col("parent").alias("base"), F.col("child").alias("to"), first.alias("way"), one))
     rounds = 0
     while rounds <= MOST_STEPS.bit_length() and not hop.isEmpty():
         rounds += 1
         # hops that arrive where all ends are known are finished; the others double
-        known = done.select(F.col("base").alias("to"), "head", F.col("steps").alias("more"))
-        fresh = hop.join(known, "to").select("base", "head", (F.col("steps") + F.col("more")).alias("steps"))
-        on = hop.select(F.col("base").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        doubled = hop.join(on, "to").select("base", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
-        done, hop = stored(done.unionAll(fresh).distinct()), stored(doubled.distinct())
+        known = done.select(F.col("base").alias("to"), "head", F.col("way").alias("more"), F.col("paths").alias("times"))
+        on = hop.select(F.col("base").alias("to"), F.col("to").alias("next"), F.col("way").alias("more"), F.col("paths").alias("times"))
+        both = [join(F.col("way"), F.col("more")).alias("way"), (F.col("paths") * F.col("times")).alias("paths")]
+        fresh, doubled = hop.join(known, "to").select("base", "head", *both), hop.join(on, "to").select("base", F.col("next").alias("to"), *both)
+        done = stored(done.unionAll(fresh).groupBy("base", "head", "way").agg(F.sum("paths").alias("paths")))
+        hop = stored(doubled.groupBy("base", "to", "way").agg(F.sum("paths").alias("paths")))
+    return done
+
+
+def _ends(ledger: Ledger) -> DataFrame:
+    edges, base = _edges(ledger)
+    done = _doubled(edges, _heads(edges, base), F.lit(1).cast("long"), F.lit(0).cast("long"), lambda a, b: a + b)
     own = done.join(base.withColumnRenamed("tx", "base"), "base", "left_semi")
-    return own.where(F.col("steps") <= MOST_STEPS).select("base", "head", (F.col("steps") + 1).alias("length"))
+    return own.where(F.col("way") <= MOST_STEPS).select("base", "head", (F.col("way") + 1).alias("length"), "paths")
+
+
+def chain_ends(ledger: Ledger) -> DataFrame:
+    """(base, head, length): every transaction with an output 0, each unspent end it leads to, and the members between
+    them, both included. Several ends where an output was spent twice."""
+    return _ends(ledger).drop("paths")
 
 
 def chains(ledger: Ledger) -> DataFrame:
     """(base, head, members): members are the transactions' ids from base to head."""
     edges, base = _edges(ledger)
-    level = stored(_heads(edges, base).select(F.col("tx").alias("base"), F.col("tx").alias("head"), F.array("tx").alias("members")))
-    found, steps = level, 0
-    while not level.isEmpty() and steps < MOST_STEPS:
-        level = stored(edges.join(level.withColumnRenamed("base", "child"), "child").select(F.col("parent").alias("base"), "head", F.concat(F.array("parent"), "members").alias("members")))
-        found, steps = found.unionAll(level), steps + 1
-    return found.join(base.withColumnRenamed("tx", "base"), "base", "left_semi")
+    done = _doubled(edges, _heads(edges, base), F.array("parent"), F.array("tx"), F.concat)
+    own = done.where(F.size("way") <= MOST_STEPS + 1).join(base.withColumnRenamed("tx", "base"), "base", "left_semi")
+    return own.select("base", "head", F.col("way").alias("members"))
+
+
+def authchain_view(ledger: Ledger) -> DataFrame:
+    """(transaction_internal_id, authhead_transaction_hash, authchain_length, unspent_authhead), a row for each chain: only
+    those that end in an unspent head are listed, so the last is always true."""
+    t = ledger["transaction"].select(F.col("internal_id").alias("head"), F.col("hash").alias("authhead_transaction_hash"))
+    each = _ends(ledger).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("paths").cast("int"))))
+    return each.join(t, "head").select(F.col("base").alias("transaction_internal_id"), "authhead_transaction_hash", F.col("length").alias("authchain_length"), F.lit(True).alias("unspent_authhead"))
+
+
+def migrations_view(ledger: Ledger) -> DataFrame:
+    """(authbase_internal_id, migration_index, migration_transaction_internal_id)."""
+    return migrations(chains(ledger)).select(F.col("base").alias("authbase_internal_id"), "migration_index", F.col("tx").alias("migration_transaction_internal_id"))
+
+
+def migration_transactions(ledger: Ledger) -> DataFrame:
+    """authbase_internal_id and migration_index with all columns of the migration's transaction."""
+    t = ledger["transaction"]
+    return migrations_view(ledger).join(t, F.col("migration_transaction_internal_id") == t["internal_id"]).drop("migration_transaction_internal_id")
 
 
 def migrations(all_chains: DataFrame) -> DataFrame:

@@ -71,6 +71,40 @@ def splice(chain: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chain.join(headers, key, "left_anti").select(*key, "hash").unionAll(headers.select(*key, "hash")), stale
 
 
+def follow(chain: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new chain, stale rows, ignored) for header messages (node_internal_id, position, hash, previous_block_hash), one a
+    source: they go on from the last height of the first one's parent. Ignored are sources whose parent isn't in their
+    chain (reason "unknown parent") or whose last header already is ("known headers")."""
+    key = ["node_internal_id"]
+    ends = headers.groupBy(*key).agg(F.min(F.struct("position", "previous_block_hash")).alias("first"), F.max(F.struct("position", "hash")).alias("last"))
+    ends = ends.select(*key, F.col("first.position").alias("start"), F.col("first.previous_block_hash").alias("parent"), F.col("last.hash").alias("tip"))
+    at = chain.select(*key, F.col("hash").alias("parent"), "height").join(ends.select(*key, "parent"), [*key, "parent"], "left_semi").groupBy(*key).agg(F.max("height").alias("below"))
+    had = chain.join(ends.select(*key, F.col("tip").alias("hash")), [*key, "hash"], "left_semi").select(*key, F.lit("known headers").alias("had")).distinct()
+    state = ends.join(at, key, "left").join(had, key, "left").withColumn("reason", F.when(F.col("below").isNull(), F.lit("unknown parent")).otherwise(F.col("had")))
+    placed = headers.join(state.where("reason is null").select(*key, "start", "below"), key)
+    placed = placed.select(*key, (F.col("below") + 1 + F.col("position") - F.col("start")).cast("long").alias("height"), "hash")
+    new, stale = splice(chain, placed)
+    return new, stale, state.where("reason is not null").select(*key, "reason")
+
+
+def rewound(states: DataFrame, extra: DataFrame, reorgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, extra) after re-organizations (node_internal_id, height): progress (node_internal_id, synced_to) falls back
+    to the height below, if it had come that far, and synced or pending heights (node_internal_id, height, ...) at and
+    above it are dropped."""
+    low = reorgs.groupBy("node_internal_id").agg(F.min("height").alias("_at"))
+    s = states.join(low, "node_internal_id", "left").withColumn("synced_to", F.coalesce(F.least("synced_to", F.col("_at") - 1), F.col("synced_to"))).drop("_at")
+    e = extra.join(low, "node_internal_id", "left").where(F.col("_at").isNull() | (F.col("height") < F.col("_at"))).drop("_at")
+    return s, e
+
+
+def next_heights(states: DataFrame, extra: DataFrame) -> DataFrame:
+    """(node_internal_id, next): the first height above synced_to that a source neither has synced nor has pending."""
+    h = extra.select("node_internal_id", "height").join(states.select("node_internal_id", "synced_to"), "node_internal_id").where("height > synced_to").distinct()
+    w = Window.partitionBy("node_internal_id").orderBy("height")
+    run = h.where("height is not null").withColumn("_n", F.row_number().over(w)).where(F.col("height") == F.col("synced_to") + F.col("_n")).groupBy("node_internal_id").agg(F.max("height").alias("_top"))
+    return states.join(run, "node_internal_id", "left").select("node_internal_id", (F.coalesce("_top", "synced_to") + 1).cast("long").alias("next"))
+
+
 def stale_blocks(ledger: Ledger, headers: DataFrame, removed_at: Column) -> tuple[DataFrame, DataFrame]:
     """(node_block that remains, node_block_history rows) after a source's re-organization to the headers."""
     _, stale = splice(accepted_heights(ledger), headers)
@@ -108,8 +142,30 @@ def incomplete_blocks(ledger: Ledger, low: int, high: int, limit: int | None = N
         b = b.where(~F.col("hash").isin([F.lit(bytearray(bytes.fromhex(h))) for h in known]))
     b = b.join(ledger["node_block"].select(F.col("block_internal_id").alias("internal_id")), "internal_id", "left_semi")
     t = ledger["transaction"].select(F.col("internal_id").alias("transaction_internal_id"), F.col("size_bytes").alias("tx_bytes"))
-    linked = ledger["block_transaction"].join(t, "transaction_internal_id", "left").groupBy(F.col("block_internal_id").alias("internal_id")).agg(F.count("transaction_internal_id").alias("linked"), F.coalesce(F.sum("tx_bytes"), F.lit(0)).alias("linked_bytes"))
+    bridge = ledger["block_transaction"].join(b.select(F.col("internal_id").alias("block_internal_id")), "block_internal_id", "left_semi")
+    linked = bridge.join(t, "transaction_internal_id", "left").groupBy(F.col("block_internal_id").alias("internal_id")).agg(F.count("transaction_internal_id").alias("linked"), F.coalesce(F.sum("tx_bytes"), F.lit(0)).alias("linked_bytes"))
     b = b.join(linked, "internal_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("linked", "linked_bytes")})
     b = b.withColumn("expected", F.col("linked_bytes") + 80 + compact_uint_length(F.col("linked")))
     out = b.where(F.col("expected") != F.col("size_bytes")).orderBy("height", "hash")
     return out if limit is None else out.limit(limit)
+
+
+def audit_report(ledger: Ledger, low: int, high: int, limit: int | None = None) -> DataFrame:
+    """One row: how many accepted blocks were scanned, and the incomplete ones as a JSON list in order, [] if none."""
+    b = ledger["block"].where((F.col("height") >= low) & (F.col("height") < high)).join(ledger["node_block"].select(F.col("block_internal_id").alias("internal_id")), "internal_id", "left_semi")
+    bad = incomplete_blocks(ledger, low, high, limit).select("height", F.lower(F.hex("hash")).alias("hash"), F.col("expected").alias("linkedSizeBytes"), F.col("size_bytes").alias("sizeBytes"), F.col("linked").alias("transactionCount"))
+    listed = bad.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*bad.columns)))).alias("incomplete"))
+    return b.agg(F.count(F.lit(1)).alias("scanned")).crossJoin(listed)  # one row each
+
+
+def audit_range(best: int, following: int, batch: int) -> tuple[int, int]:
+    """The heights low <= h < high to audit next: from the following height on, or from 0 again beyond the best one."""
+    low = 0 if following > best else following
+    return low, min(low + batch, best + 1)
+
+
+def audit_progress(best: int, low: int, high: int, found: int, limit: int) -> tuple[int, bool]:
+    """(height to go on from, whether all heights are audited): the same range again while it gives a full list."""
+    if found == limit:
+        return low, False
+    return (0, True) if high == best + 1 else (high, False)

@@ -24,15 +24,17 @@ class Archive(NamedTuple):
     history: DataFrame
 
 
-def _outpoints(ledger: Ledger, tx: str) -> DataFrame:
-    """What each transaction spends, issuance left out."""
+def _outpoints(ledger: Ledger, tx: str, of: DataFrame | None = None) -> DataFrame:
+    """What each transaction spends, issuance left out; of: only these transactions (transaction_internal_id)."""
     i = ledger["input"].where(F.col("outpoint_transaction_hash") != F.unhex(F.lit(ZERO_HASH)))
+    if of is not None:
+        i = i.join(of.select("transaction_internal_id").distinct(), "transaction_internal_id", "left_semi")
     return i.select(F.col("transaction_internal_id").alias(tx), "outpoint_transaction_hash", "outpoint_index")
 
 
-def conflicts(ledger: Ledger, a: str, b: str) -> DataFrame:
-    """Distinct pairs of different transactions that spend a common output."""
-    return _outpoints(ledger, a).join(_outpoints(ledger, b), ["outpoint_transaction_hash", "outpoint_index"]).where(F.col(a) != F.col(b)).select(a, b).distinct()
+def conflicts(ledger: Ledger, a: str, b: str, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """Distinct pairs of different transactions, one of of_a and one of of_b, that spend a common output."""
+    return _outpoints(ledger, a, of_a).join(_outpoints(ledger, b, of_b), ["outpoint_transaction_hash", "outpoint_index"]).where(F.col(a) != F.col(b)).select(a, b).distinct()
 
 
 def _archive(pending: DataFrame, events: DataFrame) -> Archive:
@@ -45,7 +47,7 @@ def replace(ledger: Ledger, new: DataFrame) -> Archive:
     """new: pending rows just added. Other pending rows of the same source that spend an output of theirs go, at the
     time the new one was validated."""
     pending = ledger["node_transaction"]
-    hits = new.select("node_internal_id", F.col("transaction_internal_id").alias("added"), F.col("validated_at").alias("replaced_at")).join(conflicts(ledger, "added", "transaction_internal_id"), "added")
+    hits = new.select("node_internal_id", F.col("transaction_internal_id").alias("added"), F.col("validated_at").alias("replaced_at")).join(conflicts(ledger, "added", "transaction_internal_id", new, pending), "added")
     return _archive(pending, hits.select(*KEY, "replaced_at"))
 
 
@@ -54,19 +56,22 @@ def accept(ledger: Ledger, accepted: DataFrame) -> Archive:
     that conflict with one of its transactions go at the time of acceptance (null where that isn't known)."""
     a = accepted.join(ledger["block_transaction"], "block_internal_id").select("node_internal_id", F.col("transaction_internal_id").alias("mined"), "accepted_at")
     same = a.select("node_internal_id", F.col("mined").alias("transaction_internal_id"), F.lit(None).cast("timestamp_ntz").alias("replaced_at"))
-    other = a.join(conflicts(ledger, "mined", "transaction_internal_id"), "mined").select(*KEY, F.col("accepted_at").alias("replaced_at"))
-    return _archive(ledger["node_transaction"], same.unionAll(other))
+    pending = ledger["node_transaction"]
+    rivals = conflicts(ledger, "mined", "transaction_internal_id", a.select(F.col("mined").alias("transaction_internal_id")), pending)
+    other = a.join(rivals, "mined").select(*KEY, F.col("accepted_at").alias("replaced_at"))
+    return _archive(pending, same.unionAll(other))
 
 
 def _children(ledger: Ledger, source: str, child: str) -> DataFrame:
+    """Pending transactions and the stored ones that they spend from."""
     t = ledger["transaction"].select(F.col("internal_id").alias(source), F.col("hash").alias("outpoint_transaction_hash"))
-    return _outpoints(ledger, child).join(t, "outpoint_transaction_hash").select(source, child).distinct()
+    return _outpoints(ledger, child, ledger["node_transaction"]).join(t, "outpoint_transaction_hash").select(source, child).distinct()
 
 
 def _spread(ledger: Ledger, events: DataFrame) -> Archive:
     """Archives the events' rows and all pending descendants of the same source, each at the earliest time of any path."""
     pending = ledger["node_transaction"]
-    edges = stored(_children(ledger, "transaction_internal_id", "child").join(pending.select(F.col("transaction_internal_id").alias("child")).distinct(), "child", "left_semi"))
+    edges = stored(_children(ledger, "transaction_internal_id", "child"))
     live = stored(pending.select(*KEY))
     front = stored(events.join(live, KEY, "left_semi").groupBy(*KEY).agg(F.min("replaced_at").alias("replaced_at")))
     best = front
@@ -93,7 +98,7 @@ def backfill_orphans(ledger: Ledger) -> Archive:
     gone = ledger["node_transaction_history"].where("replaced_at is not null").select("node_internal_id", F.col("transaction_internal_id").alias("source"), "replaced_at")
     t = ledger["transaction"].select(F.col("internal_id").alias("source"), F.col("hash").alias("outpoint_transaction_hash"))
     there = ledger["output"].select(F.col("transaction_hash").alias("outpoint_transaction_hash"), F.col("output_index").alias("outpoint_index"))
-    spends = _outpoints(ledger, "transaction_internal_id").join(there, ["outpoint_transaction_hash", "outpoint_index"], "left_semi").join(t, "outpoint_transaction_hash").select("source", "transaction_internal_id").distinct()
+    spends = _outpoints(ledger, "transaction_internal_id", ledger["node_transaction"]).join(there, ["outpoint_transaction_hash", "outpoint_index"], "left_semi").join(t, "outpoint_transaction_hash").select("source", "transaction_internal_id").distinct()
     return _spread(ledger, gone.join(spends, "source").select(*KEY, "replaced_at"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import compact_uint_hex, le_hex, reverse_hex, to_hex
+from ..functions.bytes import compact_uint_hex, le_hex, reverse_bytes, reverse_hex, to_hex
 from ..sources.ledger import Ledger
 
 
@@ -20,7 +20,7 @@ def token_prefix_hex() -> Column:
     level = F.when(F.col("nonfungible_token_capability") == "mutable", 1).when(F.col("nonfungible_token_capability") == "minting", 2).otherwise(0)
     long = F.octet_length(note) > 0
     flags = F.when(amount > 0, 16).otherwise(0) + F.when(note.isNotNull(), 32 + level + F.when(long, 64).otherwise(0)).otherwise(0)
-    text = F.concat(F.lit("ef"), reverse_hex(to_hex(F.col("token_category"))), le_hex(flags, 1), F.when(long, _sized(note)).otherwise(""), F.when(amount > 0, compact_uint_hex(amount)).otherwise(""))
+    text = F.concat(F.lit("ef"), to_hex(reverse_bytes(F.col("token_category"))), le_hex(flags, 1), F.when(long, _sized(note)).otherwise(""), F.when(amount > 0, compact_uint_hex(amount)).otherwise(""))
     return F.when(F.col("token_category").isNull(), "").otherwise(text)
 
 
@@ -30,7 +30,7 @@ def _joined(df: DataFrame, key: str, index: str, part: Column, name: str) -> Dat
 
 def encoded_transactions(ledger: Ledger) -> DataFrame:
     """(internal_id, hash, encoded_hex)."""
-    i = F.concat(reverse_hex(to_hex(F.col("outpoint_transaction_hash"))), le_hex(F.col("outpoint_index"), 4), _sized(F.col("unlocking_bytecode")), le_hex(F.col("sequence_number"), 4))
+    i = F.concat(to_hex(reverse_bytes(F.col("outpoint_transaction_hash"))), le_hex(F.col("outpoint_index"), 4), _sized(F.col("unlocking_bytecode")), le_hex(F.col("sequence_number"), 4))
     prefix = token_prefix_hex()
     script = F.concat(prefix, to_hex(F.col("locking_bytecode")))
     o = F.concat(le_hex(F.col("value_satoshis"), 8), compact_uint_hex((F.length(script) / 2).cast("long")), script)
@@ -44,7 +44,7 @@ def encoded_transactions(ledger: Ledger) -> DataFrame:
 
 def header_hex() -> Column:
     """Of a block row: 80 bytes."""
-    return F.concat(le_hex(F.col("version"), 4), reverse_hex(to_hex(F.col("previous_block_hash"))), reverse_hex(to_hex(F.col("merkle_root"))), le_hex(F.col("timestamp"), 4), le_hex(F.col("bits"), 4), le_hex(F.col("nonce"), 4))
+    return F.concat(le_hex(F.col("version"), 4), to_hex(reverse_bytes(F.col("previous_block_hash"))), to_hex(reverse_bytes(F.col("merkle_root"))), le_hex(F.col("timestamp"), 4), le_hex(F.col("bits"), 4), le_hex(F.col("nonce"), 4))
 
 
 def encoded_blocks(ledger: Ledger) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,8 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """At the interpreter's exit: what this process has written."""
+    for spark, path in _made:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
+
+
+atexit.register(_sweep)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written and read back."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    _made.append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.bytes import from_hex
+from ..functions.bytes import from_hex, to_hex
+from ..plans.ids import with_ids
 
 
 class Ledger:
@@ -50,25 +52,80 @@ class Ledger:
 
 _OUTPUT = "struct<valueSatoshis:long,lockingBytecode:string,fungibleTokenAmount:long,tokenCategory:string,nonfungibleTokenCapability:string,nonfungibleTokenCommitment:string>"
 _INPUT = "struct<outpointIndex:long,outpointTransactionHash:string,sequenceNumber:long,unlockingBytecode:string>"
-#: A block as peers send it, decoded; hashes and scripts are hex text.
-BLOCK_RECORD = f"hash string, height long, version long, timestamp long, previousBlockHash string, merkleRoot string, bits long, nonce long, sizeBytes long, transactions array<struct<hash:string,isCoinbase:boolean,sizeBytes:long,version:long,locktime:long,inputs:array<{_INPUT}>,outputs:array<{_OUTPUT}>>>"
+#: A transaction and a block as peers send them, decoded; hashes and scripts are hex text.
+TRANSACTION_RECORD = f"struct<hash:string,isCoinbase:boolean,sizeBytes:long,version:long,locktime:long,inputs:array<{_INPUT}>,outputs:array<{_OUTPUT}>>"
+BLOCK_RECORD = f"hash string, height long, version long, timestamp long, previousBlockHash string, merkleRoot string, bits long, nonce long, sizeBytes long, transactions array<{TRANSACTION_RECORD}>"
 
 
-def from_blocks(blocks: DataFrame) -> Ledger:
-    """Splits nested block records into the five base tables. Blocks and transactions are kept once; ids are the first
-    8 bytes of their hashes, so that they don't depend on the order of arrival."""
+class Records(NamedTuple):
+    """Decoded blocks, keyed by hash: a ledger gives them ids when they are saved."""
 
-    def ident(h: Column) -> Column:
-        return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+    block: DataFrame  # without internal_id
+    transaction: DataFrame  # without internal_id
+    link: DataFrame  # block_hash, transaction_hash, transaction_index
+    input: DataFrame  # transaction_hash in place of transaction_internal_id
+    output: DataFrame
 
-    blocks = blocks.dropDuplicates(["hash"])
-    block = blocks.select(ident(F.col("hash")).alias("internal_id"), "height", "version", "timestamp", from_hex(F.col("hash")).alias("hash"), from_hex(F.col("previousBlockHash")).alias("previous_block_hash"), from_hex(F.col("merkleRoot")).alias("merkle_root"), "bits", "nonce", F.col("sizeBytes").alias("size_bytes"))
-    tx = blocks.select(ident(F.col("hash")).alias("block_internal_id"), F.posexplode("transactions").alias("transaction_index", "t"))
-    bridge = tx.select("block_internal_id", ident(F.col("t.hash")).alias("transaction_internal_id"), F.col("transaction_index").cast("long"))
-    once = tx.select("t.*").dropDuplicates(["hash"])
-    transaction = once.select(ident(F.col("hash")).alias("internal_id"), from_hex(F.col("hash")).alias("hash"), "version", "locktime", F.col("sizeBytes").alias("size_bytes"), F.col("isCoinbase").alias("is_coinbase"))
-    ins = once.select(ident(F.col("hash")).alias("transaction_internal_id"), F.posexplode("inputs").alias("i", "x"))
-    inputs = ins.select("transaction_internal_id", F.col("i").cast("long").alias("input_index"), F.col("x.outpointIndex").alias("outpoint_index"), F.col("x.sequenceNumber").alias("sequence_number"), from_hex(F.col("x.outpointTransactionHash")).alias("outpoint_transaction_hash"), from_hex(F.col("x.unlockingBytecode")).alias("unlocking_bytecode"))
-    outs = once.select(F.col("hash"), F.posexplode("outputs").alias("i", "x"))
+
+def transaction_records(txs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transaction, input, output) of decoded transactions, each hash once."""
+    once = txs.dropDuplicates(["hash"])
+    transaction = once.select(from_hex(F.col("hash")).alias("hash"), "version", "locktime", F.col("sizeBytes").alias("size_bytes"), F.col("isCoinbase").alias("is_coinbase"))
+    ins = once.select("hash", F.posexplode("inputs").alias("i", "x"))
+    inputs = ins.select(from_hex(F.col("hash")).alias("transaction_hash"), F.col("i").cast("long").alias("input_index"), F.col("x.outpointIndex").alias("outpoint_index"), F.col("x.sequenceNumber").alias("sequence_number"), from_hex(F.col("x.outpointTransactionHash")).alias("outpoint_transaction_hash"), from_hex(F.col("x.unlockingBytecode")).alias("unlocking_bytecode"))
+    outs = once.select("hash", F.posexplode("outputs").alias("i", "x"))
     outputs = outs.select(from_hex(F.col("hash")).alias("transaction_hash"), F.col("i").cast("long").alias("output_index"), F.col("x.valueSatoshis").alias("value_satoshis"), from_hex(F.col("x.lockingBytecode")).alias("locking_bytecode"), from_hex(F.col("x.tokenCategory")).alias("token_category"), F.col("x.fungibleTokenAmount").alias("fungible_token_amount"), F.col("x.nonfungibleTokenCapability").alias("nonfungible_token_capability"), from_hex(F.col("x.nonfungibleTokenCommitment")).alias("nonfungible_token_commitment"))
-    return Ledger(blocks.sparkSession, {"block": block, "transaction": transaction, "block_transaction": bridge, "input": inputs, "output": outputs})
+    return transaction, inputs, outputs
+
+
+def decode_blocks(blocks: DataFrame) -> Records:
+    """Splits nested block records; blocks and transactions are kept once."""
+    blocks = blocks.dropDuplicates(["hash"])
+    block = blocks.select("height", "version", "timestamp", from_hex(F.col("hash")).alias("hash"), from_hex(F.col("previousBlockHash")).alias("previous_block_hash"), from_hex(F.col("merkleRoot")).alias("merkle_root"), "bits", "nonce", F.col("sizeBytes").alias("size_bytes"))
+    tx = blocks.select(F.col("hash").alias("block"), F.posexplode("transactions").alias("i", "t"))
+    link = tx.select(from_hex(F.col("block")).alias("block_hash"), from_hex(F.col("t.hash")).alias("transaction_hash"), F.col("i").cast("long").alias("transaction_index"))
+    transaction, inputs, outputs = transaction_records(tx.select("t.*"))
+    return Records(block, transaction, link, inputs, outputs)
+
+
+def from_blocks(blocks: DataFrame) -> Ledger:
+    """A new ledger of these block records. Ids are given in the order of the hashes: by place, not by what a hash begins
+    with, as all block hashes begin with zeros."""
+    r = decode_blocks(blocks)
+    none = Ledger(blocks.sparkSession, {})
+    block, transaction = with_ids(none["block"], r.block, ["hash"]), with_ids(none["transaction"], r.transaction, ["hash"])
+    return Ledger(blocks.sparkSession, {"block": block, "transaction": transaction, "output": r.output, **numbered(r, block, transaction)})
+
+
+def numbered(r: Records, block: DataFrame, transaction: DataFrame) -> dict[str, DataFrame]:
+    """The links and inputs of r with the ids of these blocks and transactions; what isn't among them is left out."""
+    b = block.select(F.col("hash").alias("block_hash"), F.col("internal_id").alias("block_internal_id"))
+    t = transaction.select(F.col("hash").alias("transaction_hash"), F.col("internal_id").alias("transaction_internal_id"))
+    links = r.link.join(b, "block_hash").join(t, "transaction_hash").select(*schema.struct("block_transaction").names)
+    return {"block_transaction": links, "input": r.input.join(t, "transaction_hash").select(*schema.struct("input").names)}
+
+
+def transaction_rows(ledger: Ledger) -> DataFrame:
+    """A ledger's transactions as records (transaction_internal_id and the fields of TRANSACTION_RECORD)."""
+
+    def listed(df: DataFrame, key: str, index: str, *fields: Column) -> DataFrame:
+        one = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, F.struct(*fields).alias("x")))), lambda s: s["x"]).alias("list"))
+        return one
+
+    def text(name: str, alias: str) -> Column:
+        return to_hex(F.col(name)).alias(alias)
+
+    ins = listed(ledger["input"], "transaction_internal_id", "input_index", F.col("outpoint_index").alias("outpointIndex"), text("outpoint_transaction_hash", "outpointTransactionHash"), F.col("sequence_number").alias("sequenceNumber"), text("unlocking_bytecode", "unlockingBytecode"))
+    outs = listed(ledger["output"], "transaction_hash", "output_index", F.col("value_satoshis").alias("valueSatoshis"), text("locking_bytecode", "lockingBytecode"), F.col("fungible_token_amount").alias("fungibleTokenAmount"), text("token_category", "tokenCategory"), F.col("nonfungible_token_capability").alias("nonfungibleTokenCapability"), text("nonfungible_token_commitment", "nonfungibleTokenCommitment"))
+    t = ledger["transaction"].withColumnsRenamed({"internal_id": "transaction_internal_id", "hash": "transaction_hash"})
+    t = t.join(ins.withColumnRenamed("list", "inputs"), "transaction_internal_id", "left").join(outs.withColumnRenamed("list", "outputs"), "transaction_hash", "left")
+    return t.select("transaction_internal_id", text("transaction_hash", "hash"), F.col("is_coinbase").alias("isCoinbase"), F.col("size_bytes").alias("sizeBytes"), "version", "locktime", *[F.coalesce(c, F.array().cast(t.schema[c].dataType)).alias(c) for c in ("inputs", "outputs")])
+
+
+def block_rows(ledger: Ledger) -> DataFrame:
+    """A ledger's blocks as records, with all transactions in order."""
+    t = transaction_rows(ledger)
+    t = t.select("transaction_internal_id", F.struct(*[c for c in t.columns if c != "transaction_internal_id"]).alias("t"))
+    txs = ledger["block_transaction"].join(t, "transaction_internal_id").groupBy(F.col("block_internal_id").alias("internal_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("transaction_index", "t"))), lambda s: s["t"]).alias("transactions"))
+    b = ledger["block"].join(txs, "internal_id")
+    return b.select(to_hex(F.col("hash")).alias("hash"), "height", "version", "timestamp", to_hex(F.col("previous_block_hash")).alias("previousBlockHash"), to_hex(F.col("merkle_root")).alias("merkleRoot"), "bits", "nonce", F.col("size_bytes").alias("sizeBytes"), "transactions")

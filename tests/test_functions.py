@@ -66,9 +66,11 @@ def test_redeem(spark):
 
 def test_text(spark):
     x, ms = F.col("x"), F.col("ms")
-    sizes = {0: "0 B", 999: "999 B", 1000: "1.00 KB", 50220: "50.22 KB", 999990: "999.99 KB", 999995: "1.00 MB", 1999000: "2.00 MB", 999995000: "1.00 GB", 4445000000: "4.45 GB"}
+    sizes = {0: "0 B", 7: "7 B", 999: "999 B", 1000: "1.00 KB", 73456: "73.46 KB", 999990: "999.99 KB", 999991: "1.00 MB", 999995: "1.00 MB", 8125000: "8.13 MB", 999990000: "999.99 MB", 999990001: "1.00 GB", 31415926535: "31.42 GB"}
     assert one(spark, [(v,) for v in sizes], "x long", text.format_bytes(x)) == [(v,) for v in sizes.values()]
-    rates = {(0, 0): "- B/s", (100, 100000): "1 B/s", (50220, 2000): "25.11 KB/s", (999995, 1000): "1.00 MB/s", (4440000000, 2000): "2.22 GB/s"}
+    rates = {(0, 0): "- B/s", (9, 0): "- B/s", (1234, 100000): "12.34 B/s", (125, 10000): "12.5 B/s", (640, 80000): "8 B/s", (1, 300000): "0 B/s", (9996, 10000): "999.6 B/s", (99999, 100000): "999.99 B/s", (999992, 1000000): "1.00 KB/s", (77000, 3500): "22.00 KB/s", (6, 5): "1.20 KB/s", (999995, 1000): "1.00 MB/s"}
     assert one(spark, list(rates), "x long, ms long", text.format_rate(x, ms)) == [(v,) for v in rates.values()]
-    rows = {(5714116, 22856465, 0, 0): 10, (22856465, 22856465, 0, 816150325): 40, (22856465, 22856465, 408075162, 816150325): 70}
+    when = one(spark, [("2031-05-17T08:30:00.250Z",), ("2031-05-17 08:30:00",), ("soon",)], "x string", text.iso_utc(text.parse_utc(x)))
+    assert when == [("2031-05-17T08:30:00.250Z",), ("2031-05-17T08:30:00.000Z",), (None,)]
+    rows = {(50, 200, 0, 0): 10, (200, 200, 0, 90): 40, (200, 200, 45, 90): 70, (200, 200, 90, 90): 100, (0, 0, 0, 0): 0}
     assert one(spark, list(rows), "a long, b long, c long, d long", text.index_progress(*map(F.col, "abcd"))) == [(v,) for v in rows.values()]
