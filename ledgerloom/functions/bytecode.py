@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes import reverse_hex
@@ -28,12 +28,13 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _walk(script: Column, lengths: bool) -> Column:
-    """struct(next, pattern, first, size): first and size of the last operation's data, null unless it's a full push.
-    script must be a plain column or a name bound by _let."""
+def walked(script: Column) -> Column:
+    """struct(next, pattern, wide, first, size) of one fold: the pattern, the pattern with the length bytes of 76, 77 and 78
+    kept, and first and size of the last operation's data, null unless it's a full push. script must be a plain column
+    or a name bound by _let."""
     n = F.octet_length(script).cast("long")
     none = F.lit(None).cast("long")
-    start = F.struct(F.lit(1).cast("long").alias("next"), F.lit("").alias("pattern"), none.alias("first"), none.alias("size"))
+    start = F.struct(F.lit(1).cast("long").alias("next"), F.lit("").alias("pattern"), F.lit("").alias("wide"), none.alias("first"), none.alias("size"))
 
     def pushed(at: Column, op: Column, wide: Column) -> Column:
         """Bytes that the operation pushes; null if it isn't a push, or is broken."""
@@ -44,11 +45,12 @@ def _walk(script: Column, lengths: bool) -> Column:
     def moved(state: Column, at: Column, op: Column, wide: Column, size: Column) -> Column:
         first = at + 1 + wide
         broken = (wide > 0) & size.isNull()
-        shown = F.when((wide > 0) & ~broken, wide + 1).otherwise(F.lit(1)) if lengths else F.lit(1)
+        shown = F.when((wide > 0) & ~broken, wide + 1).otherwise(F.lit(1))
         fits = first + size - 1 <= n
         return F.struct(
             F.when(broken, F.lit(_DONE)).when(size.isNull(), at + 1).otherwise(first + size).cast("long").alias("next"),
-            F.concat(state["pattern"], F.lower(F.hex(script.substr(at.cast("int"), shown.cast("int"))))).alias("pattern"),
+            F.concat(state["pattern"], F.lower(F.hex(script.substr(at.cast("int"), F.lit(1))))).alias("pattern"),
+            F.concat(state["wide"], F.lower(F.hex(script.substr(at.cast("int"), shown.cast("int"))))).alias("wide"),
             F.when(fits, first).cast("long").alias("first"),
             F.when(fits, size).cast("long").alias("size"),
         )
@@ -67,7 +69,24 @@ def _walk(script: Column, lengths: bool) -> Column:
 
 def pattern_hex(script: Column, lengths: bool = False) -> Column:
     """Hex of the pattern; with lengths, the length bytes of 76, 77 and 78 are kept. Null script, null pattern."""
-    return F.when(script.isNotNull(), _walk(script, lengths)["pattern"])
+    return F.when(script.isNotNull(), walked(script)["wide" if lengths else "pattern"])
+
+
+def of_scripts(df: DataFrame, script: str, **columns: Callable[[Column], Column]) -> DataFrame:
+    """df with columns that depend on a script alone, made once for each different script: scripts repeat, and a fold over
+    their bytes costs more than meeting them again."""
+    kinds = df.select(F.col(script).alias("_s")).where("_s is not null").distinct()
+    kinds = kinds.select("_s", *[f(F.col("_s")).alias(name) for name, f in columns.items()])
+    return df.join(kinds, F.col(script) == F.col("_s"), "left").drop("_s")
+
+
+def pattern_counts(df: DataFrame, script: str, count: str, redeem: bool = False) -> DataFrame:
+    """How many rows have a pattern: (pattern, with_lengths), or with the redeemed script's pattern (pattern, redeem). Scripts
+    are counted first, then each different one is walked once."""
+    scripts = df.groupBy(F.col(script).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    scripts = scripts.withColumn("_w", F.when(F.col("_s").isNotNull(), walked(F.col("_s"))))
+    both = [F.col("_w.pattern").alias("pattern"), redeem_pattern_hex(F.col("_s")).alias("redeem") if redeem else F.col("_w.wide").alias("with_lengths")]
+    return scripts.select("_n", *both).groupBy("pattern", "redeem" if redeem else "with_lengths").agg(F.sum("_n").alias(count))
 
 
 def redeem_pattern_hex(script: Column) -> Column:
@@ -75,9 +94,9 @@ def redeem_pattern_hex(script: Column) -> Column:
 
     def of(last: Column) -> Column:
         data = F.when(last["size"].isNotNull(), script.substr(last["first"].cast("int"), last["size"].cast("int")))
-        return _let(data, lambda d: F.when(d.isNotNull(), _walk(d, False)["pattern"]))
+        return _let(data, lambda d: F.when(d.isNotNull(), walked(d)["pattern"]))
 
-    return F.when(script.isNotNull(), _let(_walk(script, False), of))
+    return F.when(script.isNotNull(), _let(walked(script), of))
 
 
 def is_data_carrier(value: Column, script: Column) -> Column:

@@ -18,13 +18,13 @@ def from_hex(h: Column) -> Column:
     return F.when(h.isNull() | h.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(h)).otherwise(F.raise_error(F.concat(F.lit("invalid hexadecimal data: "), h)))
 
 
-def reverse_hex(h: Column) -> Column:
-    """Byte order reversed. Spark's reverse() on binary reverses characters, not bytes."""
-    return F.when(h == "", F.lit("")).otherwise(F.array_join(F.reverse(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1))), ""))
+def reverse_bytes(b: Column) -> Column:
+    """Byte order reversed. Spark's reverse() on binary reverses the characters of UTF-8; in ISO-8859-1 each byte is one."""
+    return F.encode(F.reverse(F.decode(b, "ISO-8859-1")), "ISO-8859-1")
 
 
-def reverse_bytes(b: Column) -> Column:
-    return F.unhex(reverse_hex(F.hex(b)))
+def reverse_hex(h: Column) -> Column:
+    return F.lower(F.hex(reverse_bytes(F.unhex(h))))
 
 
 def le_hex(x: Column, size: int) -> Column:

@@ -89,18 +89,17 @@ def accepted(where: str) -> str:
 _CASCADE = sql("gone live kids", "SELECT p.node AS node_internal_id, p.tx AS transaction_internal_id, p.validated, min(r.rep) AS replaced FROM r JOIN live p ON p.node = r.node AND p.tx = r.tx GROUP BY ALL", "r(node, tx, rep) AS (SELECT l.node, l.tx, g.replaced FROM gone g JOIN kids k ON k.parent = g.tx JOIN live l ON l.node = g.node AND l.tx = k.child UNION SELECT l.node, l.tx, r.rep FROM r JOIN kids k ON k.parent = r.tx JOIN live l ON l.node = r.node AND l.tx = k.child)")
 
 
-def cents(x: str, over: str, by: int) -> str:
-    """x / over / by, in hundredths, rounded half up."""
-    return f"((200 * {x} + {over} * {by}) // (2 * {over} * {by}))"
+def size_text(x: str, over: str = "1") -> str:
+    """x / over bytes: hundredths of the largest unit that isn't over 999.99 of the one below."""
 
+    def hundredths(unit: int) -> str:
+        return f"((200 * {x} + {over} * {unit}) // (2 * {over} * {unit}))"
 
-def size_text(x: str, over: str = "1") -> str:
-    def two(by: int) -> str:
-        c = cents(x, over, by)
-        return f"CAST({c} // 100 AS VARCHAR) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
+    def two(unit: int, name: str) -> str:
+        return f"CAST({hundredths(unit)} // 100 AS VARCHAR) || '.' || lpad(CAST({hundredths(unit)} % 100 AS VARCHAR), 2, '0') || ' {name}'"
 
-    whole = f"((2 * {x} + {over}) // (2 * {over}))"
-    return f"(CASE WHEN {whole} < 1000 THEN CAST({whole} AS VARCHAR) || ' B' WHEN {cents(x, over, 1000)} < 100000 THEN {two(1000)} || ' KB' WHEN {cents(x, over, 10**6)} < 100000 THEN {two(10**6)} || ' MB' ELSE {two(10**9)} || ' GB' END)"
+    small = f"CAST({hundredths(1)} // 100 AS VARCHAR) || (CASE WHEN {hundredths(1)} % 100 = 0 THEN '' WHEN {hundredths(1)} % 10 = 0 THEN '.' || CAST({hundredths(1)} % 100 // 10 AS VARCHAR) ELSE '.' || lpad(CAST({hundredths(1)} % 100 AS VARCHAR), 2, '0') END) || ' B'"
+    return f"(CASE WHEN 100 * {x} <= 99999 * {over} THEN {small} WHEN 100 * {x} <= 99999000 * {over} THEN {two(1000, 'KB')} WHEN 100 * {x} <= 99999000000 * {over} THEN {two(10**6, 'MB')} ELSE {two(10**9, 'GB')} END)"
 
 
 _FORK = "SELECT node, b.height, b.hash AS old, sha256(unhex(b.hash)) AS hash FROM nb JOIN blk b ON b.height = nb.height WHERE node = 1 AND b.height % 5 = 3 AND b.height >= (SELECT floor(max(height) * 9 / 10.0) FROM blk)"
@@ -161,7 +160,8 @@ ORACLES = {
     "mempool_expiry_scan": sql("nt nodes tx", "SELECT n.name, t.hash, validated + 1209600 AS expires FROM nt JOIN nodes n ON n.id = node JOIN tx t ON t.id = tx WHERE validated + 1209600 <= (SELECT max(validated) FROM nt)"),
     "mempool_expiry": sql("nt kids", "SELECT p.node AS node_internal_id, p.tx AS transaction_internal_id, p.validated, min(r.rep) AS replaced FROM r JOIN nt p ON p.node = r.node AND p.tx = r.tx GROUP BY ALL", "r(node, tx, rep) AS (SELECT node, tx, validated + 1209600 FROM nt WHERE validated + 1209600 <= (SELECT max(validated) FROM nt) UNION SELECT l.node, l.tx, r.rep FROM r JOIN kids k ON k.parent = r.tx JOIN nt l ON l.node = r.node AND l.tx = k.child)"),
     "node_unconfirmed_count": sql("nt nodes", "SELECT name, count(tx) AS unconfirmed_transaction_count FROM nodes LEFT JOIN nt ON node = id GROUP BY name"),
-    "incomplete_block_audit": sql("blk num nb", f"SELECT height, hash, linked, linked_bytes, size_bytes FROM (SELECT b.*, n AS linked, {long('bytes')} AS linked_bytes FROM blk b JOIN (SELECT height, count(*) AS n, sum(size_bytes) AS bytes FROM num GROUP BY height) s ON s.height = b.height) b WHERE height >= 10 AND height < 2000 AND height IN (SELECT height FROM nb) AND 80 + linked_bytes + (CASE WHEN linked <= 252 THEN 1 WHEN linked <= 65535 THEN 3 ELSE 5 END) <> size_bytes ORDER BY height, hash LIMIT 25"),
+    "incomplete_block_audit": sql("blk num nb", f"SELECT height, hash, linked, linked_bytes, size_bytes FROM (SELECT b.*, n AS linked, {long('bytes')} AS linked_bytes FROM blk b JOIN (SELECT height, count(*) AS n, sum(size_bytes) AS bytes FROM num GROUP BY height) s ON s.height = b.height) b WHERE height IN (SELECT height FROM nb) AND 80 + linked_bytes + (CASE WHEN linked <= 252 THEN 1 WHEN linked <= 65535 THEN 3 ELSE 5 END) <> size_bytes"),
+    "audit_report": sql("blk num nb", f"SELECT (SELECT count(*) FROM blk WHERE height IN (SELECT height FROM nb)) AS scanned, '[' || coalesce(string_agg('{{\"height\":' || height || ',\"hash\":\"' || hash || '\",\"linkedSizeBytes\":' || size_bytes - 1 || ',\"sizeBytes\":' || size_bytes || ',\"transactionCount\":' || n || '}}', ',' ORDER BY height), '') || ']' AS incomplete FROM blk JOIN (SELECT height AS h, count(*) AS n FROM num GROUP BY height) ON h = height WHERE height % 50 = 7 AND height IN (SELECT height FROM nb)"),
     "chain_gap_restore": sql("nb nodes", f"SELECT id AS node_internal_id, {long('coalesce(max(CASE WHEN dense THEN height END), -1)')} AS synced_to, {long('coalesce(sum(CASE WHEN NOT dense THEN 1 ELSE 0 END), 0)')} AS additional FROM nodes LEFT JOIN (SELECT node, height, row_number() OVER (PARTITION BY node ORDER BY height) - 1 = height AS dense FROM nb) ON node = id GROUP BY id"),
     "chain_gaps": sql("nb", "SELECT node AS node_internal_id, before + 1 AS first, height - 1 AS last FROM (SELECT node, height, coalesce(lag(height) OVER (PARTITION BY node ORDER BY height), -1) AS before FROM nb) WHERE height > before + 1"),
     "sync_percentages": sql("nb nodes days", f"SELECT node_internal_id, pending, best, round(100 * pending / greatest(best, 1), 6) AS percent FROM (SELECT id AS node_internal_id, {long('coalesce(max(CASE WHEN dense THEN height END), -1) + 1')} AS pending, (SELECT max(height) FROM days) AS best FROM nodes LEFT JOIN (SELECT node, height, row_number() OVER (PARTITION BY node ORDER BY height) - 1 = height AS dense FROM nb) ON node = id GROUP BY id)"),
@@ -170,29 +170,47 @@ ORACLES = {
     "reorg_spliced_chain": sql("nb blk", f"SELECT n.node AS node_internal_id, count(*) AS blocks, min(coalesce(f.hash, b.hash)) AS least, max(coalesce(f.hash, b.hash)) AS most FROM nb n JOIN blk b ON b.height = n.height LEFT JOIN ({_FORK}) f ON f.node = n.node AND f.height = n.height GROUP BY n.node"),
     "nodes_with_block": sql("nb nodes", "SELECT height, string_agg(name, ',' ORDER BY name) AS nodes FROM nb JOIN nodes ON id = node GROUP BY height"),
     "catch_up_prefix": sql("nb", "SELECT h.node AS node_internal_id, h.height FROM nb h JOIN (SELECT node, max(CASE WHEN dense THEN height ELSE -1 END) + 1 AS pending FROM (SELECT node, height, row_number() OVER (PARTITION BY node ORDER BY height) - 1 = height AS dense FROM nb) GROUP BY node) p ON p.node = h.node AND h.height >= pending LEFT JOIN (SELECT x.node, min(x.height) AS miss FROM nb x JOIN (SELECT node, max(CASE WHEN dense THEN height ELSE -1 END) + 1 AS pending FROM (SELECT node, height, row_number() OVER (PARTITION BY node ORDER BY height) - 1 = height AS dense FROM nb) GROUP BY node) q ON q.node = x.node AND x.height >= q.pending WHERE x.height % 97 = 96 GROUP BY x.node) m ON m.node = h.node WHERE miss IS NULL OR h.height < miss"),
-    "accept_headers": sql("nb blk", "SELECT node AS node_internal_id, b.height AS block_internal_id, CASE WHEN b.height % 3 <> 0 THEN ts + 7200 END AS accepted FROM nb JOIN blk b ON b.height = nb.height WHERE b.height % 4 = 3"),
+    "accept_headers": sql("nb blk", "SELECT node AS node_internal_id, b.height AS block_internal_id, CASE WHEN b.height % 3 <> 0 THEN ts + 7200 END AS accepted FROM nb JOIN blk b ON b.height = nb.height WHERE b.height % 4 <> 1"),
     "throughput_timeline": sql("line", f"SELECT t AS time_ms, {long('c')} AS concurrency, round(r + 1e-9, 3) AS rate, next AS next_ms FROM line"),
     "throughput_summary": sql("ms line", f"SELECT intervals, active_ms, round(area / active_ms, 6) AS average_concurrency, round(mean, 6) AS average_duration_ms, total_units, round(units / active_ms, 4) AS units_per_active_second FROM (SELECT count(*) AS intervals, avg(duration_ms) AS mean, {long('sum(units)')} AS total_units FROM ms WHERE duration_ms >= 1), (SELECT {long('sum(next - t)')} AS active_ms, sum(c * (next - t)) AS area, sum(r * (next - t)) AS units FROM line WHERE c > 0)"),
-    "format_bytes": sql("lines", f"SELECT DISTINCT value AS value_satoshis, {size_text('value')} AS size, {size_text('(value * 1000)')} AS large, {size_text('(value * 2)', '3')} || '/s' AS rate, '- B/s' AS none FROM lines"),
+    "format_bytes": sql("lines", f"SELECT DISTINCT value AS value_satoshis, {size_text('value')} AS size, {size_text('(value * 1000)')} AS large, {size_text('(value * 2)', '3')} || '/s' AS rate, {size_text('(value % 100000)', '100')} || '/s' AS slow, {size_text('(value % 100000)', '7000')} || '/s' AS slower, '- B/s' AS none FROM lines"),
     "index_progress": sql("days", f"SELECT height, {long('round(40 * (height % 100) / 100 + CASE WHEN height % 3 = 0 THEN 0 ELSE 60 * (CASE WHEN height % 2 = 0 THEN height % 100 ELSE 0 END) / 100 END)')} AS percent FROM days"),
-    "daily_statistics": sql("bm", f"SELECT {long('floor(ts / 86400 / 365.25 + 1970)')} AS year, {long('sum(n)')} AS transactions, round(avg(size_bytes), 6) AS average_size, {long('sum(size_bytes)')} AS bytes FROM bm GROUP BY 1"),
+    "daily_statistics": sql("bm", f"SELECT {long("date_part('year', make_timestamp(ts * 1000000))")} AS year, {long('sum(n)')} AS transactions, round(avg(size_bytes), 6) AS average_size, {long('sum(size_bytes)')} AS bytes FROM bm GROUP BY 1"),
     "gql_where_tree": sql("tm", "SELECT id AS internal_id, fee AS fee_satoshis FROM tm WHERE ((fee > 1000000 AND fee <= 90000000) OR (is_coinbase AND oc IN (1, 2, 3))) AND NOT id < 100 AND locktime NOT IN (7, 8)"),
     "gql_relation_filter": sql("tm lines iv", "SELECT id AS internal_id FROM tm WHERE EXISTS (SELECT 1 FROM lines WHERE tx = id AND value > 9000000 AND category IS NULL) AND NOT EXISTS (SELECT 1 FROM iv WHERE tx = id AND value < 1000000)"),
     "gql_relation_or": sql("tm iv", "SELECT id AS internal_id FROM tm WHERE EXISTS (SELECT 1 FROM iv WHERE tx = id AND value = 0) OR fee < -20000000"),
-    "gql_order_nulls": sql("lines", "SELECT idx AS output_index, value AS value_satoshis, amount AS fungible_token_amount FROM lines ORDER BY amount DESC NULLS FIRST, value ASC NULLS LAST, idx LIMIT 200"),
+    "gql_order_nulls": sql("tx lines", "SELECT id AS internal_id, coalesce(s, '') AS outputs FROM tx LEFT JOIN (SELECT tx, string_agg(coalesce(CAST(amount AS VARCHAR), '-') || ':' || value || ':' || idx, ',' ORDER BY amount DESC NULLS FIRST, value ASC NULLS LAST, idx) AS s FROM lines GROUP BY tx) ON tx = id"),
     "gql_distinct_on": sql("lines", "SELECT DISTINCT ON (idx) idx AS output_index, value AS value_satoshis FROM lines ORDER BY idx, value DESC"),
     "gql_limit_offset": sql("tm", "SELECT id AS internal_id, fee AS fee_satoshis FROM tm ORDER BY fee DESC NULLS LAST, id LIMIT 30 OFFSET 20"),
     "gql_topk_per_parent": sql("tx lines", "SELECT id AS internal_id, coalesce(top, '') AS top FROM tx LEFT JOIN (SELECT tx, string_agg(idx || ':' || value, ',' ORDER BY r) AS top FROM (SELECT tx, idx, value, row_number() OVER (PARTITION BY tx ORDER BY value DESC, idx) AS r FROM lines WHERE value > 0) WHERE r <= 2 GROUP BY tx) ON tx = id"),
     "gql_nested_objects": sql("iv tx", "SELECT iv.tx AS transaction_internal_id, i AS input_index, value, locktime FROM iv JOIN tx ON id = iv.tx"),
-    "gql_aggregate_order_by": sql("tm lines", "SELECT id AS internal_id FROM tm LEFT JOIN (SELECT tx, max(value) AS m FROM lines GROUP BY tx) ON tx = id ORDER BY oc DESC, m DESC NULLS FIRST, id LIMIT 40"),
-    "gql_by_pk": sql("tx", "SELECT id AS internal_id, hash, locktime FROM tx WHERE id = 1"),
-    "gql_like_regex_similar": sql("nodes", "SELECT name, CAST(test AS BIGINT) AS test FROM (SELECT name, 0 AS test FROM nodes WHERE name LIKE 'a%' UNION ALL SELECT name, 1 FROM nodes WHERE name ILIKE '%EAST' UNION ALL SELECT name, 2 FROM nodes WHERE regexp_matches(name, 'r.p') UNION ALL SELECT name, 3 FROM nodes WHERE name SIMILAR TO '(afr|as)i(a|ca)' UNION ALL SELECT name, 4 FROM nodes WHERE regexp_matches(name, '(?i)^MIDDLE') UNION ALL SELECT name, 5 FROM nodes WHERE name NOT LIKE '%a%')"),
+    "gql_aggregate_order_by": sql("tx lines", " UNION ALL ".join(f"SELECT * FROM (SELECT DISTINCT ON (locktime) locktime, id AS internal_id, '{f}' AS by FROM tx LEFT JOIN (SELECT tx, {f}({'*' if f == 'count' else 'value'}) AS m FROM lines GROUP BY tx) ON tx = id ORDER BY locktime, m DESC NULLS {'LAST' if f == 'count' else 'FIRST'}, id)" for f in ("count", "avg", "max", "min", "stddev", "stddev_pop", "stddev_samp", "sum", "var_pop", "var_samp", "variance"))),
+    "gql_by_pk": sql("tx blk btx nodes nb inp lines nt", "SELECT 'transaction' AS root, id || ':' || hash || ':' || locktime AS row FROM tx WHERE id = 1 UNION ALL SELECT 'block', height || ':' || ts FROM blk WHERE height = 7 UNION ALL SELECT 'block_transaction', '7:' || ti FROM btx WHERE height = 7 AND tx = (SELECT min(tx) FROM btx WHERE height = 7) UNION ALL SELECT 'node', name FROM nodes WHERE id = 2 UNION ALL SELECT 'node_block', node || ':' || height FROM nb WHERE node = 2 AND height = 7 UNION ALL SELECT 'input', tx || ':' || oidx FROM inp WHERE tx = 1 AND i = 0 UNION ALL SELECT 'output', idx || ':' || value FROM lines WHERE tx = 1 AND idx = 0 UNION ALL SELECT 'node_transaction', node || ':' || tx FROM (SELECT node, tx FROM nt ORDER BY node, tx LIMIT 1)"),
+    "gql_like_regex_similar": sql("nodes", "SELECT name, CAST(test AS BIGINT) AS test FROM (SELECT name, 0 AS test FROM nodes WHERE name LIKE 'a%' UNION ALL SELECT name, 1 FROM nodes WHERE name ILIKE '%EAST' UNION ALL SELECT name, 2 FROM nodes WHERE regexp_matches(name, 'r.p') UNION ALL SELECT name, 3 FROM nodes WHERE name SIMILAR TO '(afr|as)i(a|ca)' UNION ALL SELECT name, 4 FROM nodes WHERE regexp_matches(name, '(?i)^MIDDLE') UNION ALL SELECT name, 5 FROM nodes WHERE name NOT LIKE '%a%' UNION ALL SELECT name, 6 FROM nodes WHERE name NOT ILIKE '%A%' UNION ALL SELECT name, 7 FROM nodes WHERE NOT starts_with(name, 'a') UNION ALL SELECT name, 8 FROM nodes WHERE lower(substr(name, 1, 1)) NOT IN ('a', 'e') UNION ALL SELECT name, 9 FROM nodes WHERE name NOT LIKE 'a%' AND name NOT LIKE 'e%')"),
+    "gql_first_outputs": sql("inp lines", "SELECT inp.tx AS transaction_internal_id, i AS input_index, f.idx AS first, f.value FROM inp LEFT JOIN (SELECT DISTINCT ON (hash) hash, idx, value FROM lines ORDER BY hash, idx) f ON f.hash = ohash"),
+    "gql_block_relations": sql("blk nb btx", "SELECT b.height, p.height AS previous, coalesce((SELECT string_agg(node, ',' ORDER BY node) FROM nb WHERE nb.height = b.height), '') AS nodes, (SELECT count(*) FROM btx WHERE btx.height = b.height) AS transactions FROM blk b LEFT JOIN blk p ON p.hash = b.prev"),
+    "gql_node_relations": sql("nodes nb nt tx", f"SELECT name, (SELECT count(*) FROM nt WHERE node = n.id) AS unconfirmed_transaction_count, (SELECT count(*) FROM nb WHERE node = n.id AND height < 100) AS early_blocks, {long('coalesce((SELECT sum(locktime) FROM nt JOIN tx ON tx.id = nt.tx WHERE node = n.id), 0)')} AS owners FROM nodes n"),
+    "gql_history_relations": sql("nb blk nodes gone tx", f"SELECT 'block' AS kind, f.height AS id, name, f.height AS value FROM ({_FORK}) f JOIN nodes n ON n.id = f.node UNION ALL SELECT 'transaction', g.tx, name, locktime FROM gone g JOIN nodes n ON n.id = g.node JOIN tx ON tx.id = g.tx"),
+    "gql_validations": sql("nt gone inp tx", "SELECT t.id AS internal_id, v.n AS validations, coalesce(g.n, 0) AS replacements, coalesce(s.n, 0) AS spends FROM tx t JOIN (SELECT tx, count(*) AS n FROM nt GROUP BY tx) v ON v.tx = t.id LEFT JOIN (SELECT tx, count(*) AS n FROM gone GROUP BY tx) g ON g.tx = t.id LEFT JOIN (SELECT ohash, count(*) AS n FROM inp GROUP BY ohash) s ON s.ohash = t.hash"),
+    "gql_authchains": sql("lines edges", f"SELECT e.base AS internal_id, cur AS head, {long('n')} AS length, least, most FROM (SELECT * FROM w WHERE {_ENDS}) e JOIN (SELECT base, min(m) AS least, max(m) AS most, max(n) AS longest FROM (SELECT base, n, CAST(unnest(string_split(path, ',')) AS BIGINT) AS m FROM w WHERE {_ENDS}) GROUP BY base) g ON g.base = e.base WHERE longest > 1", _WALK),
+    "authchain_migration_transactions": sql("lines edges tx", f"SELECT base AS authbase_internal_id, {long('u.i - 1')} AS migration_index, tx.hash, locktime, size_bytes FROM (SELECT base, string_split(path, ',') AS xs FROM w WHERE {_ENDS}), LATERAL (SELECT unnest(range(1, len(xs) + 1)) AS i) u JOIN tx ON tx.id = CAST(list_extract(xs, u.i) AS BIGINT)", _WALK),
+    "gql_computed_fields": sql("tm inp lines tx", "SELECT tm.id AS internal_id, fee AS fee_satoshis, sha256(enc.hex) AS digest, a.value AS identity_value, CASE a.kind WHEN 'R' THEN 'a91487' WHEN 'A' THEN '6a04' WHEN 'N' THEN '76a91488ac' END AS identity_pattern, b.value AS signing_value, (SELECT count(*) FROM lines c WHERE c.tx = tm.id AND (c.value = 0 OR c.kind = 'A')) AS carriers FROM tm JOIN enc ON enc.id = tm.id LEFT JOIN lines a ON a.tx = tm.id AND a.idx = 0 LEFT JOIN lines b ON b.tx = tm.id AND b.idx = 1", _ENCODED).replace("WITH RECURSIVE", "WITH"),
+    "gql_computed_inputs": sql("iv", "SELECT tx AS transaction_internal_id, i AS input_index, value AS value_satoshis, 'a91487' AS redeem_bytecode_pattern FROM iv WHERE kind = 'R'"),
+    "gql_nested_caps": sql("nt nodes", f"SELECT name, {long('count(tx)')} AS shown, max(tx) AS last FROM nodes LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY node ORDER BY tx) AS r FROM nt) ON node = id AND r <= 5000 GROUP BY name"),
+    "gql_page_of_parents": sql("tx lines", "SELECT id AS internal_id, coalesce(top, '') AS top, (SELECT idx FROM lines WHERE tx = id AND idx = 0) AS identity FROM (SELECT id FROM tx ORDER BY id DESC LIMIT 40 OFFSET 5) LEFT JOIN (SELECT tx, string_agg(value, ',' ORDER BY r) AS top FROM (SELECT tx, value, row_number() OVER (PARTITION BY tx ORDER BY value DESC, idx) AS r FROM lines) WHERE r <= 3 GROUP BY tx) ON tx = id"),
     "gql_row_caps": sql("inp", "SELECT tx AS transaction_internal_id, i AS input_index FROM inp ORDER BY tx, i LIMIT 1000"),
     "gql_stream_cursor": sql("lines", "SELECT value AS value_satoshis, idx AS output_index, hash AS transaction_hash FROM lines WHERE value > 5000000 OR (value = 5000000 AND (idx > 2 OR (idx = 2 AND hash > '8'))) ORDER BY value, idx, hash LIMIT 50"),
-    "gql_json": sql("blk", "SELECT '{\"height\":' || height || ',\"hash\":\"\\\\x' || hash || '\"}' AS json FROM blk ORDER BY height LIMIT 20"),
+    "gql_json": sql("blk", "SELECT '{\"height\":' || height || ',\"hash\":\"\\\\x' || hash || '\"}' AS json FROM blk"),
     "node_upsert": sql("nodes", "SELECT name, id AS internal_id, CAST(CASE WHEN id = 3 THEN 70015 ELSE 70016 END AS BIGINT) AS protocol_version, CASE WHEN id = 3 THEN '/agent:3/' ELSE 'new-' || name END AS user_agent, CAST(1000000000 AS BIGINT) AS first, CAST(CASE WHEN id = 3 THEN 1000000000 ELSE 1500000000 END AS BIGINT) AS latest FROM nodes"),
-    "insert_if_absent": sql("tx lines", "SELECT id AS internal_id, count(l.tx) AS outputs FROM tx LEFT JOIN lines l ON l.tx = id WHERE id % 2 = 0 AND id % 3 <> 0 GROUP BY id"),
+    "insert_if_absent": sql("tx lines", "SELECT id AS internal_id, count(l.tx) AS outputs FROM tx LEFT JOIN lines l ON l.tx = id WHERE id % 3 <> 0 GROUP BY id"),
     "assigned_ids": sql("tx", "SELECT hash, (SELECT max(id) FROM tx WHERE id % 2 = 0) + row_number() OVER (ORDER BY hash) AS internal_id FROM tx WHERE id % 2 = 1"),
     "announced_transactions": sql("nt", "SELECT node AS node_internal_id, tx AS transaction_internal_id, validated - 5 AS validated FROM nt WHERE tx % 3 <> 0"),
-    "first_last_seen_days": sql("nt", "SELECT node AS node_internal_id, count(*) AS n, min(validated) AS first, max(validated) AS last FROM nt GROUP BY node"),
+    "save_blocks": sql("blk btx bm num nb", f"SELECT height, n AS transactions, {long('coalesce((SELECT sum(size_bytes) FROM num WHERE num.height = bm.height), 0)')} AS bytes, ic AS inputs, ov AS value, (SELECT count(*) FROM nb WHERE nb.height = bm.height) AS nodes FROM bm"),
+    "save_transactions": sql("nt tx", "SELECT node AS node_internal_id, hash, validated FROM nt JOIN tx ON tx.id = nt.tx"),
+    "stream_ingest_blocks": sql("bm num", f"SELECT height, n AS transactions, {long('coalesce((SELECT sum(size_bytes) FROM num WHERE num.height = bm.height), 0)')} AS bytes, ic AS inputs, ov AS value FROM bm"),
+    "raw_round_trip": sql("blk bm", f"SELECT b.height, prev AS previous, {rev(f'sha256(unhex(sha256(unhex({_HEADER}))))')} AS header_hash, n AS transactions, ic AS inputs, ov AS value, true AS whole FROM blk b JOIN (SELECT height AS h, n, ic, ov FROM bm) ON h = height"),
+    "follow_headers": sql("nb", "SELECT node AS node_internal_id, height, 'stale' AS what FROM (SELECT node, height, min(height) OVER () AS least FROM nb WHERE node = 1 AND height >= (SELECT max(height) - 5 FROM nb WHERE node = 1)) WHERE height > least UNION ALL SELECT 2, NULL, 'known headers' UNION ALL SELECT 3, NULL, 'unknown parent'"),
+    "sync_after_rewind": sql("nb nodes", f"SELECT id AS node_internal_id, {long('least(top, 6 * id - 1)')} AS synced_to, {long('least(top, 6 * id - 1) + 1')} AS next FROM (SELECT id, coalesce(max(CASE WHEN dense THEN height END), -1) AS top FROM nodes LEFT JOIN (SELECT node, height, row_number() OVER (PARTITION BY node ORDER BY height) - 1 = height AS dense FROM nb) ON node = id GROUP BY id)"),
+    "mode_gates": sql("nb btx nt cf", "SELECT false AS live, CAST(0 AS BIGINT) AS cleared, CAST(0 AS BIGINT) AS heard UNION ALL SELECT true, (SELECT count(*) FROM (SELECT DISTINCT p.node, p.tx FROM (SELECT b.node, x.tx FROM nb b JOIN btx x ON x.height = b.height UNION ALL SELECT b.node, cf.b FROM nb b JOIN btx x ON x.height = b.height JOIN cf ON cf.a = x.tx) e JOIN nt p ON p.node = e.node AND p.tx = e.tx)), (SELECT count(*) FROM nt)"),
+    "sql_functions": sql("lines", f"SELECT hash AS transaction_hash, idx AS output_index, {compact('value')} AS value, {le('idx', 4)} AS idx, script LIKE 'a914%' AS script_hash FROM lines WHERE script LIKE 'a91425%' OR script = '76a914' || substr(sha256('1'), 1, 40) || '88ac'"),
 }

@@ -80,17 +80,41 @@ class Relation:
     many: bool = True
 
 
-#: What a ledger's tables lead to.
+def _one(child: str, ours: str, theirs: str = "internal_id") -> Relation:
+    return Relation(child, (ours,), (theirs,), False)
+
+
+_NODE, _BLOCK, _TX = _one("node", "node_internal_id"), _one("block", "block_internal_id"), _one("transaction", "transaction_internal_id")
+
+#: What a ledger's tables lead to. The two outputs of an identity and the data carriers are views of outputs.
 RELATIONS: dict[str, dict[str, Relation]] = {
-    "block": {"transactions": Relation("block_transaction", ("internal_id",), ("block_internal_id",)), "accepted_by": Relation("node_block", ("internal_id",), ("block_internal_id",)), "previous_block": Relation("block", ("previous_block_hash",), ("hash",), False)},
-    "block_transaction": {"block": Relation("block", ("block_internal_id",), ("internal_id",), False), "transaction": Relation("transaction", ("transaction_internal_id",), ("internal_id",), False)},
-    "transaction": {"inputs": Relation("input", ("internal_id",), ("transaction_internal_id",)), "outputs": Relation("output", ("hash",), ("transaction_hash",)), "block_inclusions": Relation("block_transaction", ("internal_id",), ("transaction_internal_id",)), "input_outpoint_transactions": Relation("input", ("hash",), ("outpoint_transaction_hash",)), "node_validations": Relation("node_transaction", ("internal_id",), ("transaction_internal_id",)), "node_validation_timeline": Relation("node_transaction_history", ("internal_id",), ("transaction_internal_id",))},
-    "input": {"transaction": Relation("transaction", ("transaction_internal_id",), ("internal_id",), False), "outpoint": Relation("output", ("outpoint_transaction_hash", "outpoint_index"), ("transaction_hash", "output_index"), False)},
-    "output": {"transaction": Relation("transaction", ("transaction_hash",), ("hash",), False), "spent_by": Relation("input", ("transaction_hash", "output_index"), ("outpoint_transaction_hash", "outpoint_index"))},
+    "block": {"transactions": Relation("block_transaction", ("internal_id",), ("block_internal_id",)), "accepted_by": Relation("node_block", ("internal_id",), ("block_internal_id",)), "previous_block": _one("block", "previous_block_hash", "hash")},
+    "block_transaction": {"block": _BLOCK, "transaction": _TX},
+    "transaction": {
+        "inputs": Relation("input", ("internal_id",), ("transaction_internal_id",)),
+        "outputs": Relation("output", ("hash",), ("transaction_hash",)),
+        "block_inclusions": Relation("block_transaction", ("internal_id",), ("transaction_internal_id",)),
+        "input_outpoint_transactions": Relation("input", ("hash",), ("outpoint_transaction_hash",)),
+        "node_validations": Relation("node_transaction", ("internal_id",), ("transaction_internal_id",)),
+        "node_validation_timeline": Relation("node_transaction_history", ("internal_id",), ("transaction_internal_id",)),
+        "authchains": Relation("authchain_view", ("internal_id",), ("transaction_internal_id",)),
+        "data_carrier_outputs": Relation("data_carrier_output", ("hash",), ("transaction_hash",)),
+        "identity_output": _one("identity_output", "hash", "transaction_hash"),
+        "signing_output": _one("signing_output", "hash", "transaction_hash"),
+    },
+    "input": {"transaction": _TX, "outpoint": Relation("output", ("outpoint_transaction_hash", "outpoint_index"), ("transaction_hash", "output_index"), False), "outpoint_transaction": _one("output", "outpoint_transaction_hash", "transaction_hash")},
+    "output": {"transaction": _one("transaction", "transaction_hash", "hash"), "spent_by": Relation("input", ("transaction_hash", "output_index"), ("outpoint_transaction_hash", "outpoint_index"))},
     "node": {"accepted_blocks": Relation("node_block", ("internal_id",), ("node_internal_id",)), "unconfirmed_transactions": Relation("node_transaction", ("internal_id",), ("node_internal_id",))},
-    "node_block": {"node": Relation("node", ("node_internal_id",), ("internal_id",), False), "block": Relation("block", ("block_internal_id",), ("internal_id",), False)},
-    "node_transaction": {"node": Relation("node", ("node_internal_id",), ("internal_id",), False), "transaction": Relation("transaction", ("transaction_internal_id",), ("internal_id",), False)},
+    "node_block": {"node": _NODE, "block": _BLOCK},
+    "node_block_history": {"node": _NODE, "block": _BLOCK},
+    "node_transaction": {"node": _NODE, "transaction": _TX},
+    "node_transaction_history": {"node": _NODE, "transaction": _TX},
+    "authchain_view": {"authhead": _one("transaction", "authhead_transaction_hash", "hash"), "migrations": Relation("authchain_migrations_view", ("transaction_internal_id",), ("authbase_internal_id",))},
+    "authchain_migrations_view": {"transaction": _one("transaction", "migration_transaction_internal_id")},
 }
+#: The order that makes a single row of several certain.
+_FIRST = {"output": ("output_index",)}
+RELATIONS |= dict.fromkeys(("data_carrier_output", "identity_output", "signing_output", "unspent_output", "p2sh_output"), RELATIONS["output"])
 
 
 @dataclass(frozen=True)
@@ -126,37 +150,77 @@ class Query:
         return replace(self, nested={**self.nested, **relations})
 
 
+def _named(tree: Mapping) -> set[str]:
+    """Columns and relations that a filter names for its own table."""
+    out: set[str] = set()
+    for key, value in tree.items():
+        if key in ("_and", "_or"):
+            out |= set().union(*map(_named, value))
+        elif key == "_not":
+            out |= _named(value)
+        else:
+            out.add(key)
+    return out
+
+
+Order = tuple[Column, str]  # an expression and the name of its order
+
+
+def _sorted(order: list[Order]) -> list[Column]:
+    return [getattr(c, how)() for c, how in order]
+
+
 class Compiler:
-    """Compiles queries over named DataFrames."""
+    """Compiles queries over named DataFrames. computed: by table, fields that are added only where a query names them, as
+    functions of the table's DataFrame (one function may add several)."""
 
-    def __init__(self, tables: Callable[[str], DataFrame], relations: Mapping[str, Mapping[str, Relation]] = RELATIONS, capped: bool = False):
-        self.tables, self.relations, self.capped = tables, relations, capped
+    def __init__(self, tables: Callable[[str], DataFrame], relations: Mapping[str, Mapping[str, Relation]] = RELATIONS, capped: bool = False, computed: Mapping[str, Mapping[str, Callable[[DataFrame], DataFrame]]] | None = None):
+        self.tables, self.relations, self.capped, self.computed = tables, relations, capped, computed or {}
+
+    def _table(self, name: str, used: set[str]) -> DataFrame:
+        df, fields = self.tables(name), self.computed.get(name, {})
+        for add in dict.fromkeys(f for n, f in fields.items() if n in used):
+            df = add(df)
+        return df
 
     def compile(self, q: Query) -> DataFrame:
+        """Parents are ordered and cut before their children are nested, so that only the children of rows that are
+        shown are looked up."""
         df = self._rows(q)
         columns = list(q.columns or self.tables(q.table).columns)
-        for name, sub in q.nested.items():
-            df = self._attach(df, q.table, name, sub)
-            columns.append(name)
         order, df = self._order(df, q)
         if q.distinct:
-            w = Window.partitionBy(*q.distinct).orderBy(*(order or [F.lit(1)]))
-            df = df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+            w = Window.partitionBy(*q.distinct).orderBy(*(_sorted(order) or [F.lit(1)]))
+            df = df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+        n = self._most(q)
+        cut = n is not None or q.skip
         if order:
-            df = df.orderBy(*order)
+            df = df.orderBy(*_sorted(order))
         if q.skip:
             df = df.offset(q.skip)
-        n = self._most(q)
-        return (df if n is None else df.limit(n)).select(*columns)
+        if n is not None:
+            df = df.limit(n)
+        if not q.nested:
+            return df.select(*columns)
+        if cut:
+            df = df.withColumn("_row", F.monotonically_increasing_id())
+        for name, sub in q.nested.items():
+            df = self._attach_few(df, q.table, name, sub) if cut else self._attach(df, q.table, name, sub)
+            columns.append(name)
+        return (df.orderBy(*_sorted(order)) if order else df).select(*columns)
 
     def _most(self, q: Query) -> int | None:
         sizes = [n for n in (q.first, ROW_CAPS.get(q.table) if self.capped else None) if n is not None]
         return min(sizes, default=None)
 
     def _rows(self, q: Query) -> DataFrame:
-        df = self.tables(q.table)
+        used = set(q.columns or ()) | set(q.distinct) | _named(q.filter or {}) | {k for by in q.order for k in by}
+        df = self._table(q.table, used)
         return df if q.filter is None else self._filter(df, q.table, q.filter)
 
+    def _fits(self, rel: Relation, tree: Mapping) -> DataFrame:
+        return self._filter(self._table(rel.child, _named(tree)), rel.child, tree)
+
     # filters: relations inside the tree become flag columns by semi join keys, then the tree is one condition
     def _filter(self, df: DataFrame, table: str, tree: Mapping) -> DataFrame:
         names = df.columns
@@ -176,7 +240,7 @@ class Compiler:
                     rel = self.relations[table][key]
                     flag = f"_has{len(flags)}_{table}"
                     flags.append(flag)
-                    fits = self._filter(self.tables(rel.child), rel.child, value)
+                    fits = self._fits(rel, value)
                     keys = fits.select(*[F.col(t).alias(f"{flag}_{i}") for i, t in enumerate(rel.theirs)]).distinct().withColumn(flag, F.lit(True))
                     df = df.join(keys, reduce(Column.__and__, [df[o] == keys[f"{flag}_{i}"] for i, o in enumerate(rel.ours)]), "left")
                     parts.append(F.coalesce(F.col(flag), F.lit(False)))
@@ -211,7 +275,7 @@ class Compiler:
         if simple:
             df = self._filter(df, table, simple)
         for rel, sub, how in joins:
-            fits = self._filter(self.tables(rel.child), rel.child, sub)
+            fits = self._fits(rel, sub)
             keys = fits.select(*[F.col(t).alias(f"_k{i}") for i, t in enumerate(rel.theirs)])
             df = df.join(keys, reduce(Column.__and__, [df[o] == keys[f"_k{i}"] for i, o in enumerate(rel.ours)]), how)
         return df
@@ -224,59 +288,65 @@ class Compiler:
             return [Compiler._value(x) for x in v]
         return v
 
-    def _order(self, df: DataFrame, q: Query) -> tuple[list[Column], DataFrame]:
-        out: list[Column] = []
+    def _order(self, df: DataFrame, q: Query) -> tuple[list[Order], DataFrame]:
+        out: list[Order] = []
         rels = self.relations.get(q.table, {})
         for by in q.order:
             for key, how in by.items():
                 if isinstance(how, str):
-                    out.append(getattr(F.col(key), _ORDERS[how])())
+                    out.append((F.col(key), _ORDERS[how]))
                 elif key.endswith("_aggregate"):
                     df = self._aggregate(df, rels[key.removesuffix("_aggregate")], how, len(out), out)
                 else:
                     rel = rels[key]
                     (column, direction), = how.items()
                     name = f"_o{len(out)}"
-                    child = self.tables(rel.child).select(*[F.col(t).alias(f"{name}_{i}") for i, t in enumerate(rel.theirs)], F.col(column).alias(name))
+                    child = self._table(rel.child, {column}).select(*[F.col(t).alias(f"{name}_{i}") for i, t in enumerate(rel.theirs)], F.col(column).alias(name))
                     df = df.join(child, reduce(Column.__and__, [df[o] == child[f"{name}_{i}"] for i, o in enumerate(rel.ours)]), "left")
-                    out.append(getattr(F.col(name), _ORDERS[direction])())
+                    out.append((F.col(name), _ORDERS[direction]))
         return out, df
 
-    def _aggregate(self, df: DataFrame, rel: Relation, how: Mapping, n: int, out: list[Column]) -> DataFrame:
+    def _aggregate(self, df: DataFrame, rel: Relation, how: Mapping, n: int, out: list[Order]) -> DataFrame:
         """how: {"count": "desc"} or {"sum": {"value": "desc"}}."""
         (fn, arg), = how.items()
         name = f"_a{n}"
         value, direction = (F.count(F.lit(1)), arg) if fn == "count" else (_AGGREGATES[fn](next(iter(arg))), next(iter(arg.values())))
-        child = self.tables(rel.child).groupBy(*rel.theirs).agg(value.alias(name))
+        child = self._table(rel.child, set() if fn == "count" else set(arg)).groupBy(*rel.theirs).agg(value.alias(name))
         child = child.select(*[F.col(t).alias(f"{name}_{i}") for i, t in enumerate(rel.theirs)], name)
         df = df.join(child, reduce(Column.__and__, [df[o] == child[f"{name}_{i}"] for i, o in enumerate(rel.ours)]), "left")
         key = F.coalesce(F.col(name), F.lit(0)) if fn == "count" else F.col(name)
-        out.append(getattr(key, _ORDERS[direction])())
+        out.append((key, _ORDERS[direction]))
         return df
 
-    def _attach(self, df: DataFrame, table: str, name: str, q: Query) -> DataFrame:
-        """A nested row or list under `name`; lists are ordered and cut within each parent, and empty without rows."""
-        rel = self.relations[table][name]
+    def _inner(self, rel: Relation, name: str, q: Query) -> tuple[DataFrame, list[Order], list[str], Column]:
+        """Children with what is nested in them: their rows, order, key columns and what is shown of one."""
+        q = replace(q, table=rel.child)
         inner = self._rows(q)
         columns = list(q.columns or self.tables(q.table).columns)
         for sub, sq in q.nested.items():
             inner = self._attach(inner, q.table, sub, sq)
             columns.append(sub)
         order, inner = self._order(inner, q)
+        if not order and not rel.many:
+            order = [(F.col(c), "asc_nulls_last") for c in _FIRST.get(rel.child, ()) if c in inner.columns]
         keys = [f"_n_{name}_{i}" for i in range(len(rel.theirs))]
-        inner = inner.withColumns({k: F.col(t) for k, t in zip(keys, rel.theirs, strict=True)})
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)])))
+        return inner.withColumns({k: F.col(t) for k, t in zip(keys, rel.theirs, strict=True)}), order, keys, F.struct(*columns)
+
+    def _attach(self, df: DataFrame, table: str, name: str, q: Query) -> DataFrame:
+        """A nested row or list under `name`; lists are ordered and cut within each parent, and empty without rows."""
+        rel = self.relations[table][name]
+        inner, order, keys, row = self._inner(rel, name, q)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(_sorted(order) or [F.lit(1)])))
         if q.distinct:
-            d = F.row_number().over(Window.partitionBy(*keys, *q.distinct).orderBy(*(order or [F.lit(1)])))
+            d = F.row_number().over(Window.partitionBy(*keys, *q.distinct).orderBy(*(_sorted(order) or [F.lit(1)])))
             inner = inner.withColumn("_d", d).where("_d = 1")
-        most = self._most(q) if rel.many else 1
+        most = self._most(replace(q, table=rel.child)) if rel.many else 1
         if order or most is not None or q.skip:
             inner = inner.withColumn("_r", rank)
             if most is not None or q.skip:
                 inner = inner.where((F.col("_r") > q.skip) & (F.col("_r") <= q.skip + (most if most is not None else 2**31 - 1 - q.skip)))
         else:
             inner = inner.withColumn("_r", F.lit(0))
-        row = F.struct(*columns)
         if rel.many:
             one = inner.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", row.alias("x")))), lambda s: s["x"]).alias(name))
         else:
@@ -287,6 +357,22 @@ class Compiler:
             df = df.withColumn(name, F.coalesce(name, empty))
         return df
 
+    def _attach_few(self, df: DataFrame, table: str, name: str, q: Query) -> DataFrame:
+        """The same for parents that were cut to a few rows, numbered by `_row`: children are joined to them first, and only
+        those are ranked and listed. The parents are read once, so what they were cut to stays the same."""
+        rel = self.relations[table][name]
+        inner, order, keys, row = self._inner(rel, name, q)
+        inner = inner.select(*keys, row.alias("_x"), *[c.alias(f"_by{i}") for i, (c, _) in enumerate(order)], *[F.col(c).alias(f"_of_{c}") for c in q.distinct])
+        by = _sorted([(F.col(f"_by{i}"), how) for i, (_, how) in enumerate(order)]) or [F.lit(1)]
+        parents = df.select("_row", F.struct(*df.columns).alias("_p"), *[F.col(o).alias(f"_o_{i}") for i, o in enumerate(rel.ours)])
+        rows = parents.join(inner, reduce(Column.__and__, [F.col(f"_o_{i}") == F.col(k) for i, k in enumerate(keys)]), "left")
+        rows = rows.withColumn("_d", F.row_number().over(Window.partitionBy("_row", *[f"_of_{c}" for c in q.distinct]).orderBy(*by)) if q.distinct else F.lit(1))
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_row").orderBy(F.col("_d") > 1, *by)))
+        most = self._most(replace(q, table=rel.child)) if rel.many else 1
+        shown = F.col(keys[0]).isNotNull() & (F.col("_d") == 1) & (F.col("_r") > q.skip) & (F.lit(True) if most is None else F.col("_r") <= q.skip + most)
+        found = rows.groupBy("_row").agg(F.first("_p").alias("_p"), F.transform(F.sort_array(F.collect_list(F.when(shown, F.struct("_r", "_x")))), lambda s: s["_x"]).alias(name))
+        return found.select("_p.*", F.col(name) if rel.many else F.get(name, 0).alias(name))
+
 
 def stream_page(df: DataFrame, cursor: Mapping[str, tuple[Any, str]], batch_size: int) -> DataFrame:
     """The next batch strictly past a cursor: {column: (last value or None, "asc" or "desc")}, in the columns' order."""

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bytes as B
-from .functions import text
-from .functions.bytecode import pattern_hex, redeem_pattern_hex
-from .operators import authchain, chain, mempool, search, sinks, throughput, values, wire
+from .functions import catalog, text
+from .functions.bytecode import pattern_counts
+from .operators import authchain, chain, mempool, modes, search, sinks, throughput, values, wire
+from .plans import layer
 from .plans.projection import Projection, at, epoch
 from .plans.query import Compiler, Query, json_rows, stream_page
-from .sources.ledger import Ledger
+from .plans.storage import shared_dir, stored
+from .sources.ledger import Ledger, block_rows, decode_blocks, transaction_rows
+from .sources.raw import raw_blocks
+from .streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -113,13 +118,12 @@ def _sha(s: str) -> str:
 
 @query
 def bytecode_patterns(p, ledger):
-    return ledger["output"].groupBy(pattern_hex(F.col("locking_bytecode")).alias("pattern"), pattern_hex(F.col("locking_bytecode"), True).alias("with_lengths")).agg(F.count(F.lit(1)).alias("outputs"))
+    return pattern_counts(ledger["output"], "locking_bytecode", "outputs")
 
 
 @query
 def unlocking_patterns(p, ledger):
-    u = F.col("unlocking_bytecode")
-    return ledger["input"].groupBy(pattern_hex(u).alias("pattern"), redeem_pattern_hex(u).alias("redeem")).agg(F.count(F.lit(1)).alias("inputs"))
+    return pattern_counts(ledger["input"], "unlocking_bytecode", "inputs", redeem=True)
 
 
 @query
@@ -240,7 +244,16 @@ def node_unconfirmed_count(p, ledger):
 
 @query
 def incomplete_block_audit(p, ledger):
-    return chain.incomplete_blocks(ledger, 10, 2000, 25).select("height", hx("hash"), "linked", "linked_bytes", "size_bytes")
+    return chain.incomplete_blocks(ledger, 0, _best(ledger) + 1).select("height", hx("hash"), "linked", "linked_bytes", "size_bytes")
+
+
+def _best(ledger: Ledger) -> int:
+    return ledger["block"].agg(F.max("height")).first()[0] or 0
+
+
+@query
+def audit_report(p, ledger):
+    return chain.audit_report(ledger, 0, _best(ledger) + 1)
 
 
 @query
@@ -298,7 +311,7 @@ def catch_up_prefix(p, ledger):
 @query
 def accept_headers(p, ledger):
     late = F.col("block_internal_id") % 3 == 0
-    headers = ledger["node_block"].where("block_internal_id % 2 = 1").join(ledger["block"].select(F.col("internal_id").alias("block_internal_id"), "hash", "timestamp"), "block_internal_id")
+    headers = ledger["node_block"].join(ledger["block"].select(F.col("internal_id").alias("block_internal_id"), "hash", "timestamp"), "block_internal_id")
     heard = F.col("timestamp") + F.when(late, 7201).otherwise(7200)
     headers = headers.select("node_internal_id", "hash", at(heard).alias("heard_at"), heard.alias("heard_seconds"))
     kept = ledger["node_block"].where("block_internal_id % 4 = 1")
@@ -327,7 +340,8 @@ def throughput_summary(p, ledger):
 @query
 def format_bytes(p, ledger):
     v = F.col("value_satoshis")
-    return ledger["output"].select(v, text.format_bytes(v).alias("size"), text.format_bytes(v * 1000).alias("large"), text.format_rate(v, F.lit(1500)).alias("rate"), text.format_rate(v, F.lit(0)).alias("none")).distinct()
+    low = v % 100000
+    return ledger["output"].select(v, text.format_bytes(v).alias("size"), text.format_bytes(v * 1000).alias("large"), text.format_rate(v, F.lit(1500)).alias("rate"), text.format_rate(low, F.lit(100000)).alias("slow"), text.format_rate(low, F.lit(7000000)).alias("slower"), text.format_rate(v, F.lit(0)).alias("none")).distinct()
 
 
 @query
@@ -340,15 +354,15 @@ def index_progress(p, ledger):
 @query
 def daily_statistics(p, ledger):
     b = values.block_measures(ledger)
-    return b.groupBy((F.col("timestamp") / 86400 / 365.25 + 1970).cast("int").cast("long").alias("year")).agg(F.sum("transaction_count").alias("transactions"), F.round(F.avg("size_bytes"), 6).alias("average_size"), F.sum("size_bytes").alias("bytes"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("timestamp") / 86400).cast("int"))
+    return b.groupBy(F.year(day).cast("long").alias("year")).agg(F.sum("transaction_count").alias("transactions"), F.round(F.avg("size_bytes"), 6).alias("average_size"), F.sum("size_bytes").alias("bytes"))
 
 
 # the declarative query layer
 
 
 def compiler(ledger: Ledger, **kw) -> Compiler:
-    measures = {"transaction": values.transaction_measures, "block": values.block_measures}
-    return Compiler(lambda n: measures[n](ledger) if n in measures else ledger[n], **kw)
+    return layer.compiler(ledger, **kw)
 
 
 @query
@@ -371,8 +385,11 @@ def gql_relation_or(p, ledger):
 
 @query
 def gql_order_nulls(p, ledger):
-    q = Query("output", ("output_index", "value_satoshis", "fungible_token_amount")).order_by({"fungible_token_amount": "desc"}, {"value_satoshis": "asc"}, {"output_index": "asc"})
-    return compiler(ledger).compile(q.limit(200))
+    """All outputs in the order of their nested lists: null amounts first, as the order descends."""
+    q = Query("output", ("fungible_token_amount", "value_satoshis", "output_index")).order_by({"fungible_token_amount": "desc"}, {"value_satoshis": "asc"}, {"output_index": "asc"})
+    df = compiler(ledger).compile(Query("transaction", ("internal_id",)).with_nested(outputs=q))
+    shown = F.transform("outputs", lambda x: F.concat_ws(":", F.coalesce(x["fungible_token_amount"].cast("string"), F.lit("-")), x["value_satoshis"].cast("string"), x["output_index"].cast("string")))
+    return df.select("internal_id", F.array_join(shown, ",").alias("outputs"))
 
 
 @query
@@ -400,20 +417,115 @@ def gql_nested_objects(p, ledger):
     return compiler(ledger).compile(q).select("transaction_internal_id", "input_index", F.col("outpoint.value_satoshis").alias("value"), F.col("transaction.locktime").alias("locktime"))
 
 
+AGGREGATES = ("avg", "max", "min", "stddev", "stddev_pop", "stddev_samp", "sum", "var_pop", "var_samp", "variance")
+
+
 @query
 def gql_aggregate_order_by(p, ledger):
-    q = Query("transaction", ("internal_id",)).order_by({"outputs_aggregate": {"count": "desc"}}, {"outputs_aggregate": {"max": {"value_satoshis": "desc"}}}, {"internal_id": "asc"})
-    return compiler(ledger).compile(q.limit(40))
+    """For each aggregate, every owner's transaction that comes first by it."""
+    by = {"count": {"count": "desc"}, **{f: {f: {"value_satoshis": "desc"}} for f in AGGREGATES}}
+    q = Query("transaction", ("locktime", "internal_id")).distinct_on("locktime")
+    parts = [compiler(ledger).compile(q.order_by({"locktime": "asc"}, {"outputs_aggregate": how}, {"internal_id": "asc"})).withColumn("by", F.lit(f)) for f, how in by.items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query
 def gql_by_pk(p, ledger):
-    return ledger.by_key("transaction", 1).select("internal_id", hx("hash"), "locktime")
+    """A row of each table, looked up by its key."""
+    found = ledger.by_key("transaction", 1).select("internal_id", hx("hash"), "locktime")
+    first = found.select(F.lit("transaction").alias("root"), F.concat_ws(":", "internal_id", "hash", "locktime").alias("row"))
+    keys = {"block": (7,), "block_transaction": (7, _first_of(ledger, 7)), "node": (2,), "node_block": (2, 7), "input": (1, 0), "output": (bytearray(bytes.fromhex(_sha("1"))), 0), "node_transaction": _pending(ledger)}
+    shown = {"block": ("height", "timestamp"), "block_transaction": ("block_internal_id", "transaction_index"), "node": ("name",), "node_block": ("node_internal_id", "block_internal_id"), "input": ("transaction_internal_id", "outpoint_index"), "output": ("output_index", "value_satoshis"), "node_transaction": KEY_OF_PENDING}
+    parts = [ledger.by_key(n, *k).select(F.lit(n).alias("root"), F.concat_ws(":", *shown[n]).alias("row")) for n, k in keys.items()]
+    return reduce(DataFrame.unionAll, parts, first)
+
+
+KEY_OF_PENDING = ("node_internal_id", "transaction_internal_id")
+
+
+def _first_of(ledger: Ledger, block: int) -> int:
+    return ledger["block_transaction"].where(F.col("block_internal_id") == block).agg(F.min("transaction_internal_id")).first()[0]
+
+
+def _pending(ledger: Ledger) -> tuple[int, int]:
+    return tuple(ledger["node_transaction"].agg(F.min(F.struct(*KEY_OF_PENDING)).alias("k")).first()["k"])
+
+
+@query
+def gql_first_outputs(p, ledger):
+    """The relation that joins an input with the transaction it spends from gives that transaction's first output."""
+    q = Query("input", ("transaction_internal_id", "input_index")).with_nested(outpoint_transaction=Query("output", ("output_index", "value_satoshis")))
+    return compiler(ledger).compile(q).select("transaction_internal_id", "input_index", F.col("outpoint_transaction.output_index").alias("first"), F.col("outpoint_transaction.value_satoshis").alias("value"))
+
+
+@query
+def gql_block_relations(p, ledger):
+    q = Query("block", ("height",)).with_nested(previous_block=Query("block", ("height",)), accepted_by=Query("node_block", ("node_internal_id",)).order_by({"node_internal_id": "asc"}), transactions=Query("block_transaction", ("transaction_index",)))
+    df = compiler(ledger).compile(q)
+    return df.select("height", F.col("previous_block.height").alias("previous"), F.array_join(F.transform("accepted_by", lambda x: x["node_internal_id"].cast("string")), ",").alias("nodes"), F.size("transactions").cast("long").alias("transactions"))
+
+
+@query
+def gql_node_relations(p, ledger):
+    q = Query("node", ("name", "unconfirmed_transaction_count")).with_nested(accepted_blocks=Query("node_block", ("block_internal_id",)).where({"block": {"height": {"_lt": 100}}}), unconfirmed_transactions=Query("node_transaction", ("transaction_internal_id",)).with_nested(transaction=Query("transaction", ("locktime",))))
+    df = compiler(ledger).compile(q)
+    owners = F.aggregate("unconfirmed_transactions", F.lit(0).cast("long"), lambda a, x: a + x["transaction"]["locktime"])
+    return df.select("name", "unconfirmed_transaction_count", F.size("accepted_blocks").cast("long").alias("early_blocks"), owners.alias("owners"))
+
+
+@query
+def gql_history_relations(p, ledger):
+    """Both history tables with their source, block and transaction."""
+    _, stale = chain.stale_blocks(ledger, _fork(ledger), at(F.lit(10**9).cast("long")))
+    gone = _replaced(ledger)
+    number = F.lit(0).cast("long").alias("internal_id")
+    past = ledger.with_tables(node_block_history=stale.select(number, "*"), node_transaction_history=gone.select(number, "*"))
+    blocks = compiler(past).compile(Query("node_block_history", ("block_internal_id",)).with_nested(node=Query("node", ("name",)), block=Query("block", ("height",))))
+    txs = compiler(past).compile(Query("node_transaction_history", ("transaction_internal_id",)).with_nested(node=Query("node", ("name",)), transaction=Query("transaction", ("locktime",))))
+    shown = [blocks.select(F.lit("block").alias("kind"), F.col("block_internal_id").alias("id"), "node.name", F.col("block.height").alias("value")), txs.select(F.lit("transaction").alias("kind"), F.col("transaction_internal_id").alias("id"), "node.name", F.col("transaction.locktime").alias("value"))]
+    return reduce(DataFrame.unionAll, shown)
+
+
+@query
+def gql_validations(p, ledger):
+    gone = _replaced(ledger)
+    past = ledger.with_tables(node_transaction_history=gone.select(F.lit(0).cast("long").alias("internal_id"), "*"))
+    q = Query("transaction", ("internal_id",)).with_nested(node_validations=Query("node_transaction", ("node_internal_id",)), node_validation_timeline=Query("node_transaction_history", ("node_internal_id",)), input_outpoint_transactions=Query("input", ("transaction_internal_id",)))
+    df = compiler(past).compile(q.where({"node_validations": {}}))
+    return df.select("internal_id", *[F.size(c).cast("long").alias(n) for c, n in (("node_validations", "validations"), ("node_validation_timeline", "replacements"), ("input_outpoint_transactions", "spends"))])
+
+
+@query
+def gql_authchains(p, ledger):
+    chains = Query("authchain_view", ("authchain_length",)).with_nested(authhead=Query("transaction", ("internal_id",)), migrations=Query("authchain_migrations_view", ("migration_index",)).with_nested(transaction=Query("transaction", ("internal_id",))).order_by({"migration_index": "asc"}))
+    df = compiler(ledger).compile(Query("transaction", ("internal_id",)).with_nested(authchains=chains).where({"authchains": {"authchain_length": {"_gt": 1}}}))
+    one = df.select("internal_id", F.explode("authchains").alias("c"))
+    ids = F.transform("c.migrations", lambda m: m["transaction"]["internal_id"])
+    return one.select("internal_id", F.col("c.authhead.internal_id").alias("head"), F.col("c.authchain_length").alias("length"), F.array_min(ids).alias("least"), F.array_max(ids).alias("most"))
+
+
+@query
+def authchain_migration_transactions(p, ledger):
+    return authchain.migration_transactions(ledger).select("authbase_internal_id", "migration_index", hx("hash"), "locktime", "size_bytes")
+
+
+@query
+def gql_computed_fields(p, ledger):
+    """Fields that are made only where they are asked for."""
+    q = Query("transaction", ("internal_id", "fee_satoshis", "encoded_hex")).with_nested(identity_output=Query("output", ("value_satoshis", "locking_bytecode_pattern")), signing_output=Query("output", ("value_satoshis",)), data_carrier_outputs=Query("output", ("output_index",)))
+    df = compiler(ledger).compile(q)
+    return df.select("internal_id", "fee_satoshis", F.sha2("encoded_hex", 256).alias("digest"), F.col("identity_output.value_satoshis").alias("identity_value"), F.col("identity_output.locking_bytecode_pattern").alias("identity_pattern"), F.col("signing_output.value_satoshis").alias("signing_value"), F.size("data_carrier_outputs").cast("long").alias("carriers"))
+
+
+@query
+def gql_computed_inputs(p, ledger):
+    q = Query("input", ("transaction_internal_id", "input_index", "value_satoshis", "redeem_bytecode_pattern")).where({"redeem_bytecode_pattern": {"_eq": "a91487"}})
+    return compiler(ledger).compile(q)
 
 
 @query
 def gql_like_regex_similar(p, ledger):
-    agents = [{"name": {"_like": "a%"}}, {"name": {"_ilike": "%EAST"}}, {"name": {"_regex": "r.p"}}, {"name": {"_similar": "(afr|as)i(a|ca)"}}, {"name": {"_iregex": "^MIDDLE"}}, {"name": {"_nlike": "%a%"}}]
+    agents = [{"name": {"_like": "a%"}}, {"name": {"_ilike": "%EAST"}}, {"name": {"_regex": "r.p"}}, {"name": {"_similar": "(afr|as)i(a|ca)"}}, {"name": {"_iregex": "^MIDDLE"}}, {"name": {"_nlike": "%a%"}}, {"name": {"_nilike": "%A%"}}, {"name": {"_nregex": "^a"}}, {"name": {"_niregex": "^(A|E)"}}, {"name": {"_nsimilar": "(a|e)%"}}]
     c = compiler(ledger)
     parts = [c.compile(Query("node", ("name",), t)).withColumn("test", F.lit(i).cast("long")) for i, t in enumerate(agents)]
     return reduce(DataFrame.unionAll, parts)
@@ -430,9 +542,24 @@ def gql_stream_cursor(p, ledger):
     return stream_page(ledger["output"].select("value_satoshis", "output_index", hx("transaction_hash")), {"value_satoshis": (5000000, "asc"), "output_index": (2, "asc"), "transaction_hash": ("8", "asc")}, 50)
 
 
+@query
+def gql_nested_caps(p, ledger):
+    """A public reader's cap holds in each nested list."""
+    df = compiler(ledger, capped=True).compile(Query("node", ("name",)).with_nested(unconfirmed_transactions=Query("node_transaction", ("transaction_internal_id",)).order_by({"transaction_internal_id": "asc"})))
+    return df.select("name", F.size("unconfirmed_transactions").cast("long").alias("shown"), F.element_at("unconfirmed_transactions", -1)["transaction_internal_id"].alias("last"))
+
+
+@query
+def gql_page_of_parents(p, ledger):
+    """Parents are cut before their lists are made."""
+    inner = Query("output", ("value_satoshis",)).order_by({"value_satoshis": "desc"}, {"output_index": "asc"}).limit(3)
+    df = compiler(ledger).compile(Query("transaction", ("internal_id",)).order_by({"internal_id": "desc"}).offset(5).limit(40).with_nested(outputs=inner, identity_output=Query("output", ("output_index",))))
+    return df.select("internal_id", F.array_join(F.transform("outputs", lambda x: x["value_satoshis"].cast("string")), ",").alias("top"), F.col("identity_output.output_index").alias("identity"))
+
+
 @query
 def gql_json(p, ledger):
-    q = Query("block", ("height", "hash")).order_by({"height": "asc"}).limit(20)
+    q = Query("block", ("height", "hash")).order_by({"height": "asc"})
     return json_rows(compiler(ledger).compile(q))
 
 
@@ -449,7 +576,7 @@ def node_upsert(p, ledger):
 def insert_if_absent(p, ledger):
     t = ledger["transaction"]
     there = t.where("internal_id % 3 = 0")
-    new = sinks.insert_if_absent(there, t.where("internal_id % 2 = 0").unionAll(t.where("internal_id % 4 = 0")), ["hash"])
+    new = sinks.insert_if_absent(there, t.unionAll(t.where("internal_id % 4 = 0")), ["hash"])
     outs = sinks.children_of_inserted(ledger["output"], new.select(F.col("hash").alias("transaction_hash")), ["transaction_hash"])
     n = outs.groupBy("transaction_hash").agg(F.count(F.lit(1)).alias("outputs"))
     return new.join(n, new["hash"] == n["transaction_hash"], "left").select("internal_id", F.coalesce("outputs", F.lit(0).cast("long")).alias("outputs"))
@@ -472,9 +599,113 @@ def announced_transactions(p, ledger):
     return new.select(F.col("node_internal_id").cast("long"), "transaction_internal_id", epoch(F.col("validated_at")).alias("validated"))
 
 
+# writes
+
+
+def _half(ledger: Ledger) -> Ledger:
+    """The blocks of even height with their transactions, inputs and outputs."""
+    b = ledger["block"].where("height % 2 = 0")
+    links = ledger["block_transaction"].join(b.select(F.col("internal_id").alias("block_internal_id")), "block_internal_id", "left_semi")
+    t = ledger["transaction"].join(links.select(F.col("transaction_internal_id").alias("internal_id")), "internal_id", "left_semi")
+    ids = t.select(F.col("internal_id").alias("transaction_internal_id"), F.col("hash").alias("transaction_hash"))
+    return ledger.with_tables(block=b, block_transaction=links, transaction=t, input=ledger["input"].join(ids, "transaction_internal_id", "left_semi"), output=ledger["output"].join(ids, "transaction_hash", "left_semi"), node_block=ledger["node_block"].limit(0))
+
+
+def _totals(saved: Ledger) -> DataFrame:
+    """What each saved block leads to by its own ids."""
+    t = saved["transaction"].select(F.col("internal_id").alias("transaction_internal_id"), F.col("hash").alias("transaction_hash"), "size_bytes")
+    ins = saved["input"].groupBy("transaction_internal_id").agg(F.count(F.lit(1)).alias("inputs"))
+    outs = saved["output"].groupBy("transaction_hash").agg(F.sum("value_satoshis").alias("value"))
+    t = t.join(ins, "transaction_internal_id", "left").join(outs, "transaction_hash", "left")
+    b = saved["block"].select(F.col("internal_id").alias("block_internal_id"), "height")
+    nodes = saved["node_block"].groupBy("block_internal_id").agg(F.count(F.lit(1)).alias("nodes"))
+    per = saved["block_transaction"].join(t, "transaction_internal_id").groupBy("block_internal_id").agg(F.count(F.lit(1)).alias("transactions"), F.sum("size_bytes").alias("bytes"), F.sum("inputs").alias("inputs"), F.sum("value").alias("value"))
+    zero = F.lit(0).cast("long")
+    return b.join(per, "block_internal_id", "left").join(nodes, "block_internal_id", "left").select("height", *[F.coalesce(c, zero).alias(c) for c in ("transactions", "bytes", "inputs", "value", "nodes")])
+
+
+def _heard(ledger: Ledger) -> DataFrame:
+    b = ledger["block"].select(F.col("internal_id").alias("block_internal_id"), "hash")
+    return ledger["node_block"].join(b, "block_internal_id").select("node_internal_id", "hash", "accepted_at")
+
+
 @query
-def first_last_seen_days(p, ledger):
-    w = Window.partitionBy("node_internal_id")
-    t = ledger["node_transaction"].withColumn("n", F.count(F.lit(1)).over(w))
-    return t.groupBy(F.col("node_internal_id").cast("long"), "n").agg(F.min(epoch(F.col("validated_at"))).alias("first"), F.max(epoch(F.col("validated_at"))).alias("last"))
+def save_blocks(p, ledger):
+    """All blocks are sent to a ledger that has every second one: what is there afterwards."""
+    there = _half(ledger)
+    batch = decode_blocks(stored(block_rows(ledger)))
+    new = sinks.save_blocks(there, batch, _heard(ledger))
+    sinks.check_saved(there, batch, new)
+    return _totals(there.with_tables(**{n: there[n].unionByName(df) for n, df in new.items()}))
+
 
+@query
+def save_transactions(p, ledger):
+    """Pending transactions are sent with their validations to a ledger that has those of even height."""
+    there = _half(ledger).with_tables(node_transaction=ledger["node_transaction"].limit(0))
+    pending = ledger["node_transaction"].join(tx_keys(ledger).withColumnRenamed("tx", "transaction_internal_id"), "transaction_internal_id")
+    sent = transaction_rows(ledger).join(pending.select("transaction_internal_id").distinct(), "transaction_internal_id", "left_semi").drop("transaction_internal_id")
+    new = sinks.save_transactions(there, sent, pending.select("node_internal_id", F.col("transaction_hash").alias("hash"), "validated_at"))
+    t = there["transaction"].unionByName(new["transaction"]).select(F.col("internal_id").alias("transaction_internal_id"), hx("hash"))
+    return new["node_transaction"].join(t, "transaction_internal_id").select(F.col("node_internal_id").cast("long"), "hash", epoch(F.col("validated_at")).alias("validated"))
+
+
+@query
+def stream_ingest_blocks(p, ledger):
+    """All blocks pass through a stream of files, in several micro-batches, into stored tables."""
+    spark, root = ledger.spark, f"{shared_dir(ledger.spark)}/ingest-{uuid.uuid4().hex}"
+    block_rows(ledger).repartition(6, "height").write.json(f"{root}/in")
+    q = feeds.ingest_blocks(feeds.block_stream(spark, f"{root}/in", 2), f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return _totals(feeds.read_batches(spark, f"{root}/out")).drop("nodes")
+
+
+@query
+def raw_round_trip(p, ledger):
+    """Encoded blocks are decoded again: their sizes, counts, and whether the header's hash is that of the bytes."""
+    e = wire.encoded_blocks(ledger).select("height", F.unhex("encoded_hex").alias("raw"))
+    r = raw_blocks(e, "raw", "height").select("record.*", "error")
+    outs = F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + F.aggregate(t["outputs"], F.lit(0).cast("long"), lambda b, o: b + o["valueSatoshis"]))
+    ins = F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + F.size(t["inputs"]))
+    return r.select("height", F.col("previousBlockHash").alias("previous"), F.col("hash").alias("header_hash"), F.size("transactions").cast("long").alias("transactions"), ins.alias("inputs"), outs.alias("value"), F.col("error").isNull().alias("whole"))
+
+
+@query
+def follow_headers(p, ledger):
+    """Header messages go on from their parent's height: a fork of source 1, known headers of 2, no known parent for 3."""
+    h = chain.accepted_heights(ledger)
+    top = h.groupBy("node_internal_id").agg((F.max("height") - 5).alias("cut"))
+    tail = h.join(F.broadcast(top), "node_internal_id").where("height >= cut")
+    first = tail.groupBy("node_internal_id").agg(F.min("height").alias("least"))
+    tail = tail.join(F.broadcast(first), "node_internal_id")
+    parent = tail.where("height = least").select("node_internal_id", F.when(F.col("node_internal_id") == 3, F.unhex(F.lit("ab" * 32))).otherwise(F.col("hash")).alias("previous_block_hash"))
+    sent = tail.where("height > least").join(F.broadcast(parent), "node_internal_id").where("node_internal_id in (1, 2, 3)")
+    sent = sent.select("node_internal_id", (F.col("height") - F.col("least") - 1).alias("position"), F.when(F.col("node_internal_id") == 1, F.unhex(F.sha2("hash", 256))).otherwise(F.col("hash")).alias("hash"), "previous_block_hash")
+    _, stale, ignored = chain.follow(h, sent)
+    gone = stale.select(F.col("node_internal_id").cast("long"), "height", F.lit("stale").alias("what"))
+    return gone.unionAll(ignored.select(F.col("node_internal_id").cast("long"), F.lit(None).cast("long"), F.col("reason")))
+
+
+@query
+def sync_after_rewind(p, ledger):
+    """Progress after every source was re-organized at height 6 * its number, and the height each needs next."""
+    states, extra = chain.sync_states(ledger).select("node_internal_id", "synced_to"), chain.accepted_heights(ledger).select("node_internal_id", "height")
+    back = ledger["node"].select(F.col("internal_id").alias("node_internal_id"), (6 * F.col("internal_id")).cast("long").alias("height"))
+    states, extra = chain.rewound(states, extra, back)
+    return states.join(chain.next_heights(states, extra), "node_internal_id").select(F.col("node_internal_id").cast("long"), "synced_to", "next")
+
+
+@query
+def mode_gates(p, ledger):
+    """What a catching-up and a live ledger let in and clear."""
+    return reduce(DataFrame.unionAll, [modes.Mode(live).accepted(ledger, ledger["node_block"]).history.agg(F.count(F.lit(1)).alias("cleared")).crossJoin(modes.Mode(live).heard(ledger["node_transaction"]).agg(F.count(F.lit(1)).alias("heard"))).select(F.lit(live).alias("live"), "cleared", "heard") for live in (False, True)])
+
+
+@query
+def sql_functions(p, ledger):
+    """Searches and encoders by name in SQL."""
+    catalog.register(ledger, views=())
+    return ledger.spark.sql(f"""SELECT lower(hex(transaction_hash)) AS transaction_hash, output_index, lower(hex(compact_uint(value_satoshis))) AS value, lower(hex(uint32le(output_index))) AS idx, is_script_hash(locking_bytecode) AS script_hash
+        FROM (SELECT * FROM search_outputs_prefix('a91425') UNION ALL SELECT * FROM search_outputs('76a914{_sha("1")[:40]}88ac'))""")

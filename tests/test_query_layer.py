@@ -65,6 +65,28 @@ def test_nested(layer):
     assert [tuple(r) for r in layer.compile(d).collect()] == [(1, 20), (2, 5), (9, 1)]
 
 
+def test_nested_in_a_page(layer):
+    """Parents that are cut first give the same lists as those that aren't."""
+    sub = Query("b", ("v", "n")).order_by({"v": "desc"})
+    for inner in (sub, sub.limit(1), sub.offset(1), sub.distinct_on("a"), sub.where({"v": {"_gt": 6}})):
+        q = Query("a", ("id",)).order_by({"name": "desc"}, {"id": "asc"}).with_nested(bs=inner)
+        every = [(r.id, [tuple(x) for x in r.bs]) for r in layer.compile(q).collect()]
+        for skip, n in ((0, 9), (0, 2), (1, 1), (2, 5)):
+            assert [(r.id, [tuple(x) for x in r.bs]) for r in layer.compile(q.offset(skip).limit(n)).collect()] == every[skip : skip + n]
+    q = Query("b", ("n",)).order_by({"n": "desc"}).limit(3).with_nested(owner=Query("a", ("id",)))
+    assert [(r.n, r.owner and r.owner.id) for r in layer.compile(q).collect()] == [(4, None), (3, 2), (2, 1)]
+
+
+def test_computed_fields_on_demand(layer):
+    made = []
+    add = lambda df: (made.append(1), df.withColumn("twice", df["id"] * 2))[1]
+    c = Compiler(layer.tables, layer.relations, computed={"a": {"twice": add}})
+    assert [r.id for r in c.compile(Query("a", ("id",))).collect()] and not made
+    assert sorted(r.twice for r in c.compile(Query("a", ("twice",))).collect()) == [2, 4, 6]
+    assert [r.n for r in c.compile(Query("b", ("n",), {"owner": {"_not": {"twice": {"_gt": 2}}}}).order_by({"n": "asc"})).collect()] == [1, 2]
+    assert [r.id for r in c.compile(Query("a", ("id",)).order_by({"twice": "desc"})).collect()] == [3, 2, 1]
+
+
 def test_cursor_and_text(layer, spark):
     b = layer.tables("b")
     assert [r.n for r in stream_page(b, {"n": (None, "asc")}, 2).collect()] == [1, 2]
