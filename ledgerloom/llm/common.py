@@ -62,6 +62,19 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold more than one of HOT rows are joined by broadcast; there are fewer than HOT of them, whatever the input.
+HOT = 1 << 14
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with the columns of counts, which has one row for each key and in `weight` how many of the `total` rows
+    have it at least. Hot keys stay where their rows are read: they are neither shuffled nor gathered in a task."""
+    hot, cold = counts.where(F.col(weight) > total // HOT), counts.where(F.col(weight) <= total // HOT)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys)
+    return near.unionByName(far)
+
+
 def importable(df: DataFrame) -> DataFrame:
     """Let Python workers that see this checkout import the package; elsewhere ship it with --py-files."""
     root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment

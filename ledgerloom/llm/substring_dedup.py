@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, map_chunks, mix64, ragged_arange, runs, stored, window_codes
+from .common import importable, join_counted, map_chunks, mix64, ragged_arange, runs, stored, window_codes
 
 CELL = 16  # windows of a hot extent that are counted together
 _U = np.uint64
@@ -288,25 +288,26 @@ def _refined(contexts: DataFrame, length: int, bucket: int, block_bytes: int) ->
     cells = stored(_cells(contexts, length), "sub-cells")
     kinds = cells.groupBy("ah", "sub").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "id", "t", "a")).alias("one"), F.first("ctx").alias("ctx"))
     kinds = stored(kinds.select("ah", "sub", "c", "one.id", "one.t", "one.a", F.greatest("c", "one.n").alias("n"), "ctx"), "sub-kinds")
-    whole = cells.where("n = 1").select("ah", "sub", "id", "t", "a", "k").join(kinds.where("c > 1").select("ah", "sub").hint("merge"), ["ah", "sub"])
+    whole = join_counted(cells.where("n = 1").select("ah", "sub", "id", "t", "a", "k"), kinds.where("c > 1").select("ah", "sub", "c"), ["ah", "sub"], "c", cells.count())
     width = stored(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("width")).where("width > 1"), "sub-widths")
     differ = stored(kinds.join(width.hint("merge"), "ah").select("width", "ah", "id", "t", "a", "n", "ctx"), "sub-differ")
     blocks = _block_repeats(differ.where(F.col("width") <= bucket).drop("width"), length, block_bytes)
     windows = stored(_windows(differ.where(F.col("width") > bucket), length), "sub-windows")
-    twice = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2"), "sub-more")
-    equal = windows.where("n = 1").join(twice.hint("merge"), ["w1", "w2"]).select("id", "t", "a", F.col("a").alias("b"))
+    twice = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "sub-more")
+    equal = join_counted(windows.where("n = 1"), twice, ["w1", "w2"], "k", windows.count()).select("id", "t", "a", F.col("a").alias("b"))
     return whole.select("id", "t", "a", (F.col("a") + F.col("k") - 1).alias("b")).unionAll(blocks).unionAll(equal)
 
 
 def repeats(docs: DataFrame, *, length: int = 400, bucket: int = 512, block_bytes: int = 4 << 20) -> DataFrame:
     """(id, t, a, b): runs of windows a .. b of document (id, t) that occur elsewhere; docs has (id, t, text)."""
     found = stored(anchor_rows(docs, length), "sub-anchors")
-    twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k"), (F.min("dg") != F.max("dg")).alias("mixed")).where("k > 1").select("ah", "mixed")
+    twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k"), (F.min("dg") != F.max("dg")).alias("mixed")).where("k > 1")
     twice = stored(twice, "sub-twice")  # a join right after an aggregate isn't split where it is skewed
-    again = stored(found.join(twice.hint("merge"), "ah"), "sub-again")
+    total = found.count()
+    again = stored(join_counted(found, twice, ["ah"], "k", total).drop("k"), "sub-again")
     classes = again.groupBy("ah", "dg", "mixed").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "t", "a", "b")).alias("rep"))
     classes = stored(classes.where("mixed or n > 1"), "sub-classes")
-    copies = again.join(classes.where("n > 1").select("ah", "dg").hint("merge"), ["ah", "dg"]).select("id", "t", "a", "b")
+    copies = join_counted(again, classes.where("n > 1").select("ah", "dg", "n"), ["ah", "dg"], "n", total).select("id", "t", "a", "b")
 
     # different extents of one anchor: fetch the bytes of one of each
     mixed = classes.where("mixed")

@@ -11,11 +11,14 @@ of tokens (4 bytes); a checkpoint a block (offset of its words and their number,
 then the final state of each lane, 8 bytes); all blocks' 4-byte words; and the CRC of all that precedes. A block needs
 only its checkpoint, its words and the table, so blocks can be decoded in any order or in parallel.
 
-Files are rows of a table (part, seq, n_ids, payload) that Spark writes to the shared folder: tasks that are lost are
-written again by others, and no executor's own disk is used. `payload` is the file, byte for byte.
+Files are rows of a table (part, seq, before, n_ids, payload) that Spark writes to the shared folder: tasks that are lost are
+written again by others, and no executor's own disk is used. `payload` is the file, byte for byte; `before` counts the
+ids of the part's earlier files, so that only one number for each part is shared to know where documents start.
+
+Ids are kept in 2 bytes while the vocabulary has at most 65,536, in 4 bytes beyond; it may have up to 2**20.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows of equal or null ids are ordered by
-their tokens; an empty table gives none; other columns are ignored. Ids are integers; ids of tokens are below 65,536.
+their tokens; an empty table gives none; other columns are ignored. Ids of documents are integers.
 """
 
 from __future__ import annotations
@@ -43,13 +46,19 @@ from .common import byte_symbols, hold, importable, slices, stored
 MAGIC, VERSION, LANES, BLOCK, SCALE = b"RANSIDS1", 1, 64, 1 << 15, 20
 _U = np.uint64
 _LOW = _U(1 << 31)
-BROADCAST_FILES = 100_000  # their starts are 2 MB
 
 
 class _Whole(Exception):
     """The text must be encoded as a whole."""
 
 
+def kind_of(size: int) -> str:
+    """How ids of a vocabulary are kept."""
+    if size > 1 << SCALE:
+        raise ValueError(f"a vocabulary of {size} ids is over {1 << SCALE}")
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class _Words:
     """Ids of a piece that follows `before`, by the library's model. Pieces of letters are one pre-token as they are;
     others of common characters are cut by the byte-level pattern; the rest go through the library's whole chain."""
@@ -66,18 +75,19 @@ class _Words:
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.common = re.compile("[\t\n\r!-~À-ÖØ-öø-ɏ]*").fullmatch
         self.known: dict[str, list[int]] = {}
+        self.code = "H" if kind_of(vocabulary(self.tok)) == "<u2" else "I"
 
     def whole(self, text: str) -> bytes:
-        return array("H", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        return array(self.code, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def word(self, pre_token: str) -> list[int]:
         return [t.id for t in self.tokenize(pre_token.encode().decode("latin-1").translate(self.chars))]
 
     def __call__(self, before: str, piece: str) -> bytes:
         if self.plain and piece.isalpha():
-            return array("H", self.word(before + piece)).tobytes()
+            return array(self.code, self.word(before + piece)).tobytes()
         if self.plain and self.common(piece):
-            ids = array("H")
+            ids = array(self.code)
             for w in self.cut(before + piece):
                 if (own := self.known.get(w)) is None:
                     own = self.word(w)
@@ -108,8 +118,13 @@ class _Pieces(dict):
         return ids
 
 
+def vocabulary(tok) -> int:
+    """One more than the largest id."""
+    return max(tok.get_vocab(with_added_tokens=True).values()) + 1
+
+
 class TextEncoder:
-    """Ids of texts as 2-byte little-endian strings; pieces between single spaces are remembered.
+    """Ids of texts as little-endian strings of 2 or 4 bytes an id; pieces between single spaces are remembered.
 
     Byte-level pre-tokens never reach over the space before a word, so a text whose spaces are all followed by
     something else than white space is the sequence of its pieces. Other texts, and texts that hold a special string
@@ -121,12 +136,10 @@ class TextEncoder:
         if sys.byteorder != "little":
             raise ValueError("ids are written in the machine's order, which must be little-endian")
         self.words = _Words(path)
-        if self.words.tok.get_vocab_size() > 1 << 16:
-            raise ValueError("ids must be below 65,536")
         special = [t.content for t in self.words.tok.get_added_tokens_decoder().values()]
         if any(" " in x for x in special):
             raise ValueError("a special string with a space could span pieces")
-        self.end = array("H", [end_id]).tobytes()
+        self.size, self.end = vocabulary(self.words.tok), array(self.words.code, [end_id]).tobytes()
         self.first, self.later = _Pieces(self.words, special, "", remembered // 8), _Pieces(self.words, special, " ", remembered)
 
     def text(self, t: str) -> bytes:
@@ -146,18 +159,19 @@ def _encoder(path: str, end_id: int) -> TextEncoder:
 
 
 def token_ids(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, counts): 2-byte ids with the end id, counts null; and a row for each task with its counts of all ids
-    (65,536 8-byte numbers), id and ids null."""
+    """(id, ids, counts): ids with the end id, counts null; and a row for each task with its counts of all ids (8-byte
+    numbers), id and ids null."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("token ids", _encoder.cache_clear)
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(_encoder(path, end_id).size, np.int64)
+        kind = kind_of(len(total))
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(sizes, 4 << 20):
                 part = batch.slice(a, b - a)
                 ids = _encoder(path, end_id).texts([t or "" for t in part["text"].to_pylist()])
-                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["id", "ids", "counts"])
 
@@ -169,15 +183,17 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
     """Counts of all ids, scaled so that they sum to 2**SCALE and every id that occurs has at least 1."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch["counts"].to_pylist():
-                total += np.frombuffer(x, np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["token", "n"])
-
-    got = importable(tokens.select("counts").where("counts is not null")).mapInArrow(spread, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most 65,536 rows
-    counts = np.zeros(1 << 16, np.int64)
+                own = np.frombuffer(x, np.int64)
+                total = total + own if len(total) else own
+        if len(total):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), len(total) - 1], pa.int32()), pa.array([*total[at].tolist(), 0])], names=["token", "n"])
+
+    got = importable(tokens.select("counts").where("counts is not null")).mapInArrow(spread, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row for each id at most, and the last id
+    counts = np.zeros(max((r["token"] for r in got), default=0) + 1, np.int64)
     for r in got:
         counts[r["token"]] = r["n"]
     return scaled(counts)
@@ -205,7 +221,8 @@ class Coder:
         self.freq = freq.astype(_U)
         self.base = (np.cumsum(freq, dtype=np.int64) - freq).astype(_U)
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
+        self.kind = kind_of(len(freq))
+        self.symbol = np.repeat(np.arange(len(freq), dtype=self.kind), freq)
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """ids: (blocks, steps * LANES). Final states (blocks, LANES), and each block's words."""
@@ -232,7 +249,7 @@ class Coder:
     def decode(self, x: np.ndarray, words: list[np.ndarray], steps: int) -> np.ndarray:
         """The ids of blocks of the same number of steps."""
         blocks = len(words)
-        out = np.empty((blocks, steps, LANES), np.uint16)
+        out = np.empty((blocks, steps, LANES), self.kind)
         top = np.cumsum([len(w) for w in words])
         flat = np.concatenate(words) if blocks else np.zeros(0, np.uint32)
         mask = _U((1 << SCALE) - 1)
@@ -270,7 +287,7 @@ def write_file(coder: Coder, ids: np.ndarray, nulls: np.ndarray, lengths: np.nda
     table = ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u4").tobytes()
     marks, at = [], 0
     for p, x, w in zip(parts, states, words, strict=True):
-        marks.append(struct.pack("<4q", at, len(w), zlib.crc32(w.astype("<u4").tobytes()), zlib.crc32(p.astype("<u2").tobytes())) + x.astype("<u8").tobytes())
+        marks.append(struct.pack("<4q", at, len(w), zlib.crc32(w.astype("<u4").tobytes()), zlib.crc32(p.astype(coder.kind).tobytes())) + x.astype("<u8").tobytes())
         at += len(w)
     body = head + table + b"".join(marks) + b"".join(w.astype("<u4").tobytes() for w in words)
     return body + struct.pack("<I", zlib.crc32(body))
@@ -310,53 +327,54 @@ class TokenFile:
                 got = self.coder.decode(self.states[group].astype(_U), words, steps)
                 for b, ids in zip(group, got, strict=True):
                     out[b] = ids[: size[b]]
-                    if zlib.crc32(out[b].astype("<u2").tobytes()) != self.marks[b, 3]:
+                    if zlib.crc32(out[b].astype(self.coder.kind).tobytes()) != self.marks[b, 3]:
                         raise ValueError("a block's ids are damaged")
         return [out[b] for b in which]
 
     def tokens(self) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint16), *self.blocks(list(range(len(self.marks))))])
+        return np.concatenate([np.zeros(0, self.coder.kind), *self.blocks(list(range(len(self.marks))))])
 
 
 def write_files(tokens: DataFrame, freq: np.ndarray, *, file_ids: int = 1 << 22, parts: int | None = None) -> DataFrame:
-    """(part, seq, n_ids, payload), in ascending order of the documents' ids by part and seq."""
+    """(part, seq, before, n_ids, payload), in ascending order of the documents' ids by part and seq."""
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("token files")
-        coder, part, seq = Coder(shared.value), TaskContext.get().partitionId(), 0
+        coder, part, seq, before = Coder(shared.value), TaskContext.get().partitionId(), 0, 0
+        width = np.dtype(coder.kind).itemsize
         ids: list[int | None] = []
         held: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nulls = np.array([i is None for i in ids], bool)
-            lengths = np.array([len(x) // 2 for x in held], np.int64)
-            payload = write_file(coder, np.array([i or 0 for i in ids], np.int64), nulls, lengths, np.frombuffer(b"".join(held), "<u2"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([payload], pa.binary())], names=["part", "seq", "n_ids", "payload"])
+            lengths = np.array([len(x) // width for x in held], np.int64)
+            payload = write_file(coder, np.array([i or 0 for i in ids], np.int64), nulls, lengths, np.frombuffer(b"".join(held), coder.kind))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([payload], pa.binary())], names=["part", "seq", "before", "n_ids", "payload"])
 
         for batch in batches:
             for i, x in zip(batch["id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 ids.append(i)
                 held.append(x)
-                size += len(x) // 2
+                size += len(x) // width
                 if size >= file_ids:
                     yield flush()
-                    ids, held, size, seq = [], [], 0, seq + 1
+                    ids, held, size, seq, before = [], [], 0, seq + 1, before + size
         if ids:
             yield flush()
 
     n = parts or int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.where("counts is null").select("id", "ids").withColumn("h", F.xxhash64("ids")).repartitionByRange(n, F.col("id").asc_nulls_first(), "h")
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "ids").select("id", "ids")
-    return stored(importable(ordered).mapInArrow(work, "part int, seq int, n_ids long, payload binary"), "token-files")
+    return stored(importable(ordered).mapInArrow(work, "part int, seq int, before long, n_ids long, payload binary"), "token-files")
 
 
 def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, from the files alone."""
     shared = files.sparkSession.sparkContext.broadcast(freq)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))  # as many rows as partitions
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("token files")
@@ -370,9 +388,7 @@ def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.ids, mask=f.nulls), pa.array(begins + first), pa.array(f.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    if files.select("part").count() <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
-    return importable(files.join(starts, ["part", "seq"]).select("first", "payload")).mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
+    return importable(files.join(F.broadcast(starts), "part").select((F.col("first") + F.col("before")).alias("first"), "payload")).mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,8 @@ Witten-Bell backing off to shorter contexts. The verdict compares the mean log-l
 with a threshold calibrated on the training urls (where the two classes' scores are equally many deviations away).
 
 The urls that rules decide are the training data: allowed ones are accepted, blocked ones rejected. Characters are
-folded to an alphabet of 42 classes, so the model has at most 42**4 rows, whatever the input; it is joined to the
-exploded characters by broadcast only below `BROADCAST_ROWS` counted rows, by shuffle beyond.
+folded to `CLASSES` = 43 classes, so there are at most 43**3 = 79,507 contexts, whatever the input. The model is an
+array of a context's 43 log ratios each (28 MB in all at most), which is always broadcast: no character is shuffled.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and is judged on the empty
 string; an empty string scores 0; without training urls of both classes every score is null and the verdict is allow;
@@ -26,7 +26,9 @@ from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 3
-BROADCAST_ROWS = 400_000
+#: What folded urls are made of; every other character is folded to the last one.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0./:?=&_#%+@!,^-~"
+CLASSES = len(ALPHABET)
 
 
 class Rule(NamedTuple):
@@ -62,7 +64,7 @@ def first_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> t
 
 
 def folded(host: Column, path: Column) -> Column:
-    """Host and path in lower case, each digit as 0, each character out of the alphabet as ~ (42 classes in all)."""
+    """Host and path in lower case, each digit as 0, each character out of the alphabet as ~."""
     text = F.translate(F.lower(F.concat(host, path)), "123456789", "000000000")
     return F.regexp_replace(text, r"[^a-z0./:?=&_#%+@!,^-]", "~")
 
@@ -75,8 +77,9 @@ def grams(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     return cut.select(*keep, F.expr(f"substring(_t, _i, {ORDER})").alias("ctx"), F.expr(f"substring(_t, _i + {ORDER}, 1)").alias("c"))
 
 
-def ratio_table(counts: DataFrame, classes: int = 42) -> DataFrame:
-    """(ctx, c, llr) from (ctx, c, na, nr): log P(c | ctx) of the accepted less that of the rejected model.
+def ratio_table(counts: DataFrame) -> DataFrame:
+    """(ctx, llr) from (ctx, c, na, nr): for each character of the alphabet, log P(c | ctx) of the accepted less that of the
+    rejected model; null for those that never follow the context.
 
     Order by order from the shortest context: P(c|ctx) = (n(ctx c) + T(ctx) P(c|shorter)) / (n(ctx) + T(ctx)), where T
     is the number of different characters seen after ctx; a context never seen passes on the shorter one's value.
@@ -87,22 +90,21 @@ def ratio_table(counts: DataFrame, classes: int = 42) -> DataFrame:
         sums = own.groupBy("ctx").agg(*(f.alias(x) for n in ("na", "nr") for f, x in ((F.sum(n), f"s_{n}"), (F.sum((F.col(n) > 0).cast("long")), f"t_{n}"))))
         at = own.join(sums, "ctx")
         if model is None:
-            at = at.withColumns({"pa": F.lit(1.0 / classes), "pr": F.lit(1.0 / classes)})
+            at = at.withColumns({"pa": F.lit(1.0 / CLASSES), "pr": F.lit(1.0 / CLASSES)})
         else:
             shorter = model.select(F.col("ctx").alias("_s"), F.col("c").alias("_c"), "pa", "pr")
             at = at.join(shorter, (F.substring("ctx", 2, k - 1) == F.col("_s")) & (F.col("c") == F.col("_c"))).drop("_s", "_c")
         p = {x: F.when(F.col(f"s_n{x[1]}") > 0, (F.col(f"n{x[1]}") + F.col(f"t_n{x[1]}") * F.col(x)) / (F.col(f"s_n{x[1]}") + F.col(f"t_n{x[1]}"))).otherwise(F.col(x)) for x in ("pa", "pr")}
         model = at.select("ctx", "c", "na", "nr", p["pa"].alias("pa"), p["pr"].alias("pr"))
         model = stored(model, f"url-order{k}") if k == ORDER else model
-    return model.select("ctx", "c", (F.log("pa") - F.log("pr")).alias("llr"))
+    each = [F.max(F.when(F.col("c") == c, F.log("pa") - F.log("pr"))) for c in ALPHABET]
+    return model.groupBy("ctx").agg(F.array(*each).alias("llr"))
 
 
 def score_urls(parts: DataFrame, llr: DataFrame, key: str) -> DataFrame:
     """(key, score): mean ratio per character. Partial sums are taken where the url was exploded."""
-    rows = grams(parts, F.col("folded"), key)
-    if llr.count() <= BROADCAST_ROWS:
-        llr = F.broadcast(llr)
-    return rows.join(llr, ["ctx", "c"]).groupBy(key).agg(F.round(F.avg("llr"), 9).alias("score"))
+    rows = grams(parts, F.col("folded"), key).join(F.broadcast(llr), "ctx")
+    return rows.groupBy(key).agg(F.round(F.avg(F.get("llr", F.instr(F.lit(ALPHABET), F.col("c")) - 1)), 9).alias("score"))
 
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:

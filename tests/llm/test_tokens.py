@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from ledgerloom.llm import token_count, token_store
 
@@ -24,6 +24,15 @@ def test_counts_equal_library():
     assert token_count.WordCounter(WORD, remembered=3).texts(texts).tolist() == want
 
 
+def test_every_character_counts_as_in_the_library():
+    """All of Unicode: alone after a letter, and before one."""
+    lib, own = Tokenizer.from_file(WORD), token_count.WordCounter(WORD)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xD7A4 <= c < 0x1F000 or c % 499 == 0)]
+    texts = ["".join(f"a{chr(c)}b " for c in points[i : i + 50]) for i in range(0, len(points), 50)]
+    assert [own.normal(t).split() for t in texts] == [lib.normalizer.normalize_str(t).split() for t in texts]
+    assert own.texts(texts).tolist() == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_count_tables(documents, odd, none):
     lib = Tokenizer.from_file(WORD)
     for df in (documents, odd, none):
@@ -63,6 +72,28 @@ def test_file_round_trip(n):
             token_store.TokenFile(bytes(bad), coder)
 
 
+def test_wide_vocabulary(spark, tmp_path):
+    """Ids beyond 65,536 take four bytes."""
+    tok = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w1"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "wide.json"))
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.choice([3, 69_999, rng.randrange(70_000)])}" for _ in range(rng.randrange(2000)))) for i in range(40)]
+    got = sorted(token_store.store_and_read(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "wide.json")).collect())
+    want = [np.array([*tok.encode(t).ids, 0], "<u4") for _, t in rows]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+
+
+def test_starts_over_several_files(spark):
+    df = spark.range(300).selectExpr("id doc_id", "repeat('some words ', cast(id % 7 as int)) text")
+    tokens = token_store.stored(token_store.token_ids(df, BYTE), "t")
+    freq = token_store.frequencies(tokens)
+    files = token_store.write_files(tokens, freq, file_ids=64, parts=3)
+    got = sorted(token_store.read_files(files, freq).collect(), key=lambda r: r.id)
+    assert files.count() > 20 and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+
+
 def test_scaled_keeps_rare_ids():
     f = token_store.scaled(np.r_[10**9, np.ones(60000, np.int64), 0])
     assert f.sum() == 1 << token_store.SCALE and f[1:-1].min() == 1 and f[-1] == 0

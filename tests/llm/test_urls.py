@@ -36,7 +36,7 @@ def brute(urls):
                     n[v == "block"][s[i - k : i]][s[i]] += 1
 
     def p(m, ctx, c):
-        low = p(m, ctx[1:], c) if ctx else 1 / 42
+        low = p(m, ctx[1:], c) if ctx else 1 / 43
         seen = n[m].get(ctx)
         return low if not seen else (seen[c] + len(seen) * low) / (sum(seen.values()) + len(seen))
 
@@ -67,6 +67,11 @@ def test_urls(spark, sf):
         assert [g[4] for g in got] == pytest.approx([w[4] for w in want], abs=2e-9)
 
 
+def test_alphabet_is_what_folding_leaves():
+    kept = {re.sub(r"[^a-z0./:?=&_#%+@!,^-]", "~", chr(c)) for c in range(0x3000)}
+    assert kept == set(U.ALPHABET) and len(U.ALPHABET) == U.CLASSES == 43
+
+
 def test_no_python_in_plan(spark, sf):
     plan = U.filter_urls(spark.read.parquet(f"{sf}/pages.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow(?!Eval)", plan)
