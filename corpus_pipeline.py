@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is found; `und` and unsure texts go."""
     langs, matrix = language_id.fit(docs, F.lit(True), key=F.col("doc_id"))
     whole = docs.select("doc_id", "text", F.struct(*map(named, docs.columns)).alias("row"))
-    named = language_id.predict(whole, langs, matrix, keep=["row"])
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
+    guessed = language_id.predict(whole, langs, matrix, keep=["row"])
+    return guessed.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
