@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: The ASCII white space of the contracts, [\x20\x09-\x0D]; bytes.split() and bytes.strip() use the same set.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -132,13 +132,17 @@ def map_chunks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(work.__module__)
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, names=names)
             sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(sizes, most):
                 out = work(batch.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, target.field(n).type) for n, x in out.items()], names=list(out))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, target.field(n).type) for n, x in out.items()], names=[plain[n] for n in out])
 
-    target = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
-    return importable(df).mapInArrow(run, schema)
+    kinds = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    names, target = df.columns, to_arrow_schema(kinds)
+    plain = {n: f"c{i}" for i, n in enumerate(kinds.names)}  # mapInArrow can't name a column that holds a dot
+    given = StructType([StructField(plain[f.name], f.dataType) for f in kinds])
+    return importable(df).toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, given).toDF(*kinds.names)
 
 
 def byte_symbols() -> list[str]:

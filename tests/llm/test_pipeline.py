@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_mix import goals, words
 from test_near import brute as near_brute
 from tokenizers import Tokenizer
@@ -52,12 +53,16 @@ def test_run_equals_stages(spark, sf, documents):
     assert Counter(tuple(r) for r in P.run(spark, sf).collect()) == Counter(tuple(r) for r in docs.collect())
 
 
+ODD_NAMES = ("my col", "a.b", "lang_pred", "score", "__text", "row", "_kept", "_copy", "copies", "leak_text", "h", "w", "`q`")
+
+
 def test_odd_rows(spark, odd, none, sf, tmp_path):
-    for df in (odd, none):
+    named = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(ODD_NAMES) if c != "row"])
+    for df in (named, none):
         docs = df
         for name, stage in P.STAGES:
             docs = stage(spark, docs, sf)
             if name != "tokens":
                 assert docs.columns == df.columns
         got = docs.collect()
-        assert len(got) > 3 if df is odd else got == []
+        assert len(got) > 3 if df is named else got == []
