@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import importable, map_chunks, named, slices, stored, unused
+from .common import importable, map_chunks, named, ragged_arange, slices, stored, unused
 
 BUCKETS, LONGEST, PIECE = 1 << 15, 4, 1 << 20
 BLOCK = 64  # languages that are counted, collected or scored at once
@@ -53,9 +53,10 @@ def gram_buckets(raw: np.ndarray) -> list[np.ndarray]:
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts with a space before and after each, and where each begins."""
-    raw = np.frombuffer(b" " + b" ".join(texts) + b" " * LONGEST, np.uint8)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    """All texts, each with a space before and LONGEST behind it, and where each begins. A text's n-grams begin at the space
+    before it and at its bytes, and run into spaces only: they don't depend on the texts beside it."""
+    raw = np.frombuffer(b" " + (b" " * LONGEST).join(texts) + b" " * LONGEST, np.uint8)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + LONGEST
     return raw, np.cumsum(lengths) - lengths
 
 
@@ -86,8 +87,9 @@ def fit(docs: DataFrame, train: Column, *, lang_col: str = "lang", text_col: str
                     total = {}
                 own = [t for t, n in zip(texts, names, strict=True) if n == lang]
                 for a, b in slices(np.fromiter(map(len, own), np.int64, len(own)), PIECE):
-                    raw, _ = _joined([t.lower() for t in own[a:b]])
-                    total[lang] = total.get(lang, 0) + sum(np.bincount(g, minlength=BUCKETS) for g in gram_buckets(raw))
+                    raw, starts = _joined([t.lower() for t in own[a:b]])
+                    at = ragged_arange(starts, np.fromiter(map(len, own[a:b]), np.int64, b - a) + 1)
+                    total[lang] = total.get(lang, 0) + sum(np.bincount(g[at], minlength=BUCKETS) for g in gram_buckets(raw))
         yield from counted(total)
 
     summed = importable(chosen).mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -109,11 +111,12 @@ def score(texts: list[bytes], matrix: np.ndarray) -> np.ndarray:
     for a, b in slices(lengths, PIECE):
         raw, starts = _joined([t.lower() for t in texts[a:b]])
         total = int(starts[-1] + lengths[b - 1]) + 1
+        edges = np.stack([starts, starts + lengths[a:b] + 1], 1).ravel()[:-1]  # a text, what is between, a text, ...
         for at in range(0, total, 4 * PIECE):  # several steps only for one long text
             stop = min(at + 4 * PIECE, total)
             for grams in gram_buckets(raw[at : stop + LONGEST - 1]):
                 for k in range(matrix.shape[1]):
-                    out[a:b, k] += np.add.reduceat(matrix[:, k][grams[: stop - at]].astype(np.float64), starts if total <= 4 * PIECE else [0])
+                    out[a:b, k] += np.add.reduceat(matrix[:, k][grams[: stop - at]].astype(np.float64), edges if total <= 4 * PIECE else [0])[::2]
     return out / (lengths + 1)[:, None] / (LONGEST - 1)
 
 

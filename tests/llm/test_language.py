@@ -55,3 +55,41 @@ def test_rare_languages_are_learned(spark):
     ll = L.score([text(7).encode()], matrix)[0]
     want = 1 / np.exp((ll - ll.max()) * 40).sum()
     assert all(np.isclose(r.score, want) for r in got if r.lang == name(7))
+
+
+def test_against_brute_force(spark, documents, odd):
+    """Counting and scoring n-gram by n-gram, text by text."""
+    import math
+    from collections import Counter, defaultdict
+
+    def buckets(text):
+        raw = b" " + text.encode().lower() + b" " * L.LONGEST
+        for n in range(2, L.LONGEST + 1):
+            for i in range(len(text.encode()) + 1):
+                h = raw[i] + 1
+                for x in raw[i + 1 : i + n]:
+                    h = (h * 0x9E3779B1 + x) % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                yield h >> 17
+
+    docs = documents.select("doc_id", "text", "lang").where("length(text) < 1500").limit(60).unionAll(odd.select("doc_id", "text", "lang").where("text is null or length(text) < 1500"))
+    rows = docs.collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.lang is not None and r.text is not None and r.doc_id is not None and r.doc_id % 3:
+            counts[r.lang].update(buckets(r.text))
+    langs = sorted(counts)
+    logs = {x: (lambda c, total: lambda g: math.log((c[g] + 0.5) / total))(counts[x], sum(counts[x].values()) + 0.5 * L.BUCKETS) for x in langs}
+    got_langs, matrix = L.fit(docs.repartition(3), F.col("doc_id") % 3 != 0)
+    assert got_langs == langs
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in L.predict(docs.repartition(2), got_langs, matrix).collect())
+    want = Counter()
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            want[(r.doc_id, "und", 0.0)] += 1
+            continue
+        grams, size = list(buckets(r.text)), len(r.text.encode())
+        ll = {x: sum(map(logs[x], grams)) / (size + 1) / (L.LONGEST - 1) for x in langs}
+        best = max(langs, key=lambda x: ll[x])
+        want[(r.doc_id, best, round(1 / sum(math.exp((v - ll[best]) * min(size, 40)) for v in ll.values()), 4))] += 1
+    assert got == want
