@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import schema
+from ledgerloom.functions import catalog
 from ledgerloom.operators import authchain, chain, mempool, modes, sinks, throughput, values, wire
 from ledgerloom.sources.ledger import BLOCK_RECORD, Ledger, decode_blocks, from_blocks
 from ledgerloom.sources.raw import raw_blocks, raw_transactions
@@ -273,3 +274,14 @@ def test_retained_intervals(spark):
     now, five = 10_000_000, 300_000
     df = spark.createDataFrame([(now - five - 20, 10), (now - five - 20, 20), (now - five - 20, 30), (now, 5)], "start_ms long, duration_ms long")
     assert [r.duration_ms for r in throughput.retained(df, F.lit(now)).orderBy("start_ms", "duration_ms").collect()] == [20, 30, 5]
+
+
+def test_sql_functions(spark):
+    catalog.register(tree(spark, []), prefix="t_")
+    assert [tuple(r) for r in spark.sql("SELECT lower(hex(authhead_transaction_hash)), authchain_length FROM authchains_of(10)").collect()] == [(bytes(h(14)).hex(), 4)]
+    assert spark.sql("SELECT * FROM search_outputs('5293')").count() == spark.sql("SELECT * FROM search_outputs_prefix('52')").count() == 12
+    assert spark.sql("SELECT * FROM search_outputs('52')").count() == 0
+    assert spark.sql(f"SELECT * FROM data_carriers_of(X'{bytes(h(10)).hex()}')").count() == 0
+    assert spark.sql("SELECT t.internal_id, c.authchain_length FROM t_transaction t, LATERAL authchains_of(t.internal_id) c WHERE t.internal_id > 12").count() == 3
+    row = spark.sql("SELECT hex(compact_uint(252)), hex(compact_uint(300)), hex(compact_uint(70000)), hex(compact_uint(5000000000)), hex(reverse_bytes(X'0102FF')), hex(uint16le(258)), hex(uint32le(-2)), is_script_hash(X'51')").first()
+    assert tuple(row) == ("FC", "FD2C01", "FE70110100", "FF00F2052A01000000", "FF0201", "0201", "FEFFFFFF", False)
