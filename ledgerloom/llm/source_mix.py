@@ -93,8 +93,15 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
     """(id, source, size, source_size, target, copies, taken) for each row; with carry, all columns of docs under
     `row` (a struct) and copies. weight is a document's weight, as a column of docs or as a function of its size."""
     size = F.coalesce(F.regexp_count(named(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long")
-    small = {"id": named(id_col), "source": named(source_col), "size": size, "h": F.xxhash64(F.lit(seed), named(id_col), named(text_col)), "w": F.lit(1.0) if weight is None else eighths((weight if isinstance(weight, Column) else weight(size)).cast("double"))}
-    sized = stored(docs.select(*[c.alias(n) for n, c in small.items()]), "mix-sizes")
+    small = {"id": named(id_col), "source": named(source_col), "size": size, "h": F.xxhash64(F.lit(seed), named(id_col), named(text_col)), "w": weight if isinstance(weight, Column) else F.lit(1.0)}
+
+    def weighed(*carried: Column) -> DataFrame:
+        """What counts of each row; words are counted once, whatever the weight makes of them."""
+        rows = docs.select(*carried, *[c.alias(n) for n, c in small.items()])
+        w = F.col("w") if weight is None or isinstance(weight, Column) else weight(F.col("size"))
+        return rows.withColumn("w", F.lit(1.0) if weight is None else eighths(w.cast("double")))
+
+    sized = stored(weighed(), "mix-sizes")
     classes = stored(sized.groupBy("source", "w").agg(F.sum("size").alias("words")), "mix-classes")
     goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     goal = goal.withColumnRenamed("source", "_k").join(classes, F.col("source").eqNullSafe(F.col("_k"))).drop("_k")
@@ -166,7 +173,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
     plan = stored(plan.join(spare.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
 
     if carry:
-        rows = with_goal(docs.select(F.struct(*map(named, docs.columns)).alias("row"), *[c.alias(n) for n, c in small.items()]))
+        rows = with_goal(weighed(F.struct(*map(named, docs.columns)).alias("row")))
     else:
         rows = ranked
 
