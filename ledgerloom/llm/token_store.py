@@ -104,11 +104,16 @@ class _Pieces(dict):
 
     def __init__(self, words: _Words, special: list[str], before: str, most: int):
         self.words, self.special, self.before, self.most, self.missed = words, special, before, most, 0
+        self.mark = before.translate(words.chars)
+        self.quick = words.plain and not any(x.isalpha() for x in special)  # then a word of letters holds none
 
     def __missing__(self, piece: str) -> bytes:
-        if (self.before and (not piece or piece[0].isspace())) or any(x in piece for x in self.special):
+        if self.quick and piece.isascii() and piece.isalpha():  # one pre-token, and its bytes are their own symbols
+            ids = array(self.words.code, [t.id for t in self.words.tokenize(self.mark + piece)]).tobytes()
+        elif (self.before and (not piece or piece[0].isspace())) or any(x in piece for x in self.special):
             raise _Whole
-        ids = self.words(self.before, piece) if piece else b""
+        else:
+            ids = self.words(self.before, piece) if piece else b""
         self.missed += 1
         if self.missed > 2 * self.most:
             self.clear()
