@@ -11,16 +11,15 @@ Nodes that share a band are candidates:
 3. Only pairs of a band whose nodes are still in different components can add anything: all of those whose estimate is
    within the margin are compared on the full sets too, and one link is given for each two components it joins.
    Members outside the band's largest component meet its members and one another in blocks. A band with more than
-   `BLOCK` such members, which are mostly unlike texts that share a passage, is refined first: each member goes to
-   `SETS` groups, by eight further fields of its signature each, and only members of one group meet. Groups that are
-   still too wide are refined again, up to `LEVELS` times. So rows grow with the members, not with their square; only
-   what stays together at the last level is laid out in blocks in full (texts whose signatures agree nearly as
-   often as near copies do).
+   `BLOCK` such members, which are mostly unlike texts that share a passage, isn't laid out: the members of all such
+   bands are dealt by the shingles of their prefixes. With the shingles of each set in one order, the rarest among these
+   members first, two sets of similarity 0.75 share one of the first n / 4 + 1, so no pair is left out. Rows grow with
+   the members' shingles, not with the members' square; a group of any width is laid out in blocks in full (texts that
+   share rare shingles without being near copies).
 So every pair of a band is either confirmed, or refused by its sets or its estimate, or joined already by other links.
 
-A pair of similarity 0.75 shares no band with probability 5e-6, and is refused by its estimate with about 3e-6. If all
-bands that it shares are refined, it meets in none of them with 4e-5 at one level and 2e-4 at two. Pairs that are more
-alike are lost far less often.
+A pair of similarity 0.75 shares no band with probability 5e-6, and is refused by its estimate with less than 1e-10.
+Pairs that are more alike are lost far less often.
 
 A set is identified by 128 bits: nodes are numbered by 64 of them, and where two sets have the same 64, the second is
 numbered anew.
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hold, importable, map_chunks, mix64, stored
+from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, stored
 from .components import components
 
 HASHES, BANDS, ROWS, B, WORDS = 256, 32, 4, 4, 5
@@ -279,8 +278,8 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
-#: Estimates below this are refused: four and a half deviations under 0.75.
-FLOOR = 0.62
+#: Estimates below this are refused: seven deviations under 0.75.
+FLOOR = 0.55
 
 
 def forest(s: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,26 +337,59 @@ def _refined(rows: DataFrame, level: int) -> DataFrame:
     return map_chunks(rows, work, "g long, band long, rule boolean, s long, comp long", column="sig", most=1 << 20)
 
 
-def meetings(members: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+def _named(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(g, band, rule, s, comp) of the members of bands that more than one pair can share."""
+    rows = members.where("m > 2").join(label.withColumnRenamed("node", "s").hint("merge"), "s", "left")
+    return stored(rows.select(F.col("band").alias("g"), "band", F.lit(True).alias("rule"), "s", F.coalesce("label", "s").alias("comp")), "near-named")
+
+
+def _mains(now: DataFrame) -> DataFrame:
+    """(g, main, k, m, wide) of the groups of several components: the largest one, its members, all members, and whether
+    over BLOCK are outside it."""
+    by_comp = now.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = by_comp.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("comps > 1")
+    return stored(main.select("g", F.col("top.comp").alias("main"), F.col("top.k").alias("k"), "m", (F.col("m") - F.col("top.k") > BLOCK).alias("wide")), "near-main")
+
+
+def meetings(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(g, block, diagonal, side, band, rule, s, comp): who is to be compared with whom; in a block that isn't diagonal,
-    only members of different sides."""
-    now = members.where("m > 2").join(label.withColumnRenamed("node", "s").hint("merge"), "s", "left").select(F.col("band").alias("g"), "band", F.lit(True).alias("rule"), "s", F.coalesce("label", "s").alias("comp"))
+    only members of different sides. With docs, wide bands are dealt by prefixes and no pair of a band that could be a
+    link is left out; without, they are refined by signatures alone, which can part pairs."""
+    now = _named(members, label)
     out = []
     for level in range(LEVELS + 1):
-        now = stored(now, "near-named")
-        by_comp = now.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
-        main = by_comp.groupBy("g").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("m")).where("comps > 1")
-        main = stored(main.select("g", F.col("top.comp").alias("main"), F.col("top.k").alias("k"), "m"), "near-main")
+        main = _mains(now)
         rows = now.join(main.hint("merge"), "g")
-        if level == LEVELS or main.where(F.col("m") - F.col("k") > BLOCK).isEmpty():
+        if level == LEVELS or main.where("wide").isEmpty():
             out.append(_in_blocks(rows))
             break
-        wide = F.col("m") - F.col("k") > BLOCK
-        out.append(_in_blocks(rows.where(~wide)))
-        now = _refined(rows.where(wide).select("g", "s", "comp").join(nodes.select("s", "sig").hint("merge"), "s"), level)
+        out.append(_in_blocks(rows.where("not wide")))
+        rows = rows.where("wide")
+        if docs is not None:
+            now = stored(_prefixes(rows.select("s", "comp").distinct(), nodes, docs), "near-prefixes")
+            out.append(_in_blocks(now.join(_mains(now).hint("merge"), "g")))
+            break
+        now = stored(_refined(rows.select("g", "s", "comp").join(nodes.select("s", "sig").hint("merge"), "s"), level), "near-named")
     return reduce(DataFrame.unionAll, out)
 
 
+def _prefixes(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(g, band, rule, s, comp) from (s, comp): a row for each shingle of a prefix that another node has too."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        sets = shingle_sets(batch["text"].to_pylist())
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        return {"s": batch["s"].take(at), "g": np.concatenate([np.zeros(0, _U), *sets]).view(np.int64)}
+
+    shingles = stored(map_chunks(texts_of(ends.select("s"), nodes, docs), work, "s long, g long", most=1 << 20), "near-shingles")
+    often = stored(shingles.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-often")
+    common = join_counted(shingles, often, ["g"], "c", shingles.count())
+    common = common.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("all")).join(nodes.select("s", "n").hint("merge"), "s").join(ends.hint("merge"), "s")
+    single = F.col("n") - F.size("all")  # they come first, and nobody else has them
+    room = F.greatest(F.floor(F.col("n") / 4) + 1 - single, F.lit(0)).cast("int")
+    return common.select(F.explode(F.slice("all", F.lit(1), room)).alias("x"), "s", "comp").select("x.g", F.lit(0).cast("long").alias("band"), F.lit(False).alias("rule"), "s", "comp")
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
     big, top = F.col("m") > BLOCK, F.col("comp") == F.col("main")
     d_all, h_all = (F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("int") for x in (F.col("k"), F.col("m") - F.col("k")))
@@ -378,7 +410,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 def between_components(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) between components that share a band."""
     sigs = nodes.select("s", "n", "sig", "bands")
-    rows = meetings(members, label, nodes).join(sigs.hint("merge"), "s").select("g", "block", "diagonal", "side", "band", "rule", "s", "n", "comp", "sig", "bands")
+    rows = meetings(members, label, nodes, docs).join(sigs.hint("merge"), "s").select("g", "block", "diagonal", "side", "band", "rule", "s", "n", "comp", "sig", "bands")
     kept = "g long, block int, diagonal boolean, side int, band long, rule boolean, s long, n long, comp long, sig binary, bands array<long>"
     need = stored(_per_group(rows, ["g", "block"], _involved, kept), "near-open")
     texts = texts_of(need.select("s").distinct(), nodes, docs)

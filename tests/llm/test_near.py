@@ -92,6 +92,30 @@ def test_wide_bands_grow_with_their_members(spark, monkeypatch):
     assert all(got[3000 + i] == got[3 * i] == 3 * i for i in range(300)) and sum(i == c for i, c in got.items()) == 3000
 
 
+def test_refined_bands_lose_no_link(spark, monkeypatch):
+    """Where refining parts most pairs near the threshold, all that share a wide band are linked all the same."""
+    refined = near_dedup._refined
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "_refined", lambda rows, level: refined(rows, level).where("pmod(g, 16) = 0"))
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(100)]
+    rows = [(i, " ".join(shared + [f"y{rng.randrange(10**6)}" for _ in range(40)])) for i in range(500)]
+    rows += [(500 + i, " ".join([*rows[i][1].split()[:-17], *[f"z{rng.randrange(10**6)}" for _ in range(16)]])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("doc_id id", "xxhash64(text) t", "cast(text as binary) text")
+    _, nodes = near_dedup.sets_of(near_dedup.stored(near_dedup.features(docs), "f"))
+    members = nodes.selectExpr("s", "explode(bands) band")
+    members = near_dedup.stored(members.join(members.groupBy("band").count().withColumnRenamed("count", "m").where("m > 64"), "band"), "m")
+    node = {r.id: r.s for r in nodes.select("rep.id", "s").collect()}
+    bands = {}
+    for r in members.collect():
+        bands.setdefault(r.s, set()).add(r.band)
+    pairs = [(node[i], node[500 + i]) for i in range(200) if bands.get(node[i], set()) & bands.get(node[500 + i], set())]
+    sets = [shingles(t) for _, t in rows]
+    assert all(100 * len(sets[i] & sets[500 + i]) >= 75 * len(sets[i] | sets[500 + i]) for i in range(200)) and len(pairs) > 150
+    found = near_dedup.between_components(members, spark.createDataFrame([], "node long, label long"), nodes, docs)
+    assert {tuple(sorted(p)) for p in pairs} == {tuple(sorted((r.u, r.v))) for r in found.collect()}
+
+
 def test_sets_and_estimates():
     rng = random.Random(1)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 3000))).encode() for _ in range(40)] + [b"", None, b"a b", b"A  B\n", b"a b c d e"]
