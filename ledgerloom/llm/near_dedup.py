@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, stored
+from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, stored, trim
 from .components import components
 
 HASHES, BANDS, ROWS, B, WORDS = 256, 32, 4, 4, 5
@@ -69,6 +69,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    hold(__name__, _powers.cache_clear)
     lowered = [(t or b"").lower() for t in texts]
     raw = np.frombuffer(b" ".join(lowered) + b" ", np.uint8)
     space = _IS_SPACE[raw]
@@ -189,6 +190,9 @@ def _per_group(rows: DataFrame, keys: list[str], work: Callable[[pa.Table, np.nd
         for t in rest:
             start = begins(t)
             yield work(t, start, np.diff(np.r_[start, t.num_rows]))
+        t = batch = None
+        rest.clear()
+        trim()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return importable(rows.repartition(parts, *keys).sortWithinPartitions(*keys)).mapInArrow(run, schema)

@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
 import sys
 import zlib
@@ -74,7 +75,7 @@ class _Words:
         self.tokenize, self.chars = self.tok.model.tokenize, dict(enumerate(byte_symbols()))
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.common = re.compile("[\t\n\r!-~À-ÖØ-öø-ɏ]*").fullmatch
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.code = "H" if kind_of(vocabulary(self.tok)) == "<u2" else "I"
 
     def whole(self, text: str) -> bytes:
@@ -87,17 +88,20 @@ class _Words:
         if self.plain and piece.isalpha():
             return array(self.code, self.word(before + piece)).tobytes()
         if self.plain and self.common(piece):
-            ids = array(self.code)
+            ids = []
             for w in self.cut(before + piece):
                 if (own := self.known.get(w)) is None:
-                    own = self.word(w)
+                    own = array(self.code, self.word(w)).tobytes()
                     if len(self.known) < 100_000 and len(w) <= 64:
                         self.known[w] = own
-                ids.extend(own)
-            return ids.tobytes()
+                ids.append(own)
+            return b"".join(ids)
         return self.whole(before + piece)
 
 
+_MARKS = string.punctuation
+
+
 class _Pieces(dict):
     """Ids of pieces by text. A piece that isn't remembered is checked and encoded alone; once full, it keeps what it has
     until as many pieces again were missed, and then starts anew."""
@@ -112,6 +116,11 @@ class _Pieces(dict):
             ids = array(self.words.code, [t.id for t in self.words.tokenize(self.mark + piece)]).tobytes()
         elif (self.before and (not piece or piece[0].isspace())) or any(x in piece for x in self.special):
             raise _Whole
+        elif self.words.plain and (core := piece.rstrip(_MARKS)) != piece and core.isalpha():  # a word and its marks are two pre-tokens
+            known = core in self
+            ids = self[core] + self.words("", piece[len(core) :])
+            if not known:  # as rare as its word, which is remembered
+                return ids
         else:
             ids = self.words(self.before, piece) if piece else b""
         self.missed += 1
@@ -136,7 +145,7 @@ class TextEncoder:
     (none has a space), go to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 400_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if sys.byteorder != "little":
             raise ValueError("ids are written in the machine's order, which must be little-endian")

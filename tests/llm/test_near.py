@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerloom.llm import components, near_dedup
+from ledgerloom.llm import common, components, near_dedup
 
 
 def shingles(t):
@@ -116,6 +116,13 @@ def test_refined_bands_lose_no_link(spark, monkeypatch):
     assert {tuple(sorted(p)) for p in pairs} == {tuple(sorted((r.u, r.v))) for r in found.collect()}
 
 
+def test_workers_release_what_sets_need():
+    near_dedup.shingle_sets([b"a b c d e f"])
+    assert near_dedup._powers.cache_info().currsize == 1
+    common.hold("another operator")
+    assert near_dedup._powers.cache_info().currsize == 0
+
+
 def test_sets_and_estimates():
     rng = random.Random(1)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 3000))).encode() for _ in range(40)] + [b"", None, b"a b", b"A  B\n", b"a b c d e"]
