@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,8 @@ from test_mix import goals, words
 from test_near import brute as near_brute
 from tokenizers import Tokenizer
 
+from ledgerloom.llm import near_dedup
+
 
 def test_stages(spark, documents, sf):
     docs = documents
@@ -53,6 +56,21 @@ def test_run_equals_stages(spark, sf, documents):
     assert Counter(tuple(r) for r in P.run(spark, sf).collect()) == Counter(tuple(r) for r in docs.collect())
 
 
+def test_near_duplicates_of_wide_bands(spark, monkeypatch):
+    """Pairs at the threshold among unlike texts that share a passage: one of each stays, even if refining parts all."""
+    refined = near_dedup._refined
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "_refined", lambda rows, level: refined(rows, level).where("false"))
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(160)]
+    rows = [(i, " ".join(shared + [f"y{rng.randrange(10**6)}" for _ in range(40)])) for i in range(250)]
+    rows += [(250 + i, " ".join([*rows[i][1].split()[:-27], *[f"z{rng.randrange(10**6)}" for _ in range(27)]])) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = Counter(i for i, _, _, kept in near_brute(docs.collect()) if kept)
+    assert len(want) == 250
+    assert Counter(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == want
+
+
 ODD_NAMES = ("my col", "a.b", "lang_pred", "score", "__text", "row", "_kept", "_copy", "copies", "leak_text", "h", "w", "`q`")
 
 
