@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language_id, near_dedup, source_mix, token_store
-from ledgerloom.llm.common import named, stored, table, unused
+from ledgerloom.llm.common import named, stored, table
 from ledgerloom.llm.registry import tokenizer
 
 #: A text is rejected if its language can't be told: no letter, or less than this posterior for the best language.
@@ -23,10 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names each group of near copies stays; repeated rows of one id and text are one document."""
-    own = unused(docs.columns, "_kept")
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
-    unique = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
-    return unique.dropDuplicates(["doc_id", "text"])
+    return near_dedup.drop_near(docs).dropDuplicates(["doc_id", "text"])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,12 @@ Nodes that share a band are candidates:
    members first, two sets of similarity 0.75 share one of the first n / 4 + 1, so no pair is left out. Rows grow with
    the members' shingles, not with the members' square; a group of any width is laid out in blocks in full (texts that
    share rare shingles without being near copies).
-So every pair of a band is either confirmed, or refused by its sets or its estimate, or joined already by other links.
-
-A pair of similarity 0.75 shares no band with probability 5e-6, and is refused by its estimate with less than 1e-10.
-Pairs that are more alike are lost far less often.
+4. Pairs of different components that share no band, or a wide one, are found by all sets' prefixes, in one order of
+   all shingles: those that a sample of texts has more than once come last, the more frequent the later, the others go
+   by hash. Any two sets of similarity 0.75 share a shingle of both prefixes, whatever the sample is. Groups of at most
+   `FEW` sets give pairs to confirm, larger ones are laid out in blocks as above.
+So every pair of the table is either confirmed, or refused by its sets or its estimate, or joined already by other
+links. In step 4 an estimate refuses less than 1e-23 of the pairs of similarity 0.75.
 
 A set is identified by 128 bits: nodes are numbered by 64 of them, and where two sets have the same 64, the second is
 numbered anew.
@@ -37,15 +39,17 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, stored, trim
+from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, named, ragged_arange, stored, trim, unused
 from .components import components
 
 HASHES, BANDS, ROWS, B, WORDS = 256, 32, 4, 4, 5
 BLOCK, SHARED = 512, 16
 SETS, LEVELS = 16, 2
+SAMPLE, FREQUENT, FEW = 1 << 14, 1 << 18, 64
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
@@ -235,7 +239,7 @@ class _Open:
         if not self.diagonal:
             ok &= self.side[rest] != self.side[i]
         rest = rest[ok]
-        rest = rest[similarity(self.sig[rest], self.sig[i]) >= FLOOR]
+        rest = rest[similarity(self.sig[rest], self.sig[i]) >= (FLOOR if self.rule else LEAST)]
         return rest[(self.bands[rest] == self.bands[i]).argmax(1) == self.at] if self.rule and len(rest) else rest
 
 
@@ -260,17 +264,15 @@ def _compare(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch
         part = t.slice(i, m)
         group = _Open(part)
         comp = group.comp.copy()
-        texts = part["text"].to_pylist()
-        sets: list = [None] * m
-
-        def full(k: int, texts: list = texts, sets: list = sets) -> np.ndarray:
-            if sets[k] is None:
-                sets[k] = shingle_sets([texts[k]])[0]
-            return sets[k]
-
+        sets = shingle_sets(part["text"].to_pylist())
+        count = np.stack([np.minimum(np.bincount((x >> _U(55)).astype(np.int64), minlength=512), 255) for x in sets]).astype(np.uint8)
         for k in range(m - 1):
-            for j in group.partners(k, comp).tolist():
-                if comp[j] != comp[k] and alike(full(k), full(j)):
+            at = group.partners(k, comp)
+            if len(at) > 8:  # no more can be common than by parts of the hashes' range
+                both = np.minimum(count[at], count[k]).sum(1, dtype=np.int64)
+                at = at[(100 * both >= 75 * (group.n[at] + group.n[k] - both)) | (count[at] == 255).any(1)]
+            for j in at.tolist():
+                if comp[j] != comp[k] and alike(sets[k], sets[j]):
                     comp[comp == comp[j]] = comp[k]
                     a.append(group.s[[k]])
                     b.append(group.s[[j]])
@@ -284,6 +286,8 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 #: Estimates below this are refused: seven deviations under 0.75.
 FLOOR = 0.55
+#: The same where nothing may be lost: by Hoeffding's bound less than 1e-23 of the pairs at 0.75.
+LEAST = 0.4
 
 
 def forest(s: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,10 +359,10 @@ def _mains(now: DataFrame) -> DataFrame:
     return stored(main.select("g", F.col("top.comp").alias("main"), F.col("top.k").alias("k"), "m", (F.col("m") - F.col("top.k") > BLOCK).alias("wide")), "near-main")
 
 
-def meetings(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def meetings(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame | None = None, wide: bool = True) -> DataFrame:
     """(g, block, diagonal, side, band, rule, s, comp): who is to be compared with whom; in a block that isn't diagonal,
     only members of different sides. With docs, wide bands are dealt by prefixes and no pair of a band that could be a
-    link is left out; without, they are refined by signatures alone, which can part pairs."""
+    link is left out; without, they are refined by signatures alone, which can part pairs. wide: whether they take part."""
     now = _named(members, label)
     out = []
     for level in range(LEVELS + 1):
@@ -368,6 +372,8 @@ def meetings(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataF
             out.append(_in_blocks(rows))
             break
         out.append(_in_blocks(rows.where("not wide")))
+        if not wide:
+            break
         rows = rows.where("wide")
         if docs is not None:
             now = stored(_prefixes(rows.select("s", "comp").distinct(), nodes, docs), "near-prefixes")
@@ -411,10 +417,15 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("g", "_at.block", "_at.diagonal", "side", "band", "rule", "s", "comp")
 
 
-def between_components(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (u, v) between components that share a band."""
+def between_components(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, wide: bool = True) -> DataFrame:
+    """Links (u, v) between components that share a band; without `wide`, one that isn't wide."""
+    return _compared(meetings(members, label, nodes, docs, wide), nodes, docs)
+
+
+def _compared(met: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) among those who meet."""
     sigs = nodes.select("s", "n", "sig", "bands")
-    rows = meetings(members, label, nodes, docs).join(sigs.hint("merge"), "s").select("g", "block", "diagonal", "side", "band", "rule", "s", "n", "comp", "sig", "bands")
+    rows = met.join(sigs.hint("merge"), "s").select("g", "block", "diagonal", "side", "band", "rule", "s", "n", "comp", "sig", "bands")
     kept = "g long, block int, diagonal boolean, side int, band long, rule boolean, s long, n long, comp long, sig binary, bands array<long>"
     need = stored(_per_group(rows, ["g", "block"], _involved, kept), "near-open")
     texts = texts_of(need.select("s").distinct(), nodes, docs)
@@ -422,8 +433,98 @@ def between_components(members: DataFrame, label: DataFrame, nodes: DataFrame, d
     return stored(found.distinct().select(F.col("a").alias("u"), F.col("b").alias("v")), "near-more")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row."""
+def _frequent(docs: DataFrame, nodes: int) -> np.ndarray:
+    """Shingles that several texts of a sample of about SAMPLE have, rarest first. They only order the shingles: what the
+    sample misses costs time, never a pair."""
+    sample = docs.where(F.pmod("t", F.lit(max(1, nodes // SAMPLE))) == 0).dropDuplicates(["t"]).select("text")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"g": np.concatenate([np.zeros(0, _U), *shingle_sets(batch["text"].to_pylist())]).view(np.int64)}
+
+    often = map_chunks(sample, work, "g long", most=1 << 20).groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return often.orderBy(F.desc("c"), "g").limit(FREQUENT).toArrow()["g"].to_numpy()[::-1].astype(np.int64).view(_U)
+
+
+def prefix(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n / 4 + 1 shingles in the order of all: those that aren't known by hash, then the known ones by rank."""
+    need = len(shingles) // 4 + 1
+    if not len(known):
+        return shingles[:need]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    hit = known[at] == shingles
+    first = shingles[~hit][:need]
+    if len(first) == need:
+        return first
+    return np.concatenate([first, shingles[hit][np.argsort(rank[at[hit]])[: need - len(first)]]])
+
+
+def _prefix_rows(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, Broadcast]:
+    """(g, s2): a row for each shingle of each set's prefix; copies that a task meets give none."""
+    order = np.argsort(frequent)
+    given = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    seen: set[int] = set()
+
+    def work(batch: pa.RecordBatch) -> dict:
+        known, rank = given.value
+        g, s2 = [np.zeros(0, _U)], [np.zeros(0, _U)]
+        for x in shingle_sets(batch["text"].to_pylist()):
+            high = xxhash.xxh3_128_intdigest(x.tobytes()) >> 64
+            if len(x) and high not in seen:
+                if len(seen) == 1 << 18:
+                    seen.clear()
+                seen.add(high)
+                g.append(prefix(x, known, rank))
+                s2.append(np.full(len(g[-1]), high, _U))
+        return {"g": np.concatenate(g).view(np.int64), "s2": np.concatenate(s2).view(np.int64)}
+
+    return map_chunks(docs.select("text"), work, "g long, s2 long", most=1 << 20), given
+
+
+def _shared(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """The rows of the shingles that several sets have, each once."""
+    g, s2 = t["g"].to_numpy(), t["s2"].to_numpy()
+    many = np.repeat(size > 1, size)
+    g, s2 = g[many], s2[many]
+    order = np.lexsort((s2, g))
+    g, s2 = g[order], s2[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (s2[1:] != s2[:-1])][: len(g)]
+    g, s2 = g[new], s2[new]
+    same = g[1:] == g[:-1]
+    many = (np.r_[same, False] | np.r_[False, same])[: len(g)]
+    return pa.RecordBatch.from_arrays([pa.array(g[many]), pa.array(s2[many])], names=["g", "s2"])
+
+
+def _candidates(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Pairs of different components within the sizes and LEAST."""
+    s, n, comp, sig = (*(t[c].to_numpy() for c in ("s", "n", "comp")), _bits(t))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, int(size.max(initial=1))):  # all groups at once: each member and the one `step` rows later
+        start, size = start[size > step], size[size > step]
+        left = ragged_arange(start, size - step)
+        right = left + step
+        ok = (comp[left] != comp[right]) & (n[left] * 4 >= n[right] * 3) & (n[right] * 4 >= n[left] * 3)
+        left, right = left[ok], right[ok]
+        ok = similarity(sig[left], sig[right]) >= LEAST
+        a.append(s[left[ok]])
+        b.append(s[right[ok]])
+    return _pairs(np.concatenate(a), np.concatenate(b))
+
+
+def beyond_bands(label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) between components, whether or not they share a band: all of them that exist."""
+    rows, given = _prefix_rows(docs, _frequent(docs, nodes.count()))
+    shared = stored(_per_group(rows, ["g"], _shared, "g long, s2 long"), "near-shared")
+    given.destroy()
+    own = nodes.select("s", "s2").join(label.withColumnRenamed("node", "s").hint("merge"), "s", "left").select("s", "s2", F.coalesce("label", "s").alias("comp"))
+    now = stored(shared.join(own.hint("merge"), "s2").select("g", F.lit(0).cast("long").alias("band"), F.lit(False).alias("rule"), "s", "comp"), "near-prefixes")
+    rows = now.join(_mains(now).hint("merge"), "g")
+    few = rows.where(F.col("m") <= FEW).select("g", "s", "comp").join(nodes.select("s", "n", "sig").hint("merge"), "s")
+    pairs = stored(_per_group(few, ["g"], _candidates, "a long, b long").distinct(), "near-pairs")
+    return confirm(pairs, nodes, docs).unionAll(_compared(_in_blocks(rows.where(F.col("m") > FEW)), nodes, docs))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> DataFrame:
+    """(id, t, n, c) for each row: t the hash of its text, c its component, null for an empty set."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
     feats, nodes = sets_of(stored(features(docs, id_bits), "near-features"))
     members = nodes.select("s", F.explode("bands").alias("band"))
@@ -437,11 +538,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spread = spread.join(nodes.select("s", "n", "sig").hint("merge"), "s").select("band", "block", "s", "n", "sig")
     pairs = _per_group(spread, ["band", "block"], _forests, "a long, b long").where("a < b").distinct()
     links = confirm(stored(pairs, "near-pairs"), nodes, docs)
-    label = components(links.unionAll(between_components(members, components(links), nodes, docs)))
+    links = links.unionAll(between_components(members, components(links), nodes, docs, wide=False))
+    label = components(links)
+    rest = beyond_bands(label, nodes, docs)
+    if not rest.isEmpty():
+        label = components(links.unionAll(rest))
+
+    rows = feats.select("id", "t", "n", "s").join(label.withColumnRenamed("node", "s").hint("merge"), "s", "left")
+    return rows.select("id", "t", "n", F.coalesce("label", "s").alias("c"))
 
-    rows = feats.select("id", "n", "s")
-    full = rows.where("n > 0").join(label.withColumnRenamed("node", "s").hint("merge"), "s", "left").select("id", "n", F.coalesce("label", "s").alias("c"))
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row."""
+    rows = _classes(docs, id_col, text_col, id_bits).select("id", "n", "c")
+    full = rows.where("n > 0")
     first = stored(full.groupBy("c").agg(F.min("id").alias("component_id")), "near-first")
     full = full.join(first.hint("merge"), "c").select("id", "n", "component_id")
     out = full.unionAll(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the rows of its smallest id (null last) and, of that id's texts, one; all columns unchanged. Rows
+    with empty sets stay."""
+    rows = _classes(docs, id_col, text_col)
+    first = rows.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x")).select("x.id", "x.t")
+    kept = first.unionAll(rows.where("n = 0").select("id", "t")).distinct()
+    own, text = unused(docs.columns, "_kept"), unused(docs.columns, "_text")
+    kept = stored(kept.select(F.col("id").alias(own), F.col("t").alias(text)), "near-kept")
+    same = named(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(named(text_col)) == F.col(text))
+    return docs.join(kept.hint("merge"), same, "left_semi")

@@ -152,3 +152,22 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()}
     assert got == {k: v for k, v in label.items() if k != v}
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize(("few", "sample", "frequent"), [(64, 1 << 14, 1 << 18), (3, 100, 5)])
+def test_pairs_without_a_common_band_are_linked(spark, monkeypatch, few, sample, frequent):
+    """Bands that no two sets share: all links are found all the same, whatever the order of shingles."""
+    features = near_dedup.features
+    apart = "transform(bands, x -> xxhash64(x, s, s2))"
+    monkeypatch.setattr(near_dedup, "features", lambda docs, id_bits: features(docs, id_bits).selectExpr("id", "t", "n", "s", "s2", f"{apart} bands", "sig"))
+    for name, value in (("FEW", few), ("SAMPLE", sample), ("FREQUENT", frequent), ("BLOCK", 30)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(few)
+    rows = chains(few, 150) + [(300 + i, t) for i, t in enumerate(["a b c d e f g", "A b c d e f g h", "b c d e f g", "a b", "A  B\n", "", None, "b a"])]
+    for i in range(60):  # just at the threshold, and just under it
+        t = [f"v{rng.randrange(10**6)}" for _ in range(88)]
+        rows += [(1000 + i, " ".join(t)), (2000 + i, " ".join(t[:76] + [f"u{rng.randrange(10**6)}" for _ in range(12 + i % 2)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(df.collect())
+    assert sum(kept for *_, kept in want.elements()) < 260
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == want

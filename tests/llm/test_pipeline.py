@@ -71,6 +71,17 @@ def test_near_duplicates_of_wide_bands(spark, monkeypatch):
     assert Counter(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == want
 
 
+def test_near_duplicates_without_ids_of_their_own(spark):
+    """One row of a group of near copies stays, even if their ids are null or also another text's."""
+    text = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcd"]
+    near = [f"{t} more" for t in text]
+    rows = [(None, text[0]), (None, near[0]), (1, text[1]), (2, near[1]), (2, text[2]), (None, near[2]), (3, text[3]), (3, near[3]), (3, near[3]), (None, None), (None, ""), (4, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in P.near_duplicates(spark, df, "").collect()]
+    groups = Counter(text.index(t.removesuffix(" more")) for _, t in got if t and t.strip())
+    assert groups == {0: 1, 1: 1, 2: 1, 3: 1} and {(1, text[1]), (2, text[2]), (None, None), (None, ""), (4, " ")} <= set(got) and len(got) == 7
+
+
 ODD_NAMES = ("my col", "a.b", "lang_pred", "score", "__text", "row", "_kept", "_copy", "copies", "leak_text", "h", "w", "`q`")
 
 
