@@ -18,8 +18,10 @@ Nodes that share a band are candidates:
    share rare shingles without being near copies).
 4. Pairs of different components that share no band, or a wide one, are found by all sets' prefixes, in one order of
    all shingles: those that a sample of texts has more than once come last, the more frequent the later, the others go
-   by hash. Any two sets of similarity 0.75 share a shingle of both prefixes, whatever the sample is. Groups of at most
-   `FEW` sets give pairs to confirm, larger ones are laid out in blocks as above.
+   by hash. Any two sets of similarity 0.75 share a shingle of both prefixes, whatever the sample is. They are compared
+   at the first one only: a pair that has one of the `EARLIER` shingles before in common meets elsewhere, and one with
+   too few shingles left behind its places isn't similar enough. No pairs are made: a group's members with any pair to
+   compare come with their texts, and its links leave, at most one fewer than its components.
 So every pair of the table is either confirmed, or refused by its sets or its estimate, or joined already by other
 links. In step 4 an estimate refuses less than 1e-23 of the pairs of similarity 0.75.
 
@@ -38,18 +40,19 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, named, ragged_arange, stored, trim, unused
+from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, named, ragged_arange, slices, stored, trim, unused
 from .components import components
 
 HASHES, BANDS, ROWS, B, WORDS = 256, 32, 4, 4, 5
 BLOCK, SHARED = 512, 16
 SETS, LEVELS = 16, 2
-SAMPLE, FREQUENT, FEW = 1 << 14, 1 << 18, 64
+SAMPLE, FREQUENT, FEW, EARLIER = 1 << 14, 1 << 18, 64, 4
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
@@ -224,35 +227,57 @@ def _forests(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch
 
 
 class _Open:
-    """The members of one group whose components differ: which pairs are still to be compared in this band."""
+    """Rows of whole groups, and which pairs of members of one group, whose components differ, are to be compared there."""
 
     def __init__(self, t: pa.Table):
-        self.s, self.n, self.comp, self.side = (t[c].to_numpy() for c in ("s", "n", "comp", "side"))
-        self.sig, self.bands, self.diagonal = _bits(t), np.stack(t["bands"].to_pylist()), t["diagonal"][0].as_py()
-        self.rule, self.at = t["rule"][0].as_py(), int(np.argmax(self.bands[0] == t["band"][0].as_py()))
-
-    def partners(self, i: int, comp: np.ndarray) -> np.ndarray:
-        """Later members of other components, within the sizes and the floor; under the rule, only those whose first
-        common band with i is this, as others meet there."""
-        n, rest = self.n, np.arange(i + 1, len(self.s))
-        ok = (comp[rest] != comp[i]) & (n[rest] * 4 >= n[i] * 3) & (n[i] * 4 >= n[rest] * 3)
-        if not self.diagonal:
-            ok &= self.side[rest] != self.side[i]
-        rest = rest[ok]
-        rest = rest[similarity(self.sig[rest], self.sig[i]) >= (FLOOR if self.rule else LEAST)]
-        return rest[(self.bands[rest] == self.bands[i]).argmax(1) == self.at] if self.rule and len(rest) else rest
+        self.s, self.n, self.side, self.place, self.rule, self.diagonal = (t[c].to_numpy() for c in ("s", "n", "side", "place", "rule", "diagonal"))
+        self.comp, self.sig, self.before = t["comp"].to_numpy().copy(), _bits(t), _bits(t, "before")
+        self.least = np.where(self.rule, FLOOR, LEAST)
+        self.bands = np.zeros((t.num_rows, BANDS), np.int64)
+        self.bands[self.rule] = pc.list_flatten(t["bands"]).to_numpy().reshape(-1, BANDS)
+        self.at = (self.bands == t["band"].to_numpy()[:, None]).argmax(1)
+
+    def pairs(self, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (left, right) to compare, some at a time; groups of at most FEW together, larger ones member by member."""
+        few = size <= FEW
+        a, m = start[few], size[few]
+        for step in range(1, int(m.max(initial=1))):
+            a, m = a[m > step], m[m > step]
+            left = ragged_arange(a, m - step)
+            yield self._meet(left, left + step)
+        for first, end in zip(start[~few].tolist(), (start + size)[~few].tolist(), strict=True):
+            for i in range(first, end - 1):
+                yield self._meet(np.full(end - 1 - i, i), np.arange(i + 1, end))
+
+    def _meet(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of different components, within the sizes and the floor; under the rule only those whose first common
+        band is this, by prefixes not those that are known to share an earlier shingle, as others meet there."""
+
+        def only(ok: np.ndarray) -> None:
+            nonlocal left, right
+            left, right = left[ok], right[ok]
+
+        n, place, before = self.n, self.place, self.before
+        only((self.comp[left] != self.comp[right]) & (self.diagonal[left] | (self.side[left] != self.side[right])))
+        only(7 * np.minimum(n[left] - place[left], n[right] - place[right]) >= 3 * (n[left] + n[right]))
+        known = np.zeros(len(left), bool)
+        for k in range(before.shape[1]):
+            one = before[left, k]
+            known |= (one != 0) & (before[right] == one[:, None]).any(1)
+        only(~known)
+        only(similarity(self.sig[left], self.sig[right]) >= self.least[left])
+        rule = self.rule[left]
+        if rule.any():
+            only(~rule | ((self.bands[left] == self.bands[right]).argmax(1) == self.at[left]))
+        return left, right
 
 
 def _involved(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     """The members that have any pair to compare."""
     need = np.zeros(t.num_rows, bool)
-    for i, m in zip(start.tolist(), size.tolist(), strict=True):
-        group = _Open(t.slice(i, m))
-        for k in range(m - 1):
-            other = group.partners(k, group.comp)
-            if len(other):
-                need[i + k] = True
-                need[i + other] = True
+    for left, right in _Open(t).pairs(start, size):
+        need[left] = True
+        need[right] = True
     t = t.filter(pa.array(need)).combine_chunks()
     return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns], names=t.column_names)
 
@@ -260,22 +285,24 @@ def _involved(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatc
 def _compare(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     """Links between components, confirmed on the full sets: at most one fewer than a group's components."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, m in zip(start.tolist(), size.tolist(), strict=True):
-        part = t.slice(i, m)
-        group = _Open(part)
-        comp = group.comp.copy()
-        sets = shingle_sets(part["text"].to_pylist())
+    long = np.add.reduceat(pc.binary_length(t["text"]).to_numpy().astype(np.int64), start)
+    for x, y in slices(long, 1 << 20):
+        first, end = int(start[x]), int(start[y - 1] + size[y - 1])
+        part = t.slice(first, end - first)
+        rows = _Open(part)
+        comp, n = rows.comp, rows.n
+        _, one, at = np.unique(rows.s, return_index=True, return_inverse=True)
+        sets = shingle_sets(part["text"].take(pa.array(one)).to_pylist())
         count = np.stack([np.minimum(np.bincount((x >> _U(55)).astype(np.int64), minlength=512), 255) for x in sets]).astype(np.uint8)
-        for k in range(m - 1):
-            at = group.partners(k, comp)
-            if len(at) > 8:  # no more can be common than by parts of the hashes' range
-                both = np.minimum(count[at], count[k]).sum(1, dtype=np.int64)
-                at = at[(100 * both >= 75 * (group.n[at] + group.n[k] - both)) | (count[at] == 255).any(1)]
-            for j in at.tolist():
-                if comp[j] != comp[k] and alike(sets[k], sets[j]):
-                    comp[comp == comp[j]] = comp[k]
-                    a.append(group.s[[k]])
-                    b.append(group.s[[j]])
+        for left, right in rows.pairs(start[x:y] - first, size[x:y]):
+            i, j = at[left], at[right]
+            both = np.minimum(count[i], count[j]).sum(1, dtype=np.int64)  # no more can be common than by parts of the hashes' range
+            ok = (100 * both >= 75 * (n[left] + n[right] - both)) | (count[j] == 255).any(1)
+            for u, v in zip(left[ok].tolist(), right[ok].tolist(), strict=True):
+                if comp[u] != comp[v] and alike(sets[at[u]], sets[at[v]]):
+                    comp[comp == comp[v]] = comp[u]
+                    a.append(rows.s[[u]])
+                    b.append(rows.s[[v]])
     return _pairs(np.concatenate(a), np.concatenate(b))
 
 
@@ -414,7 +441,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     of_top = F.transform(F.sequence(F.lit(0), h - 1), lambda x: spot(F.pmod(own, d) * h + x, no))
     of_rest = F.concat(F.transform(F.sequence(F.lit(0), d - 1), lambda x: spot(x * h + side, no)), F.transform(F.sequence(F.lit(0), h - 1), lambda x: spot(d * h + F.least(x, side) * h + F.greatest(x, side), x == side)))
     rows = rows.withColumn("_at", F.explode(F.when(~big, F.array(spot(F.lit(0), F.lit(True)))).when(top, of_top).otherwise(of_rest)))
-    return rows.select("g", "_at.block", "_at.diagonal", "side", "band", "rule", "s", "comp")
+    return rows.select("g", "_at.block", "_at.diagonal", "side", "band", "rule", "s", "comp", *(c for c in ("place", "before") if c in rows.columns))
 
 
 def between_components(members: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, wide: bool = True) -> DataFrame:
@@ -424,9 +451,12 @@ def between_components(members: DataFrame, label: DataFrame, nodes: DataFrame, d
 
 def _compared(met: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) among those who meet."""
+    if "place" not in met.columns:
+        met = met.withColumns({"place": F.lit(0), "before": F.lit(bytes(8 * EARLIER))})
     sigs = nodes.select("s", "n", "sig", "bands")
-    rows = met.join(sigs.hint("merge"), "s").select("g", "block", "diagonal", "side", "band", "rule", "s", "n", "comp", "sig", "bands")
-    kept = "g long, block int, diagonal boolean, side int, band long, rule boolean, s long, n long, comp long, sig binary, bands array<long>"
+    rows = met.join(sigs.hint("merge"), "s").withColumn("bands", F.when(F.col("rule"), F.col("bands")))
+    rows = rows.select("g", "block", "diagonal", "side", "band", "rule", "s", "n", "comp", "place", "before", "sig", "bands")
+    kept = "g long, block int, diagonal boolean, side int, band long, rule boolean, s long, n long, comp long, place int, before binary, sig binary, bands array<long>"
     need = stored(_per_group(rows, ["g", "block"], _involved, kept), "near-open")
     texts = texts_of(need.select("s").distinct(), nodes, docs)
     found = _per_group(need.join(texts.hint("merge"), "s").select(*need.columns, "text"), ["g", "block"], _compare, "a long, b long")
@@ -459,14 +489,14 @@ def prefix(shingles: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndar
 
 
 def _prefix_rows(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, Broadcast]:
-    """(g, s2): a row for each shingle of each set's prefix; copies that a task meets give none."""
+    """(g, s2, place): a row for each shingle of each set's prefix; copies that a task meets give none."""
     order = np.argsort(frequent)
     given = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
     seen: set[int] = set()
 
     def work(batch: pa.RecordBatch) -> dict:
         known, rank = given.value
-        g, s2 = [np.zeros(0, _U)], [np.zeros(0, _U)]
+        g, s2, place = [np.zeros(0, _U)], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
         for x in shingle_sets(batch["text"].to_pylist()):
             high = xxhash.xxh3_128_intdigest(x.tobytes()) >> 64
             if len(x) and high not in seen:
@@ -475,52 +505,50 @@ def _prefix_rows(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, Broa
                 seen.add(high)
                 g.append(prefix(x, known, rank))
                 s2.append(np.full(len(g[-1]), high, _U))
-        return {"g": np.concatenate(g).view(np.int64), "s2": np.concatenate(s2).view(np.int64)}
+                place.append(np.arange(len(g[-1])))
+        return {"g": np.concatenate(g).view(np.int64), "s2": np.concatenate(s2).view(np.int64), "place": np.concatenate(place).astype(np.int32)}
 
-    return map_chunks(docs.select("text"), work, "g long, s2 long", most=1 << 20), given
+    return map_chunks(docs.select("text"), work, "g long, s2 long, place int", most=1 << 20), given
 
 
 def _shared(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     """The rows of the shingles that several sets have, each once."""
-    g, s2 = t["g"].to_numpy(), t["s2"].to_numpy()
     many = np.repeat(size > 1, size)
-    g, s2 = g[many], s2[many]
+    g, s2, place = (t[c].to_numpy()[many] for c in ("g", "s2", "place"))
     order = np.lexsort((s2, g))
-    g, s2 = g[order], s2[order]
+    g, s2, place = g[order], s2[order], place[order]
     new = np.r_[True, (g[1:] != g[:-1]) | (s2[1:] != s2[:-1])][: len(g)]
-    g, s2 = g[new], s2[new]
+    g, s2, place = g[new], s2[new], place[new]
     same = g[1:] == g[:-1]
     many = (np.r_[same, False] | np.r_[False, same])[: len(g)]
-    return pa.RecordBatch.from_arrays([pa.array(g[many]), pa.array(s2[many])], names=["g", "s2"])
+    return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (g, s2, place)], names=["g", "s2", "place"])
 
 
-def _candidates(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """Pairs of different components within the sizes and LEAST."""
-    s, n, comp, sig = (*(t[c].to_numpy() for c in ("s", "n", "comp")), _bits(t))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, int(size.max(initial=1))):  # all groups at once: each member and the one `step` rows later
-        start, size = start[size > step], size[size > step]
-        left = ragged_arange(start, size - step)
-        right = left + step
-        ok = (comp[left] != comp[right]) & (n[left] * 4 >= n[right] * 3) & (n[right] * 4 >= n[left] * 3)
-        left, right = left[ok], right[ok]
-        ok = similarity(sig[left], sig[right]) >= LEAST
-        a.append(s[left[ok]])
-        b.append(s[right[ok]])
-    return _pairs(np.concatenate(a), np.concatenate(b))
+def _preceded(t: pa.Table, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Each set's rows with the EARLIER shared shingles before each, 0 where there are fewer. Of different sets with one s2
+    the places aren't known: their rows are as if they were the first."""
+    s2, s, place, g, comp = (t[c].to_numpy() for c in ("s2", "s", "place", "g", "comp"))
+    order = np.lexsort((place, s2))
+    s, place, g, comp = s[order], place[order].copy(), g[order], comp[order]
+    before, at = np.zeros((len(s), EARLIER), np.int64), np.arange(len(s)) - np.repeat(start, size)
+    for k in range(EARLIER):
+        far = np.flatnonzero(at > k)
+        before[far, k] = g[far - k - 1]
+    unsure = np.repeat(np.minimum.reduceat(s, start) != np.maximum.reduceat(s, start), size)
+    before[unsure], place[unsure] = 0, 0
+    raw = pa.array([x.tobytes() for x in before], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(s), pa.array(comp), pa.array(place), raw], names=["g", "s", "comp", "place", "before"])
 
 
 def beyond_bands(label: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) between components, whether or not they share a band: all of them that exist."""
     rows, given = _prefix_rows(docs, _frequent(docs, nodes.count()))
-    shared = stored(_per_group(rows, ["g"], _shared, "g long, s2 long"), "near-shared")
+    shared = stored(_per_group(rows, ["g"], _shared, "g long, s2 long, place int"), "near-shared")
     given.destroy()
     own = nodes.select("s", "s2").join(label.withColumnRenamed("node", "s").hint("merge"), "s", "left").select("s", "s2", F.coalesce("label", "s").alias("comp"))
-    now = stored(shared.join(own.hint("merge"), "s2").select("g", F.lit(0).cast("long").alias("band"), F.lit(False).alias("rule"), "s", "comp"), "near-prefixes")
-    rows = now.join(_mains(now).hint("merge"), "g")
-    few = rows.where(F.col("m") <= FEW).select("g", "s", "comp").join(nodes.select("s", "n", "sig").hint("merge"), "s")
-    pairs = stored(_per_group(few, ["g"], _candidates, "a long, b long").distinct(), "near-pairs")
-    return confirm(pairs, nodes, docs).unionAll(_compared(_in_blocks(rows.where(F.col("m") > FEW)), nodes, docs))
+    placed = _per_group(shared.join(own.hint("merge"), "s2"), ["s2"], _preceded, "g long, s long, comp long, place int, before binary")
+    now = stored(placed.select("g", F.lit(0).cast("long").alias("band"), F.lit(False).alias("rule"), "s", "comp", "place", "before"), "near-prefixes")
+    return _compared(_in_blocks(now.join(_mains(now).hint("merge"), "g")), nodes, docs)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> DataFrame:

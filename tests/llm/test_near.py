@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -171,3 +172,42 @@ def test_pairs_without_a_common_band_are_linked(spark, monkeypatch, few, sample,
     want = brute(df.collect())
     assert sum(kept for *_, kept in want.elements()) < 260
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(df).collect()) == want
+
+
+def test_rows_of_prefixes_grow_with_their_members(spark, monkeypatch):
+    """Changed copies of one text, none within the threshold: four times the members give no sixteen times the rows."""
+    rng = random.Random(10)
+    made = {}
+
+    def counted(df, label, **options):
+        out = stored(df, label, **options)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    stored = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    rows, counts = [], {}
+    for places in rng.sample(list(itertools.combinations(range(4, 116, 8), 3)), 48):
+        for family in range(4):
+            t = [f"f{family}w{i}" for i in range(120)]
+            for at in places:
+                t[at] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(t)))
+    for n in (48, 192):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(4).selectExpr("doc_id id", "xxhash64(text) t", "cast(text as binary) text")
+        _, nodes = near_dedup.sets_of(stored(near_dedup.features(docs), "f"))
+        made.clear()
+        assert near_dedup.beyond_bands(spark.createDataFrame([], "node long, label long"), nodes, docs).isEmpty()
+        counts[n] = {k: sum(v) for k, v in made.items()}
+    assert counts[192]["near-shared"] > 800
+    assert all(v <= 8 * max(counts[48][k], 64) for k, v in counts[192].items())
+
+
+def test_places_of_sets_with_one_name_are_not_used():
+    """What precedes a shared shingle is known only where the 64 bits name one set."""
+    import pyarrow as pa
+
+    t = pa.table({"s2": [1, 1, 1, 2, 2, 2], "s": [7, 7, 7, 8, 9, 8], "place": [5, 0, 2, 1, 0, 3], "g": [50, 51, 52, 60, 61, 62], "comp": [7, 7, 7, 8, 9, 8]})
+    got = near_dedup._preceded(t, np.array([0, 3]), np.array([3, 3])).to_pylist()
+    assert [(r["g"], r["place"], np.frombuffer(r["before"], np.int64).tolist()) for r in got[:3]] == [(51, 0, [0, 0, 0, 0]), (52, 2, [51, 0, 0, 0]), (50, 5, [52, 51, 0, 0])]
+    assert {r["g"] for r in got[3:]} == {60, 61, 62} and all(r["place"] == 0 and not any(r["before"]) for r in got[3:])
