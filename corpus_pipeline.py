@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names each group of near copies stays; repeated rows of one id and text are one document."""
-    return near_dedup.drop_near(docs).dropDuplicates(["doc_id", "text"])
+    return near_dedup.drop_near(docs, once=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

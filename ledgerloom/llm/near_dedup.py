@@ -43,7 +43,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, hold, importable, join_counted, map_chunks, mix64, named, ragged_arange, slices, stored, trim, unused
@@ -586,13 +586,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
     """Of each component the rows of its smallest id (null last) and, of that id's texts, one; all columns unchanged. Rows
-    with empty sets stay."""
+    with empty sets stay. once: of repeated rows of one id and text, one stays; they are dealt as the join deals them."""
     rows = _classes(docs, id_col, text_col)
     first = rows.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "t")).alias("x")).select("x.id", "x.t")
     kept = first.unionAll(rows.where("n = 0").select("id", "t")).distinct()
-    own, text = unused(docs.columns, "_kept"), unused(docs.columns, "_text")
-    kept = stored(kept.select(F.col("id").alias(own), F.col("t").alias(text)), "near-kept")
-    same = named(id_col).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(named(text_col)) == F.col(text))
-    return docs.join(kept.hint("merge"), same, "left_semi")
+    keys = [unused(docs.columns, x) for x in ("_null", "_kept", "_text")]
+
+    def key(row: Column, t: Column) -> list[Column]:  # without nulls, so that the join's partitions are by these columns
+        return [x.alias(k) for x, k in zip((row.isNull(), F.coalesce(row, F.lit(0)), t), keys, strict=True)]
+
+    kept = stored(kept.select(*key(F.col("id").cast("long"), F.col("t"))), "near-kept")
+    given = docs.select(*map(named, docs.columns), *key(named(id_col).cast("long"), F.xxhash64(named(text_col))))
+    out = given.join(kept.hint("merge"), keys, "left_semi")
+    if once:
+        out = out.dropDuplicates([*keys, id_col, text_col])
+    return out.select(*map(named, docs.columns))

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ from test_near import brute as near_brute
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import near_dedup
+from ledgerloom.llm.common import stored
 
 
 def test_stages(spark, documents, sf):
@@ -95,3 +97,27 @@ def test_odd_rows(spark, odd, none, sf, tmp_path):
                 assert docs.columns == df.columns
         got = docs.collect()
         assert len(got) > 3 if df is named else got == []
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """What a write has shuffled is deleted when it ends, not when the driver's memory is collected."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting), shuffle_files(spark)
+    counts = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("g")).count(), "t")
+    for _ in range(50):  # files are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and counts.count() == 7 and spark.conf.get(setting) == was
+
+
+def test_repeated_rows_stay_once_without_another_shuffle(spark):
+    docs = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "x y z q w e"), (None, "x y z q w e"), (0, "k l m n b v"), (2, None), (2, None), (3, "A B c d e f"), (0, None)]
+    out = P.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert str(out._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 2  # of documents, and of what is kept
+    assert sorted(map(tuple, out.collect()), key=repr) == [(0, "k l m n b v"), (0, None), (1, "a b c d e f"), (2, None), (None, "x y z q w e")]
