@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, hold, importable, slices, stored
+from .common import byte_symbols, hold, importable, ragged_arange, slices, stored
 
 MAGIC, VERSION, LANES, BLOCK, SCALE = b"RANSIDS1", 1, 64, 1 << 15, 20
 _U = np.uint64
@@ -66,6 +66,7 @@ class _Words:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -77,6 +78,12 @@ class _Words:
         self.common = re.compile("[\t\n\r!-~À-ÖØ-öø-ɏ]*").fullmatch
         self.known: dict[str, bytes] = {}
         self.code = "H" if kind_of(vocabulary(self.tok)) == "<u2" else "I"
+        vocab, model = self.tok.get_vocab(with_added_tokens=False), spec["model"]
+        self.together = self.plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "dropout")) and vocab.keys() >= set(byte_symbols())
+        self.bare = Tokenizer(self.tok.model)  # the model alone, over pre-tokens between spaces
+        self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+        self.length = np.zeros(vocabulary(self.tok), np.int64)
+        self.length[list(vocab.values())] = list(map(len, vocab))
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -84,6 +91,25 @@ class _Words:
     def word(self, pre_token: str) -> list[int]:
         return [t.id for t in self.tokenize(pre_token.encode().decode("latin-1").translate(self.chars))]
 
+    def many(self, mark: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pre-tokens of letters, each after the symbols `mark`, and how many are of each. A token has as many
+        symbols as bytes, so that the tokens' lengths tell which word they are of."""
+        ids, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 1 << 12):
+            text = " ".join(words[i : i + (1 << 12)])
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.chars | {32: " "})
+            symbols = [mark + w for w in text.split(" ")]
+            found = self.bare.encode_batch_fast([" ".join(symbols[k : k + 128]) for k in range(0, len(symbols), 128)], add_special_tokens=False)
+            own = np.concatenate([np.array(x.ids, np.int64) for x in found])
+            have, want = np.cumsum(self.length[own]), np.cumsum(np.fromiter(map(len, symbols), np.int64, len(symbols)))
+            last = np.searchsorted(have, want)
+            if have[-1] != want[-1] or (have[last] != want).any():
+                raise ValueError("tokens that don't spell their words")
+            ids.append(own)
+            size.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids), np.concatenate(size)
+
     def __call__(self, before: str, piece: str) -> bytes:
         if self.plain and piece.isalpha():
             return array(self.code, self.word(before + piece)).tobytes()
@@ -110,6 +136,7 @@ class _Pieces(dict):
         self.words, self.special, self.before, self.most, self.missed = words, special, before, most, 0
         self.mark = before.translate(words.chars)
         self.quick = words.plain and not any(x.isalpha() for x in special)  # then a word of letters holds none
+        self.together = self.quick and words.together and not any(not (x := y.rstrip(_MARKS)) or x.isalpha() for y in special)  # nor one with marks
 
     def __missing__(self, piece: str) -> bytes:
         if self.quick and piece.isascii() and piece.isalpha():  # one pre-token, and its bytes are their own symbols
@@ -138,7 +165,8 @@ def vocabulary(tok) -> int:
 
 
 class TextEncoder:
-    """Ids of texts as little-endian strings of 2 or 4 bytes an id; pieces between single spaces are remembered.
+    """Ids of texts as little-endian strings of 2 or 4 bytes an id, from pieces between single spaces. Words go to the model
+    together, each once in a call; other pieces are remembered.
 
     Byte-level pre-tokens never reach over the space before a word, so a text whose spaces are all followed by
     something else than white space is the sequence of its pieces. Other texts, and texts that hold a special string
@@ -156,15 +184,80 @@ class TextEncoder:
         self.size, self.end = vocabulary(self.words.tok), array(self.words.code, [end_id]).tobytes()
         self.first, self.later = _Pieces(self.words, special, "", remembered // 8), _Pieces(self.words, special, " ", remembered)
 
-    def text(self, t: str) -> bytes:
-        first, *rest = t.split(" ")
-        try:
-            return self.first[first] + b"".join(map(self.later.__getitem__, rest)) + self.end
-        except _Whole:
-            return self.words.whole(t) + self.end
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        return list(map(self.text, texts))
+    def texts(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Each different piece is encoded once: what is one word of letters, with or without marks behind, by the model
+        together with all others. Its ids are then copied to all its places, as up to two units."""
+        if not len(texts):
+            return []
+        given = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        cut = pc.split_pattern(given, " ")
+        ends = cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        which, first = coded.indices.to_numpy().astype(np.int64), np.r_[0, ends[:-1]]
+        leads, lead = np.unique(which[first], return_inverse=True)
+        later = np.ones(len(which), bool)
+        later[first] = False
+        asked = np.zeros(len(coded.dictionary), bool)  # a piece that only begins texts isn't asked for elsewhere
+        asked[which[later]] = True
+        pieces = coded.dictionary.to_pylist()
+
+        ids, size, one = self._words(coded.dictionary, asked)
+        words, more = len(size), [b"", self.end]  # units beyond the words
+        two = np.full(len(pieces) + len(leads) + 1, words)  # of the empty unit
+        one = np.r_[one, np.full(len(leads) + 1, words + 1)]
+        whole = np.zeros(len(one), bool)
+        tails: dict[str, int] = {}
+
+        def unit(place: int, piece: str, known: _Pieces) -> None:
+            try:
+                more.append(known[piece])
+                one[place] = words + len(more) - 1
+            except _Whole:
+                whole[place] = True
+
+        for k in np.flatnonzero(asked & (one[: len(pieces)] < 0)).tolist():
+            unit(k, pieces[k], self.later)
+        for j, k in enumerate(leads.tolist()):
+            unit(len(pieces) + j, pieces[k], self.first)
+        if words:
+            marked = np.flatnonzero((one[: len(pieces)] >= 0) & (one[: len(pieces)] < words) & asked)
+            ending = [pieces[k] for k in marked.tolist()]
+            marked = marked[~np.fromiter(map(str.isalpha, ending), bool, len(ending))]
+            for k in marked.tolist():
+                tail = pieces[k][len(pieces[k].rstrip(_MARKS)) :]
+                if (at := tails.get(tail)) is None:
+                    at = tails[tail] = words + len(more)
+                    more.append(self.words("", tail))
+                two[k] = at
+        width = len(self.end)
+        ids = np.concatenate([ids.astype(kind_of(self.size)), np.frombuffer(b"".join(more), kind_of(self.size))])
+        size = np.r_[size, np.fromiter(map(len, more), np.int64, len(more)) // width]
+
+        which[first] = len(pieces) + lead
+        which = np.insert(which, ends, len(one) - 1)  # the end id after each text's last piece
+        ends = ends + np.arange(1, len(ends) + 1)
+        units = np.stack([one[which], two[which]], 1).ravel()
+        sizes = size[units]
+        out = memoryview(ids[ragged_arange((np.cumsum(size) - size)[units], sizes)]).cast("B")
+        to = np.r_[0, np.cumsum(sizes)[2 * ends - 1]] * width
+        got = [bytes(out[a:b]) for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(np.logical_or.reduceat(whole[which], np.r_[0, ends[:-1]])).tolist():
+            got[i] = self.words.whole(given[i].as_py()) + self.end
+        return got
+
+    def _words(self, pieces: pa.Array, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of the different words that the asked pieces after a space are, less marks behind; and which one
+        each piece is, -1 for others."""
+        none = np.zeros(0, np.int64)
+        if not self.later.together:
+            return none, none, np.full(len(pieces), -1)
+        cores = pc.utf8_rtrim(pieces, characters=_MARKS).dictionary_encode()
+        text, of = cores.dictionary.to_pylist(), cores.indices.to_numpy()
+        use = np.zeros(len(text), bool)
+        use[of[asked]] = True
+        use &= np.fromiter(map(str.isalpha, text), bool, len(text))
+        ids, size = self.words.many(self.later.mark, [text[k] for k in np.flatnonzero(use).tolist()])
+        return ids, size, np.where(use, np.cumsum(use) - 1, -1)[of]
 
 
 @lru_cache(maxsize=2)
@@ -182,9 +275,9 @@ def token_ids(docs: DataFrame, path: str, *, end_id: int = 0, id_col: str = "doc
         kind = kind_of(len(total))
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes, 4 << 20):
+            for a, b in slices(sizes, 8 << 20):
                 part = batch.slice(a, b - a)
-                ids = _encoder(path, end_id).texts([t or "" for t in part["text"].to_pylist()])
+                ids = _encoder(path, end_id).texts(pc.fill_null(part["text"], ""))
                 total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["id", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["id", "ids", "counts"])

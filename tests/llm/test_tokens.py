@@ -54,6 +54,20 @@ def test_encoder_equals_library(documents):
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids + [0] for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_go_to_the_model_together():
+    """Words that occur once cost no call each, whether or not marks follow."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeéß日Ω") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(w + rng.choice(["", "", ",", "...", "'", "|>"]) for w in words[i : i + 100]) for i in range(0, 3000, 100)]
+    texts += ["one<|endoftext|>", "two <|endoftext|>", "", " ", "ab'll it's \n x"]
+    own, calls = token_store.TextEncoder(BYTE, 0), []
+    one = own.words.tokenize
+    own.words.tokenize = lambda x: calls.append(x) or one(x)
+    got = own.texts(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids + [0] for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    assert len(calls) < 100
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1 << 15, (1 << 15) + 5, 300_000])
 def test_file_round_trip(n):
     rng = np.random.default_rng(n)
