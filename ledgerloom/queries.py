@@ -665,7 +665,7 @@ def stream_ingest_blocks(p, ledger):
 @query
 def raw_round_trip(p, ledger):
     """Encoded blocks are decoded again: their sizes, counts, and whether the header's hash is that of the bytes."""
-    e = wire.encoded_blocks(ledger).select("height", F.unhex("encoded_hex").alias("raw"))
+    e = wire.raw_encoded_blocks(ledger)
     r = raw_blocks(e, "raw", "height").select("record.*", "error")
     outs = F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + F.aggregate(t["outputs"], F.lit(0).cast("long"), lambda b, o: b + o["valueSatoshis"]))
     ins = F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + F.size(t["inputs"]))
