@@ -6,6 +6,7 @@ from ledgerloom.queries import QUERIES
 
 #: Most KB that a query may move; behind it, what it moved before it was mended.
 MOST = {
+    "gql_computed_fields": 2200,  # before: 3584
     "encode_block": 1600,  # before: 2962
     "raw_round_trip": 1600,  # before: 2962
     "encode_transaction": 1000,  # before: 2150
