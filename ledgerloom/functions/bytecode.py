@@ -74,9 +74,10 @@ def pattern_hex(script: Column, lengths: bool = False) -> Column:
 
 def of_scripts(df: DataFrame, script: str, **columns: Callable[[Column], Column]) -> DataFrame:
     """df with columns that depend on a script alone, made once for each different script: scripts repeat, and a fold over
-    their bytes costs more than meeting them again."""
-    kinds = df.select(F.col(script).alias("_s")).where("_s is not null").distinct()
-    kinds = kinds.select("_s", *[f(F.col("_s")).alias(name) for name, f in columns.items()])
+    their bytes costs more than meeting them again. They hang on the scripts' counts, so that a later filter on them isn't
+    moved to where all rows still are."""
+    kinds = df.select(F.col(script).alias("_s")).where("_s is not null").groupBy("_s").agg(F.count(F.lit(1)).alias("_times"))
+    kinds = kinds.select("_s", *[F.when(F.col("_times") > 0, f(F.col("_s"))).alias(name) for name, f in columns.items()])
     return df.join(kinds, F.col(script) == F.col("_s"), "left").drop("_s")
 
 

@@ -178,8 +178,13 @@ class Compiler:
         self.tables, self.relations, self.capped, self.computed = tables, relations, capped, computed or {}
 
     def _table(self, name: str, used: set[str]) -> DataFrame:
-        df, fields = self.tables(name), self.computed.get(name, {})
-        for add in dict.fromkeys(f for n, f in fields.items() if n in used):
+        return self._add(self.tables(name), name, used)
+
+    def _add(self, df: DataFrame, name: str, used: set[str], there: set[str] = frozenset()) -> DataFrame:
+        """df with the computed fields that are used, but for those that are there."""
+        fields = self.computed.get(name, {})
+        done = [f for n, f in fields.items() if n in there]
+        for add in dict.fromkeys(f for n, f in fields.items() if n in used and f not in done):
             df = add(df)
         return df
 
@@ -214,9 +219,12 @@ class Compiler:
         return min(sizes, default=None)
 
     def _rows(self, q: Query) -> DataFrame:
-        used = set(q.columns or ()) | set(q.distinct) | _named(q.filter or {}) | {k for by in q.order for k in by}
-        df = self._table(q.table, used)
-        return df if q.filter is None else self._filter(df, q.table, q.filter)
+        """Fields that the filter doesn't name are made for the rows that it leaves."""
+        used = set(q.columns or ()) | set(q.distinct) | {k for by in q.order for k in by}
+        if q.filter is None:
+            return self._table(q.table, used)
+        first = _named(q.filter)
+        return self._add(self._filter(self._table(q.table, first), q.table, q.filter), q.table, used, first)
 
     def _fits(self, rel: Relation, tree: Mapping) -> DataFrame:
         return self._filter(self._table(rel.child, _named(tree)), rel.child, tree)
