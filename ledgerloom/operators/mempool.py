@@ -32,8 +32,8 @@ def _outpoints(ledger: Ledger, tx: str, of: DataFrame | None = None) -> DataFram
     return i.select(F.col("transaction_internal_id").alias(tx), "outpoint_transaction_hash", "outpoint_index")
 
 
-def conflicts(ledger: Ledger, a: str, b: str, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
-    """Distinct pairs of different transactions, one of of_a and one of of_b, that spend a common output."""
+def conflicts(ledger: Ledger, a: str, b: str, of_a: DataFrame | None, of_b: DataFrame) -> DataFrame:
+    """Distinct pairs of different transactions, one of of_a (None: any) and one of of_b, that spend a common output."""
     return _outpoints(ledger, a, of_a).join(_outpoints(ledger, b, of_b), ["outpoint_transaction_hash", "outpoint_index"]).where(F.col(a) != F.col(b)).select(a, b).distinct()
 
 
@@ -54,12 +54,13 @@ def replace(ledger: Ledger, new: DataFrame) -> Archive:
 def accept(ledger: Ledger, accepted: DataFrame) -> Archive:
     """accepted: node_block rows just added. Pending rows of the same source that a block holds are confirmed; those
     that conflict with one of its transactions go at the time of acceptance (null where that isn't known)."""
-    a = accepted.join(ledger["block_transaction"], "block_internal_id").select("node_internal_id", F.col("transaction_internal_id").alias("mined"), "accepted_at")
-    same = a.select("node_internal_id", F.col("mined").alias("transaction_internal_id"), F.lit(None).cast("timestamp_ntz").alias("replaced_at"))
     pending = ledger["node_transaction"]
-    rivals = conflicts(ledger, "mined", "transaction_internal_id", a.select(F.col("mined").alias("transaction_internal_id")), pending)
-    other = a.join(rivals, "mined").select(*KEY, F.col("accepted_at").alias("replaced_at"))
-    return _archive(pending, same.unionAll(other))
+    # from the pending rows to the blocks: all that blocks hold, once for each source, would be many times more
+    same = pending.select("transaction_internal_id", F.col("transaction_internal_id").alias("mined")).distinct()
+    rivals = conflicts(ledger, "mined", "transaction_internal_id", None, pending).select("transaction_internal_id", "mined")
+    held = same.unionAll(rivals).join(ledger["block_transaction"].select("block_internal_id", F.col("transaction_internal_id").alias("mined")), "mined")
+    rows = pending.select(*KEY).join(held, "transaction_internal_id").join(accepted, ["node_internal_id", "block_internal_id"])
+    return _archive(pending, rows.select(*KEY, F.when(F.col("mined") != F.col("transaction_internal_id"), F.col("accepted_at")).alias("replaced_at")))
 
 
 def _children(ledger: Ledger, source: str, child: str) -> DataFrame:
