@@ -170,6 +170,17 @@ def _sorted(order: list[Order]) -> list[Column]:
     return [getattr(c, how)() for c, how in order]
 
 
+def _called(how: Mapping) -> str:
+    """A name for an aggregate: {"count": "desc"} or {"sum": {"value": "desc"}}."""
+    (fn, arg), = how.items()
+    return fn if isinstance(arg, str) else f"{fn}_{next(iter(arg))}"
+
+
+def _direction(how: Mapping) -> str:
+    (arg,) = how.values()
+    return arg if isinstance(arg, str) else next(iter(arg.values()))
+
+
 class Compiler:
     """Compiles queries over named DataFrames. computed: by table, fields that are added only where a query names them, as
     functions of the table's DataFrame (one function may add several)."""
@@ -214,6 +225,39 @@ class Compiler:
             columns.append(name)
         return (df.orderBy(*_sorted(order)) if order else df).select(*columns)
 
+    def compile_firsts(self, q: Query, orders: Mapping[str, tuple[Mapping, ...]], name: str) -> DataFrame:
+        """The rows that come first by q.distinct in each of several orders, with the order's name under `name`: as many compiled
+        queries in a union, but aggregates of one relation are made together and rows are dealt to their groups once."""
+        df = self._rows(replace(q, order=tuple(by for order in orders.values() for by in order)))
+        made: dict[str, Column] = {}
+        for rel in dict.fromkeys(key for order in orders.values() for by in order for key in by if key.endswith("_aggregate")):
+            hows = [by[rel] for order in orders.values() for by in order if rel in by]
+            df = self._aggregates(df, self.relations[q.table][rel.removesuffix("_aggregate")], hows, made, rel)
+        ranks = {}
+        for k, (label, order) in enumerate(orders.items()):
+            by: list[Order] = []
+            for key, how in (item for one in order for item in one.items()):
+                if not isinstance(how, str) and not key.endswith("_aggregate"):
+                    raise ValueError(f"orders by columns and aggregates only, not by {key}")
+                by.append((F.col(key), _ORDERS[how]) if isinstance(how, str) else (made[f"{key}:{_called(how)}"], _ORDERS[_direction(how)]))
+            df = df.withColumn(f"_rank{k}", F.row_number().over(Window.partitionBy(*q.distinct).orderBy(*_sorted(by))))
+            ranks[label] = F.col(f"_rank{k}") == 1
+        first = F.filter(F.array(*[F.when(is_first, F.lit(label)) for label, is_first in ranks.items()]), lambda x: x.isNotNull())
+        return df.select(*(q.columns or self.tables(q.table).columns), F.explode(first).alias(name))
+
+    def _aggregates(self, df: DataFrame, rel: Relation, hows: list[Mapping], made: dict[str, Column], name: str) -> DataFrame:
+        """df with several aggregates of one relation's rows; made: their columns by name."""
+        values: dict[str, Column] = {}
+        used: set[str] = set()
+        for how in hows:
+            (fn, arg), = how.items()
+            called = _called(how)
+            values[called] = F.count(F.lit(1)) if fn == "count" else _AGGREGATES[fn](next(iter(arg)))
+            used |= set() if fn == "count" else set(arg)
+            made[f"{name}:{called}"] = F.coalesce(F.col(f"_{name}_{called}"), F.lit(0)) if fn == "count" else F.col(f"_{name}_{called}")
+        child = self._table(rel.child, used).groupBy(*[F.col(t).alias(f"_{name}_{i}") for i, t in enumerate(rel.theirs)]).agg(*[v.alias(f"_{name}_{c}") for c, v in values.items()])
+        return df.join(child, reduce(Column.__and__, [df[o] == child[f"_{name}_{i}"] for i, o in enumerate(rel.ours)]), "left")
+
     def _most(self, q: Query) -> int | None:
         sizes = [n for n in (q.first, ROW_CAPS.get(q.table) if self.capped else None) if n is not None]
         return min(sizes, default=None)

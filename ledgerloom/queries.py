@@ -425,8 +425,7 @@ def gql_aggregate_order_by(p, ledger):
     """For each aggregate, every owner's transaction that comes first by it."""
     by = {"count": {"count": "desc"}, **{f: {f: {"value_satoshis": "desc"}} for f in AGGREGATES}}
     q = Query("transaction", ("locktime", "internal_id")).distinct_on("locktime")
-    parts = [compiler(ledger).compile(q.order_by({"locktime": "asc"}, {"outputs_aggregate": how}, {"internal_id": "asc"})).withColumn("by", F.lit(f)) for f, how in by.items()]
-    return reduce(DataFrame.unionAll, parts)
+    return compiler(ledger).compile_firsts(q, {f: ({"locktime": "asc"}, {"outputs_aggregate": how}, {"internal_id": "asc"}) for f, how in by.items()}, "by")
 
 
 @query
