@@ -7,6 +7,7 @@ longest chain. A round joins hops (base, to, what lies between) with one another
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,30 +16,41 @@ from ..plans.storage import stored
 from ..sources.ledger import Ledger
 
 MOST_STEPS = 100_000
+#: What _edges has stored: a ledger's tables don't change.
+_known: WeakKeyDictionary[Ledger, tuple[DataFrame, DataFrame]] = WeakKeyDictionary()
 
 
 def _edges(ledger: Ledger) -> tuple[DataFrame, DataFrame]:
     """(parent, child) for inputs that spend an output 0; and the transactions with that output unspent or, for
     children, not stored."""
-    t = ledger["transaction"].select(F.col("internal_id").alias("parent"), F.col("hash").alias("outpoint_transaction_hash"))
-    spends = ledger["input"].where("outpoint_index = 0").select("outpoint_transaction_hash", F.col("transaction_internal_id").alias("child"))
-    edges = spends.join(t, "outpoint_transaction_hash").select("parent", "child").distinct()
-    base = ledger["output"].where("output_index = 0").select(F.col("transaction_hash").alias("outpoint_transaction_hash")).join(t, "outpoint_transaction_hash").select(F.col("parent").alias("tx"))
-    edges = stored(edges.join(base.withColumnRenamed("tx", "parent"), "parent", "left_semi"))
-    return edges, stored(base)
+    if ledger not in _known:
+        t = ledger["transaction"].select(F.col("internal_id").alias("parent"), F.col("hash").alias("outpoint_transaction_hash"))
+        base = stored(ledger["output"].where("output_index = 0").select(F.col("transaction_hash").alias("outpoint_transaction_hash")).join(t, "outpoint_transaction_hash").select("parent", "outpoint_transaction_hash"))
+        spends = ledger["input"].where("outpoint_index = 0").select("outpoint_transaction_hash", F.col("transaction_internal_id").alias("child"))
+        _known[ledger] = stored(spends.join(base, "outpoint_transaction_hash").select("parent", "child").distinct()), base.select(F.col("parent").alias("tx"))
+    return _known[ledger]
 
 
 def _heads(edges: DataFrame, base: DataFrame) -> DataFrame:
-    every = base.unionAll(edges.select(F.col("child").alias("tx"))).distinct()
-    return every.join(edges.select(F.col("parent").alias("tx")), "tx", "left_anti")
+    """(tx, own): what no edge leaves; own: it has an output 0, so that it is a chain by itself. A parent always has one."""
+    every = base.select("tx", F.lit(True).alias("own")).unionAll(edges.select(F.col("child").alias("tx"), F.lit(False).alias("own")))
+    return every.groupBy("tx").agg(F.max("own").alias("own")).join(edges.select(F.col("parent").alias("tx")), "tx", "left_anti")
 
 
-def _doubled(edges: DataFrame, heads: DataFrame, first: Column, head: Column, join: Callable[[Column, Column], Column]) -> DataFrame:
+def _doubled(edges: DataFrame, heads: DataFrame, first: Column, head: Column, join: Callable[[Column, Column], Column], merge: bool) -> DataFrame:
     """(base, head, way, paths) of all chains; paths: how many chains share the other three. first: the way of one hop;
-    head: that of a head alone; join: of two in a row."""
+    head: that of a head alone; join: of two in a row. merge: different chains may have one way.
+
+    Hops of round r are 2^r edges long, and it finds the chains of 2^r to 2^(r+1) - 1 edges: no two rounds find one
+    chain, so what a round has found is written once and left as it is."""
     one = F.lit(1).cast("long").alias("paths")
-    done = stored(heads.select(F.col("tx").alias("base"), F.col("tx").alias("head"), head.alias("way"), one))
+    ends = stored(heads.select(F.col("tx").alias("base"), F.col("tx").alias("head"), head.alias("way"), one, "own"))
+    done, own = ends.drop("own"), ends.where("own").drop("own")
     hop = stored(edges.select(F.col("parent").alias("base"), F.col("child").alias("to"), first.alias("way"), one))
+
+    def merged(df: DataFrame, end: str) -> DataFrame:
+        return stored(df.groupBy("base", end, "way").agg(F.sum("paths").alias("paths")) if merge else df)
+
     rounds = 0
     while rounds <= MOST_STEPS.bit_length() and not hop.isEmpty():
         rounds += 1
@@ -46,16 +58,15 @@ def _doubled(edges: DataFrame, heads: DataFrame, first: Column, head: Column, jo
         known = done.select(F.col("base").alias("to"), "head", F.col("way").alias("more"), F.col("paths").alias("times"))
         on = hop.select(F.col("base").alias("to"), F.col("to").alias("next"), F.col("way").alias("more"), F.col("paths").alias("times"))
         both = [join(F.col("way"), F.col("more")).alias("way"), (F.col("paths") * F.col("times")).alias("paths")]
-        fresh, doubled = hop.join(known, "to").select("base", "head", *both), hop.join(on, "to").select("base", F.col("next").alias("to"), *both)
-        done = stored(done.unionAll(fresh).groupBy("base", "head", "way").agg(F.sum("paths").alias("paths")))
-        hop = stored(doubled.groupBy("base", "to", "way").agg(F.sum("paths").alias("paths")))
-    return done
+        fresh = merged(hop.join(known, "to").select("base", "head", *both), "head")
+        hop = merged(hop.join(on, "to").select("base", F.col("next").alias("to"), *both), "to")
+        done, own = done.unionAll(fresh), own.unionAll(fresh)
+    return own
 
 
 def _ends(ledger: Ledger) -> DataFrame:
     edges, base = _edges(ledger)
-    done = _doubled(edges, _heads(edges, base), F.lit(1).cast("long"), F.lit(0).cast("long"), lambda a, b: a + b)
-    own = done.join(base.withColumnRenamed("tx", "base"), "base", "left_semi")
+    own = _doubled(edges, _heads(edges, base), F.lit(1).cast("long"), F.lit(0).cast("long"), lambda a, b: a + b, merge=True)
     return own.where(F.col("way") <= MOST_STEPS).select("base", "head", (F.col("way") + 1).alias("length"), "paths")
 
 
@@ -68,9 +79,8 @@ def chain_ends(ledger: Ledger) -> DataFrame:
 def chains(ledger: Ledger) -> DataFrame:
     """(base, head, members): members are the transactions' ids from base to head."""
     edges, base = _edges(ledger)
-    done = _doubled(edges, _heads(edges, base), F.array("parent"), F.array("tx"), F.concat)
-    own = done.where(F.size("way") <= MOST_STEPS + 1).join(base.withColumnRenamed("tx", "base"), "base", "left_semi")
-    return own.select("base", "head", F.col("way").alias("members"))
+    own = _doubled(edges, _heads(edges, base), F.array("parent"), F.array("tx"), F.concat, merge=False)
+    return own.where(F.size("way") <= MOST_STEPS + 1).select("base", "head", F.col("way").alias("members"))
 
 
 def authchain_view(ledger: Ledger) -> DataFrame:
