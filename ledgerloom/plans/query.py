@@ -233,6 +233,8 @@ class Compiler:
         for rel in dict.fromkeys(key for order in orders.values() for by in order for key in by if key.endswith("_aggregate")):
             hows = [by[rel] for order in orders.values() for by in order if rel in by]
             df = self._aggregates(df, self.relations[q.table][rel.removesuffix("_aggregate")], hows, made, rel)
+        # a task sorts its rows once for each order: they are dealt to a stated number of partitions, which AQE doesn't join
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *q.distinct)
         ranks = {}
         for k, (label, order) in enumerate(orders.items()):
             by: list[Order] = []
